@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsforge.llm import bpe, url_rules
+from tsforge.llm import bpe, decontaminate, language_id, line_dedup, minhash, url_rules
 from tsforge.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -17,15 +18,48 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), RANKS, PATTERN, with_ids=False)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op10_url_filters)
+    f.__name__: f for f in (op2_byte_bpe, op3_decontamination, op5_language_id, op6_minhash, op8_line_dedup, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, parts, unnest(range(len(parts))) AS at FROM split),
+lines AS (
+    SELECT doc_id, at, trim(translate(parts[at + 1], chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line FROM places),
+runs AS (
+    SELECT doc_id, at, line, lead(line) OVER w AS next_line, lead(at) OVER w AS next_at
+    FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+ranked AS (
+    SELECT doc_id, at, next_at, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, at) AS nth FROM runs WHERE next_at IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([at, next_at]) AS at FROM ranked WHERE nth > 1)
+SELECT p.doc_id, count(*)::BIGINT AS n_lines, count(g.at)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(p.parts[p.at + 1], chr(10) ORDER BY p.at) FILTER (WHERE g.at IS NULL), '')) AS kept_sha256
+FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at
+GROUP BY p.doc_id
+""",
     "op10_url_filters": r"""
 WITH parts AS (
     SELECT page_id,
