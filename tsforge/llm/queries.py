@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe, decontaminate, language_id, line_dedup, minhash, url_rules
+from tsforge.llm import ann, bpe, decontaminate, html_text, language_id, line_dedup, minhash, repeats, toxicity, url_rules
 from tsforge.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), RANKS, PATTERN, with_ids=False)
 
@@ -22,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
 
@@ -30,17 +38,28 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", F.col("line_dedup.n_lines").cast("long").alias("n_lines"), F.col("line_dedup.n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_decontamination, op5_language_id, op6_minhash, op8_line_dedup, op10_url_filters)
+    f.__name__: f for f in (
+        op1_main_text, op2_byte_bpe, op3_decontamination, op4_nearest, op5_language_id, op6_minhash, op7_suffix_array, op8_line_dedup, op9_toxicity, op10_url_filters,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
