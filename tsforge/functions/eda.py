@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsforge.panel import BY_SERIES, missing
+from tsforge.panel import by_series, missing
 
 
 def autocorrelation(df: DataFrame, *, max_lag: int = 200, value: str = "y") -> DataFrame:
@@ -15,7 +15,7 @@ def autocorrelation(df: DataFrame, *, max_lag: int = 200, value: str = "y") -> D
     known = df.select("unique_id", "ds", missing(value).alias("v")).where("v IS NOT NULL")
     centred = known.withColumn("c", F.col("v") - F.avg("v").over(Window.partitionBy("unique_id")))
     lags = range(1, max_lag + 1)
-    moved = centred.select("unique_id", "c", *(F.lag("c", k).over(BY_SERIES).alias(f"c{k}") for k in lags))
+    moved = centred.select("unique_id", "c", *(F.lag("c", k).over(by_series()).alias(f"c{k}") for k in lags))
     sums = moved.groupBy("unique_id").agg(F.sum(F.col("c") * F.col("c")).alias("v"), *(F.sum(F.col("c") * F.col(f"c{k}")).alias(f"s{k}") for k in lags))
     wide = sums.select("unique_id", *(F.try_divide(f"s{k}", "v").alias(str(k)) for k in lags))
     return wide.unpivot(["unique_id"], [str(k) for k in lags], "lag", "acf").withColumn("lag", F.col("lag").cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.panel import BY_SERIES, Panel, missing
+from tsforge.panel import by_series, Panel, missing
 from tsforge.spec import QUANTILES, interval_levels, quantile_column
 
 
@@ -76,7 +76,7 @@ def mase_denominators(panel: Panel, windows: DataFrame, *, season: int | None =
     null where there is none or it is zero."""
     m = season or panel.spec.mase_season
     y = missing(panel.spec.target)
-    rows = panel.df.select("unique_id", "ds", F.abs(y - F.lag(y, m).over(BY_SERIES)).alias("d"), F.lag("ds", m).over(BY_SERIES).alias("from"))
+    rows = panel.df.select("unique_id", "ds", F.abs(y - F.lag(y, m).over(by_series())).alias("d"), F.lag("ds", m).over(by_series()).alias("from"))
     inside = (F.col("ds") <= F.col("cutoff")) & (F.col("from") >= F.col("train_start"))
     found = rows.join(F.broadcast(windows), inside).groupBy("unique_id", "window_id").agg(F.nullif(F.avg("d"), F.lit(0.0)).alias("mase_denominator"))
     every = panel.ids().crossJoin(F.broadcast(windows.select("window_id")))

@@ -43,39 +43,24 @@ def pairwise_dm(forecasts: DataFrame, *, loss: str = "abs", hac_lag: int = 0, hl
     return out.select(*by, F.col("n").alias("n_obs"), F.col("mean").alias("mean_difference"), stat.alias("stat"), "degenerate")
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, from the front."""
-    tiny, value, above, below = 1e-300, 1.0, 1.0, 0.0
-    value = above
-    for i in range(400):
-        k = i // 2
-        if i == 0:
-            part = 1.0
-        elif i % 2 == 0:
-            part = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
-        else:
-            part = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
-        below = 1 / (1 + part * below or tiny)
-        above = 1 + part / above or tiny
-        if i == 0:
-            value, above, below = 1.0, 1.0, 1.0
-            continue
-        value *= above * below
-        if abs(above * below - 1) < 1e-15:
-            break
-    return 1 / value
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function by its series of positive terms, taken from the
+    side where it converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    term = math.exp(math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    total, n = term, 0
+    while term > total * 1e-16:
+        term *= (a + b + n) / (a + 1 + n) * x
+        total, n = total + term, n + 1
+    return total
 
 
 def student_tail(t: float, df: float) -> float:
     """P(T > |t|)."""
-    if math.isinf(t):
-        return 0.0
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 0.5
-    beta = front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return beta / 2
+    return 0.0 if math.isinf(t) else _beta_share(df / 2, 0.5, df / (df + t * t)) / 2
 
 
 def with_p_values(tests: DataFrame, *, hln: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.operators.split import windows as make_windows
-from tsforge.panel import BY_SERIES, Panel, at_seconds, missing, seconds
+from tsforge.panel import by_series, Panel, at_seconds, missing, seconds
 from tsforge.spec import BacktestPlan, LeakError, normal_quantile, quantile_column
 
 MODELS = ("naive", "drift", "seasonal_naive", "window_average", "historic_average")
@@ -29,12 +29,12 @@ class Backtest:
 
 def _filled(panel: Panel) -> DataFrame:
     """Target and its differences, forward filled; filled_at tells where a value comes from."""
-    back = BY_SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    back = by_series().rowsBetween(Window.unboundedPreceding, 0)
     y = missing(panel.spec.target)
     m = panel.spec.mase_season
     base = panel.df.select("unique_id", "ds", F.last(y, True).over(back).alias("v"), F.last(F.when(y.isNotNull(), F.col("ds")), True).over(back).alias("filled_at"))
     for name, k in (("1", 1), ("m", m)):
-        base = base.withColumn(f"v{name}", F.lag("v", k).over(BY_SERIES)).withColumn(f"at{name}", F.lag("filled_at", k).over(BY_SERIES)).withColumn(f"ds{name}", F.lag("ds", k).over(BY_SERIES))
+        base = base.withColumn(f"v{name}", F.lag("v", k).over(by_series())).withColumn(f"at{name}", F.lag("filled_at", k).over(by_series())).withColumn(f"ds{name}", F.lag("ds", k).over(by_series()))
     return base
 
 

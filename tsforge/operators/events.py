@@ -6,9 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsforge.panel import missing
-
-BY_DS = Window.partitionBy("unique_id").orderBy("ds")
+from tsforge.panel import by_series, missing
 
 
 def islands(flagged: DataFrame, *, merge_gap: int = 0, position: str = "pos", by: tuple[str, ...] = ("unique_id",)) -> DataFrame:
@@ -36,7 +34,7 @@ def threshold_table(calibration: DataFrame, alphas: tuple[float, ...]) -> DataFr
 
 def aggregate_events(scores: DataFrame, *, detector_id: str, alpha: float, merge_gap: int = 2, min_points: int = 1) -> DataFrame:
     """Events of the rows that are scorable and reach -log10(alpha)."""
-    placed = scores.withColumn("pos", F.row_number().over(BY_DS))
+    placed = scores.withColumn("pos", F.row_number().over(by_series()))
     hit = F.col("scorable") & (missing("score") >= -F.log10(F.lit(alpha)))
     marked = islands(placed.where(hit), merge_gap=merge_gap)
     severity = missing("severity")

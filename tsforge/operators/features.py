@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.panel import BY_SERIES, Panel
+from tsforge.panel import by_series, Panel
 from tsforge.spec import FeatureSpec, LeakError
 
 STATS: dict[str, Callable[[Column], Column]] = {
@@ -27,20 +27,20 @@ def source(panel: Panel, name: str) -> Feature:
 
 
 def lag(x: Feature, k: int) -> Feature:
-    return Feature(F.lag(x.column, k).over(BY_SERIES), x.spec.lagged(k, f"{x.spec.name}_lag{k}"))
+    return Feature(F.lag(x.column, k).over(by_series()), x.spec.lagged(k, f"{x.spec.name}_lag{k}"))
 
 
 def lead(x: Feature, k: int) -> Feature:
-    return Feature(F.lead(x.column, k).over(BY_SERIES), x.spec.led(k, f"{x.spec.name}_lead{k}"))
+    return Feature(F.lead(x.column, k).over(by_series()), x.spec.led(k, f"{x.spec.name}_lead{k}"))
 
 
 def diff(x: Feature, k: int = 1) -> Feature:
     """Uses the row itself, so it is known no further ahead than its source."""
-    return Feature(x.column - F.lag(x.column, k).over(BY_SERIES), FeatureSpec(f"{x.spec.name}_diff{k}", x.spec.max_lead))
+    return Feature(x.column - F.lag(x.column, k).over(by_series()), FeatureSpec(f"{x.spec.name}_diff{k}", x.spec.max_lead))
 
 
 def pct_change(x: Feature, k: int, *, shift: int = 1) -> Feature:
-    now, before = F.lag(x.column, shift).over(BY_SERIES), F.lag(x.column, shift + k).over(BY_SERIES)
+    now, before = F.lag(x.column, shift).over(by_series()), F.lag(x.column, shift + k).over(by_series())
     return Feature(F.when(before != 0, now / before - 1), x.spec.lagged(shift, f"{x.spec.name}_pct{k}_s{shift}"))
 
 
@@ -48,7 +48,7 @@ def roll(x: Feature, window: int, *, shift: int = 1, stat: str = "mean") -> Feat
     """Over the ``window`` rows that end ``shift`` rows back; null unless all are known."""
     if shift < 1:
         raise LeakError("a rolling window ends one row back at least")
-    frame = BY_SERIES.rowsBetween(-(shift + window - 1), -shift)
+    frame = by_series().rowsBetween(-(shift + window - 1), -shift)
     value = F.when(F.count(x.column).over(frame) == window, STATS[stat](x.column).over(frame))
     return Feature(value, x.spec.lagged(shift, f"{x.spec.name}_roll{stat}{window}_s{shift}"))
 
@@ -56,7 +56,7 @@ def roll(x: Feature, window: int, *, shift: int = 1, stat: str = "mean") -> Feat
 def expand(x: Feature, *, shift: int = 1, stat: str = "mean") -> Feature:
     from pyspark.sql import Window
 
-    frame = BY_SERIES.rowsBetween(Window.unboundedPreceding, -shift)
+    frame = by_series().rowsBetween(Window.unboundedPreceding, -shift)
     return Feature(STATS[stat](x.column).over(frame), x.spec.lagged(shift, f"{x.spec.name}_expand{stat}_s{shift}"))
 
 
@@ -64,7 +64,7 @@ def ewm(x: Feature, *, halflife: float, shift: int = 1, reach: int = 60) -> Feat
     """Weights halve every ``halflife`` rows by position; rows over ``reach`` halflives back weigh
     less than a double resolves and are left out, so that weights stay in range."""
     rows = int(reach * halflife)
-    back = F.collect_list(F.coalesce(x.column, F.lit(float("nan")))).over(BY_SERIES.rowsBetween(-(shift + rows - 1), -shift))
+    back = F.collect_list(F.coalesce(x.column, F.lit(float("nan")))).over(by_series().rowsBetween(-(shift + rows - 1), -shift))
     pairs = F.transform(F.reverse(back), lambda v, i: F.struct(v.alias("v"), F.pow(F.lit(0.5), i / halflife).alias("w")))
     known = F.filter(pairs, lambda p: ~F.isnan(p["v"]))
     total = F.aggregate(known, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, p: F.struct((a["s"] + p["v"] * p["w"]).alias("s"), (a["w"] + p["w"]).alias("w")))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tsforge.spec import KEYS, PanelError, PanelSpec
 
-BY_SERIES = Window.partitionBy("unique_id").orderBy("ds")
+
+def by_series() -> WindowSpec:
+    """A series in the order of time."""
+    return Window.partitionBy("unique_id").orderBy("ds")
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
