@@ -12,9 +12,9 @@ each set is compared with one pivot (the member with most company), never with a
 components of what is confirmed are formed; and only buckets that still hold several components
 go on. For these, sets drop out that provably link with nothing left: a shingle that no other
 open set holds can't be shared, and a set with too many such shingles can't reach the threshold.
-Fresh pivots follow, and when the pairs left are few against the sets, or pivots bring no more,
-all pairs left are compared, each bounded first by sizes. So no bucket is capped and nothing is
-left out. Links are confirmed on whole sets of 64-bit shingle hashes.
+Fresh pivots follow, and when the pairs left are few against the sets, or pivots bring no more, the
+sets left are compared block by block inside tasks that give out links alone. So no bucket is
+capped and nothing is left out. Links are confirmed on whole sets of 64-bit shingle hashes.
 
 Defined results: null, empty and blank texts have an empty set, which links with nothing; a text
 of fewer words than a shingle is one shingle; repeated rows of one id are one document.
@@ -124,12 +124,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)).select("a", "b")
 
 
-def possible(percent: int):
-    """Whether sizes n and counts of shareable shingles v allow the threshold at all."""
-    most = F.least("a_v", "b_v")
-    return 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
-
-
 def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, collections: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
     """(id, root) over the representatives ``reps`` (id, n, entries) that have a link."""
     keys = materialize(bucket_keys(reps, collections), "keys")
@@ -168,12 +162,40 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
         of = F.xxhash64("id", F.lit(turn))
         by_root = open_members.groupBy("key", "root").agg(F.min_by("id", of).alias("pivot"), F.count("*").alias("size"))
         pivots = by_root.groupBy("key").agg(F.max_by("pivot", F.struct("size", "pivot")).alias("pivot"))
-    one, two = (
-        open_members.select("key", *(F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in ("id", "root", "n", "v"))) for s in "ab"
-    )
-    rest = one.join(two, "key").where(F.col("a") < F.col("b")).where("a_root <> b_root").where(possible(percent)).select("a", "b").distinct()
-    rest = rest.join(done, ["a", "b"], "left_anti")
-    return components(links.union(confirmed(materialize(rest, "rest"), sets, percent)))
+    return components(links.union(_block_links(open_members, reps, sets, percent, collections)))
+
+
+def _block_links(open_members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, collections: int, block: int = 256) -> DataFrame:
+    """All links between components among the open sets: whoever shares a table shares an entry
+    of A, so the sets with one such entry are compared with each other, in pairs of blocks of
+    about ``block`` sets. Only links leave a task, never the pairs."""
+    ids = open_members.select("id", "root").distinct()
+    flat = reps.join(ids, "id").select("id", "root", F.explode(F.slice("entries", 1, collections)).alias("code"))
+    sizes = flat.groupBy("code").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    placed = flat.join(sizes, "code").select("code", "id", "root", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    paired = placed.select("code", "id", "root", "part", other).select("code", "id", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, roots, part = (rows.column(c).to_numpy() for c in ("id", "root", "part"))
+        items = rows.column("items").combine_chunks()
+        sizes = np.diff(items.offsets.to_numpy())
+        _, places = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(places.max(initial=-1) + 1, bool)
+        low, high, apart = rows.column("low")[0].as_py(), rows.column("high")[0].as_py(), []
+        for i in np.flatnonzero(part == low):
+            own = places[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[places].astype(np.int64), starts)
+            mark[own] = False
+            near = (100 * both >= percent * (sizes + sizes[i] - both)) & (roots != roots[i]) & (part == high)
+            apart += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in np.flatnonzero(near)]
+        found = np.unique(np.array(apart, np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return paired.join(sets, "id").groupBy("code", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _still_open(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int):
