@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tsforge.operators import features
 from tsforge.operators.split import windows as make_windows
-from tsforge.panel import Panel, by_series, missing
+from tsforge.panel import Panel, at_seconds, by_series, missing, seconds
 from tsforge.spec import BacktestPlan
 
 SCHEMA = "unique_id string, model_id string, window_id short, cutoff timestamp_ntz, ds timestamp_ntz, h_step short, y_hat double"
@@ -95,8 +95,10 @@ def boosted_direct(panel: Panel, plan: BacktestPlan, *, lags: tuple[int, ...] =
     lagged = features.feature_frame(panel, [features.lag(y, k) for k in (k for k in lags if k > 1)] + [features.roll(y, panel.spec.mase_season)])
     known = lagged.join(panel.df.select("unique_id", "ds", missing(panel.spec.target).alias("now")), ["unique_id", "ds"])
     inputs = [c for c in known.columns if c not in ("unique_id", "ds")]
-    ahead = [F.struct(F.lit(k).cast("double").alias("step"), F.lead("now", k).over(by_series()).alias("label"), F.lead("ds", k).over(by_series()).alias("target_ds")) for k in range(1 + plan.gap, plan.h + plan.gap + 1)]
-    rows = known.na.drop(subset=inputs).select("unique_id", "ds", *inputs, F.explode(F.array(*ahead)).alias("a")).select("unique_id", "ds", *inputs, "a.*")
+    steps = range(1 + plan.gap, plan.h + plan.gap + 1)
+    led = known.select("unique_id", "ds", *inputs, *(F.lead("now", k).over(by_series()).alias(f"now_{k}") for k in steps))
+    ahead = [F.struct(F.lit(float(k)).alias("step"), F.col(f"now_{k}").alias("label"), at_seconds(seconds("ds") + k * panel.spec.step).alias("target_ds")) for k in steps]
+    rows = led.na.drop(subset=inputs).select("unique_id", "ds", *inputs, F.explode(F.array(*ahead)).alias("a")).select("unique_id", "ds", *inputs, "a.*")
     shaped = VectorAssembler(inputCols=[*inputs, "step"], outputCol="features").transform(rows)
     out = None
     for w in table.collect():  # a handful of windows, each one distributed fit
