@@ -65,18 +65,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-places AS (SELECT doc_id, parts, unnest(range(len(parts))) AS at FROM split),
+places AS (SELECT doc_id, parts, unnest(range(len(parts))) AS pos FROM split),
 lines AS (
-    SELECT doc_id, at, trim(translate(parts[at + 1], chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line FROM places),
+    SELECT doc_id, pos, trim(translate(parts[pos + 1], chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line FROM places),
 runs AS (
-    SELECT doc_id, at, line, lead(line) OVER w AS next_line, lead(at) OVER w AS next_at
-    FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+    SELECT doc_id, pos, line, lead(line) OVER w AS next_line, lead(pos) OVER w AS next_pos
+    FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (
-    SELECT doc_id, at, next_at, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, at) AS nth FROM runs WHERE next_at IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([at, next_at]) AS at FROM ranked WHERE nth > 1)
-SELECT p.doc_id, count(*)::BIGINT AS n_lines, count(g.at)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(p.parts[p.at + 1], chr(10) ORDER BY p.at) FILTER (WHERE g.at IS NULL), '')) AS kept_sha256
-FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at
+    SELECT doc_id, pos, next_pos, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) AS nth FROM runs WHERE next_pos IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, next_pos]) AS pos FROM ranked WHERE nth > 1)
+SELECT p.doc_id, count(*)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(p.parts[p.pos + 1], chr(10) ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM places p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos
 GROUP BY p.doc_id
 """,
     "op10_url_filters": r"""
