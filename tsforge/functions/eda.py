@@ -51,3 +51,44 @@ def periodogram(df: DataFrame, *, value: str = "y") -> DataFrame:
 
     known = df.select("unique_id", "ds", missing(value).alias("v")).where("v IS NOT NULL")
     return known.groupBy("unique_id").applyInPandas(spectrum, "unique_id string, period double, power double")
+
+
+def _trend(y: np.ndarray, m: int) -> np.ndarray:
+    """Centred moving average over a season; the ends repeat."""
+    weights = np.ones(m) if m % 2 else np.r_[0.5, np.ones(m - 1), 0.5]
+    half = len(weights) // 2
+    return np.convolve(np.pad(y, half, mode="edge"), weights / weights.sum(), mode="valid")
+
+
+def decomposition(df: DataFrame, *, periods: tuple[int, ...] = (24, 168), value: str = "y") -> DataFrame:
+    """(unique_id, ds, trend, seasonal_<p>..., remainder) of each series, gaps filled linearly: the
+    seasons are mean shapes taken out one after the other, the shortest first, twice over."""
+    names = [f"seasonal_{p}" for p in periods]
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ds")
+        y = rows["v"].interpolate(limit_direction="both").fillna(0.0).to_numpy(float)
+        seasons = {p: np.zeros(len(y)) for p in periods}
+        trend = np.full(len(y), y.mean() if len(y) else 0.0)
+        for _ in range(2):
+            for p in periods:
+                if len(y) >= 2 * p:
+                    rest = y - trend - sum(s for q, s in seasons.items() if q != p)
+                    shape = np.array([rest[k::p].mean() for k in range(p)])
+                    seasons[p] = (shape - shape.mean())[np.arange(len(y)) % p]
+            trend = _trend(y - sum(seasons.values()), max(periods)) if len(y) > max(periods) else trend
+        return pd.DataFrame({"unique_id": rows["unique_id"], "ds": rows["ds"], "trend": trend, **{n: seasons[p] for n, p in zip(names, periods, strict=True)}, "remainder": y - trend - sum(seasons.values())})
+
+    schema = "unique_id string, ds timestamp_ntz, trend double, " + "".join(f"{n} double, " for n in names) + "remainder double"
+    return df.select("unique_id", "ds", missing(value).alias("v")).groupBy("unique_id").applyInPandas(split, schema)
+
+
+def difficulty(parts: DataFrame, *, periods: tuple[int, ...] = (24, 168)) -> DataFrame:
+    """The strength of trend and seasons of each series: the share of variance a component adds to
+    the remainder's."""
+    rest = F.var_samp("remainder")
+
+    def strength(c: str):
+        return F.greatest(F.lit(0.0), 1 - F.try_divide(rest, F.var_samp(F.col(c) + F.col("remainder"))))
+
+    return parts.groupBy("unique_id").agg(strength("trend").alias("trend_strength"), *(strength(f"seasonal_{p}").alias(f"strength_{p}") for p in periods))

@@ -140,3 +140,26 @@ def support_rows(scores: DataFrame, truth: DataFrame, *, alpha: float) -> DataFr
     rows = scores.where("scorable").join(labels, ["unique_id", "ds"], "left").withColumn("label", F.coalesce("label", F.lit(False)))
     flag = F.coalesce(F.col("score") >= -F.log10(F.lit(alpha)), F.lit(False))
     return rows.select("unique_id", "ds", (F.row_number().over(Window.partitionBy("unique_id").orderBy("ds")) - 1).alias("pos"), flag.alias("flag"), "label", "score")
+
+
+def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2, max_buffer: int = 24) -> DataFrame:
+    """A long table (detector_id, unique_id, metric, value) of all metrics of each series."""
+    tables = {
+        "range": range_precision_recall(rows, merge_gap=merge_gap).select("unique_id", "precision", "recall", "f1"),
+        "affiliation": affiliation(rows).select("unique_id", "precision", "recall", "f1"),
+        "point": point_precision_recall(rows),
+        "auc_pr": auc_pr(rows).select("unique_id", "area", "baseline"),
+        "vus_pr": vus_pr(rows, max_buffer=max_buffer).select("unique_id", F.col("vus_pr").alias("area")),
+        "detection": detection_delay(rows, merge_gap=merge_gap).select("unique_id", "detection_rate", "mean_delay", "median_delay", "n_false_alarms", "false_alarms_per"),
+    }
+    out = None
+    for name, df in tables.items():
+        values = [c for c in df.columns if c != "unique_id"]
+        long = df.select("unique_id", *(F.col(c).cast("double").alias(f"{name}_{c}") for c in values)).unpivot(["unique_id"], [f"{name}_{c}" for c in values], "metric", "value")
+        out = long if out is None else out.union(long)
+    return out.select(F.lit(detector_id).alias("detector_id"), "unique_id", "metric", "value")
+
+
+def pooled(long: DataFrame) -> DataFrame:
+    """The series' values averaged over the series that have one (unique_id null)."""
+    return long.groupBy("detector_id", "metric").agg(F.avg("value").alias("value")).select("detector_id", F.lit(None).cast("string").alias("unique_id"), "metric", "value")

@@ -63,3 +63,42 @@ SELECT unique_id, ds, round(CASE WHEN s > 0 THEN (y - m) / s ELSE 0 END, 4) AS z
 def detector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detectors.window_features(daily_shipments(spark, sf_dir).df, window=7)
     return rounded(rows.select("unique_id", "ds", "zscore", "diff1", "diff2", F.col("usable")), 4)
+
+
+@query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
+r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)
+SELECT l.event_id, round(r.value, 4) AS value, r.ts AS known_at FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsforge.operators.asof import asof_join as asof
+    from tsforge.sources.tables import table
+
+    rows = table(spark, sf_dir, "events")
+    low, high = rows.agg(F.min("event_type"), F.max("event_type")).first()
+    left = rows.where(F.col("event_type") == high).select("event_id", "user_id", "ts")
+    right = rows.where(F.col("event_type") == low).select("user_id", "ts", "value")
+    return rounded(asof(left, right, by="user_id", on="ts").select("event_id", "value", "known_at"), 4)
+
+
+@query()
+def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsforge.functions.eda import decomposition as split
+
+    return split(hourly_events(spark, sf_dir).df)
+
+
+@query()
+def series_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsforge.functions.eda import decomposition as split
+    from tsforge.functions.eda import difficulty
+
+    return difficulty(split(hourly_events(spark, sf_dir).df))
+
+
+@query()
+def evaluate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsforge.operators.anomaly_metrics import evaluate_detector as evaluate
+    from tsforge.operators.anomaly_metrics import pooled
+    from tsforge.plans.forecast_queries import _flagged
+
+    long = evaluate(_flagged(spark, sf_dir), detector_id="level", max_buffer=4)
+    return long.unionByName(pooled(long))
