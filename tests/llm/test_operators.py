@@ -349,9 +349,11 @@ def test_main_text(spark):
         f"<html><head><title>no</title></head><body><nav><a href='/'>home</a></nav><div class=ad>buy it now while you can my friend</div><article><h1>Head &amp; more</h1><p>{long}<br>next&nbsp;line<p>Short.</article>"
         f"<div class='comments'><p>{long}</p></div><footer>&copy; us</footer></body></html>",
         None, "", "<script>var a = '<p>x</p>';</script>", f"<p>{long}<!-- <p>gone</p> --></p>", f"<main><p>{long}</p><form><label>Name</label><input></form><p>{long} &am", "<article>" + "<p>one</p>" * 3000 + "</article>",
+        f"<article><p class='notice'>sign up now<p>{long}<ul><li class=share>tell all<li>point</ul></article>",
     ]
     frame = spark.createDataFrame([(i, "http://a.org/", p, 1) for i, p in enumerate(pages)], "page_id long, url string, html string, blocks int")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
     assert got[0] == f"Head & more\n\n{long} next line\n\nShort." and got[1] == got[2] == got[3] == ""
     assert got[4] == long and got[5] == f"{long}\n\n{long} &am" and got[6].count("one") == 3000
+    assert got[7] == f"{long}\n\npoint"
     assert html_text.main_text(frame.limit(0)).count() == 0

@@ -44,7 +44,8 @@ BLOCK = set(
     " h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Tags that enclose others until they are closed.
-ENCLOSING = BLOCK - set("p hr body html li dd dt option tr td th".split())
+OPEN_ENDED = set("p li dd dt option tr td th".split())
+ENCLOSING = BLOCK - OPEN_ENDED - {"hr", "body", "html"}
 FURNITURE = set("nav aside footer form menu dialog button fieldset search".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that mark page furniture. Fixed values.
@@ -111,6 +112,8 @@ def text_blocks(page: str | None) -> list[dict]:
         elif tag in BLOCK:
             close_block()
             in_link = in_link and closing
+            if not closing and opened and opened[-1][0] in OPEN_ENDED and opened[-1][0] in ("p", tag):
+                opened.pop()  # a paragraph ends at the next block, an item at the next item
             leaf = "" if closing else tag
             if tag in ENCLOSING or (tag not in ("html", "body") and (says_furniture(m["attrs"]) or HIDDEN.search(m["attrs"]))):
                 if closing:
@@ -119,7 +122,6 @@ def text_blocks(page: str | None) -> list[dict]:
                     inside = any(o[2] for o in opened)
                     main = tag in ("article", "main") or 'role="main"' in m["attrs"]
                     furniture = tag in FURNITURE or (tag == "header" and not inside) or (says_furniture(m["attrs"]) and not (inside and tag in HEADINGS | {"header"}))
-                    # An article may lie inside what a class calls furniture only in comments.
                     opened.append((tag, furniture, main, bool(HIDDEN.search(m["attrs"]))))
             elif closing:
                 _pop(opened, tag)
