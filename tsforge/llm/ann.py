@@ -95,7 +95,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 4, share: float = 0.35, block_rows: int = 2048,
+def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 4, share: float = 0.45, block_rows: int = 2048,
             queries_together: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found for each row of
     ``table`` for which ``is_query`` holds."""
