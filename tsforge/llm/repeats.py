@@ -5,16 +5,16 @@ Every string of ``size`` bytes has an anchor: the smallest hash of the 16-byte s
 Equal strings have equal anchors, and neighbouring strings mostly share theirs, so each document
 falls into segments (the strings of one anchor in a row, about 67 bytes at size 50).
 
-1. Every document sends its anchors' hashes, packed by hash range; anchors that only one text has
-   are dropped. Of equal texts the first stands for all, and the later ones are repeats whole.
+1. Of equal texts the later ones are repeats whole. Every other document sends its anchors'
+   hashes, packed by hash range; anchors that only one document has are dropped.
 2. The others' segments go to shards by anchor, equal ones of a shard once. Each shard's string of
    segments gets a suffix array by induced sorting (suffix_array.py), and permuted common prefixes
    of ``size`` bytes cut it into groups of equal strings. A group's smallest document keeps its
    string; in the others the string's bytes are repeats.
 3. Each document's spans are merged and cut out.
 
-Anchors decide only where strings meet; what repeats is decided on bytes, but for 64-bit hashes
-of whole texts. Shards grow in number with the input. A passage that very many documents share
+Anchors decide only where strings meet; what repeats is decided on bytes, but for two hashes
+(192 bits) of whole texts. Shards grow in number with the input. A passage that very many documents share
 fills a shard with one short row for each of them.
 
 Defined results: null and empty texts have nothing removed; a row without id takes no part and
@@ -29,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import sliced
+from tsforge.llm.common import materialize, sliced
 from tsforge.llm.minhash import mixed
 from tsforge.llm.suffix_array import shares_prefix, suffix_array, words_at
 
 GRAM = 16
+#: Stands for a null id, so that every join finds the texts dealt out by the same column alike and
+#: Spark deals them once for all of them.
+NO_ID = -(1 << 63)
 #: Bytes of text for each shard.
 SHARD_BYTES = 3 << 20
 
@@ -72,60 +76,66 @@ def groups_of(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(keys[order[a]]), order[a:b]
 
 
+def squeezed(values: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 3)
+
+
+def loosened(value, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(value.as_py()), kind)
+
+
 def packed(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(v.as_py(), kind) for v in column] or [np.empty(0, kind)])
 
 
 def _send_anchors(source: DataFrame, size: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, ids, texts, held = [], [], [], [], 0
+        hashes, owners, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
+            order = np.argsort(np.array(ids, np.int64), kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            id_of = np.array(ids, np.int64)[order]
             shard, rest = shard_and_rest(np.concatenate(hashes), shards)
-            owner, id_of, text_of = np.concatenate(owners), np.array(ids, np.int64), np.array(texts, np.uint64)
-            rows = []
+            owner, rows = rank[np.concatenate(owners)], []
             for s, at in groups_of(shard):
-                own, place = np.unique(owner[at], return_inverse=True)
-                order = np.argsort(place, kind="stable")
-                rows.append((s, id_of[own].tobytes(), text_of[own].tobytes(), np.bincount(place).astype(np.uint32).tobytes(), rest[at][order].tobytes()))
-            columns = zip(*rows, strict=True)
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "ids", "texts", "counts", "rest"])
+                at = at[np.argsort(owner[at], kind="stable")]
+                own, counts = np.unique(owner[at], return_counts=True)
+                # Ascending ids as their differences, which pack well.
+                rows.append((s, squeezed(np.diff(id_of[own], prepend=0)), squeezed(counts.astype(np.uint32)), rest[at].tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "ids", "counts", "rest"])
 
         for batch in sliced(batches):
             for name, text in zip(batch.column("id"), batch.column("text"), strict=True):
-                data = text_bytes(text)
-                found = np.unique(anchors(np.frombuffer(data, np.uint8), size)[0])
-                if len(found):
+                found = np.unique(anchors(np.frombuffer(text_bytes(text), np.uint8), size)[0])
+                if len(found) and name.as_py() != NO_ID:
                     hashes.append(found)
                     owners.append(np.full(len(found), len(ids)))
                     ids.append(name.as_py())
-                    texts.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little"))
                     held += len(found)
                 if held >= 1_000_000:
                     yield flush()
-                    hashes, owners, ids, texts, held = [], [], [], [], 0
+                    hashes, owners, ids, held = [], [], [], 0
         if held:
             yield flush()
 
-    return source.mapInArrow(run, "shard int, ids binary, texts binary, counts binary, rest binary")
+    return source.mapInArrow(run, "shard int, ids binary, counts binary, rest binary")
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """Of one shard: the anchors in several texts, by the first document of each text."""
+    """Of one shard: the anchors that several documents have, by document."""
     shard = rows.column("shard")[0].as_py()
-    counts = packed(rows.column("counts"), np.uint32)
-    ids, texts = (np.repeat(packed(rows.column(c), k), counts) for c, k in (("ids", np.int64), ("texts", np.uint64)))
+    own = np.concatenate([np.cumsum(loosened(v, np.int64)) for v in rows.column("ids")])
+    ids = np.repeat(own, np.concatenate([loosened(v, np.uint32) for v in rows.column("counts")]))
     rest = packed(rows.column("rest"), np.uint32)
     order = np.argsort(rest, kind="stable")
     starts = np.flatnonzero(np.append(True, rest[order][1:] != rest[order][:-1]))
-    low, high = np.minimum.reduceat(texts[order], starts), np.maximum.reduceat(texts[order], starts)
+    low, high = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
     several = np.empty(len(rest), bool)
     several[order] = np.repeat(low != high, np.diff(np.append(starts, len(rest))))
-    _, text = np.unique(texts, return_inverse=True)
-    first = np.full(text.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, text, ids)
-    keep = np.flatnonzero(several & (ids == first[text]))
+    keep = np.flatnonzero(several)
     out = [(int(ids[at[0]]), np.unique(rest[at]).tobytes()) for _, at in ((k, keep[a]) for k, a in groups_of(ids[keep]))]
     return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "rest": pa.array([o[1] for o in out], pa.binary())})
 
@@ -134,8 +144,20 @@ def _send_segments(wanted: DataFrame, size: int, shards: int) -> DataFrame:
     """wanted: id, text and anchors (shard, rest), packed by shard like the anchors were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard_list, id_list, start_list, length_list, pieces = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            shard, ids, starts, lengths = (np.concatenate(x) for x in (shard_list, id_list, start_list, length_list))
+            rows = [
+                (s, squeezed(ids[at]), squeezed(starts[at].astype(np.uint32)), squeezed(lengths[at].astype(np.uint32)), squeezed(b"".join(pieces[i] for i in at)))
+                for s, at in groups_of(shard)
+            ]
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            for held in (shard_list, id_list, start_list, length_list, pieces):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "ids", "starts", "lengths", "data"])
+
         for batch in sliced(batches):
-            shard_list, id_list, start_list, length_list, pieces = [], [], [], [], []
             for name, text, listed in zip(batch.column("id"), batch.column("text"), batch.column("anchors"), strict=True):
                 data = text_bytes(text)
                 hashes, first, last = anchors(np.frombuffer(data, np.uint8), size)
@@ -147,15 +169,10 @@ def _send_segments(wanted: DataFrame, size: int, shards: int) -> DataFrame:
                 start_list.append(first[at])
                 length_list.append(last[at] - first[at] + size)
                 pieces += [data[a : b + size] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
-            if not pieces:
-                continue
-            shard, ids, starts, lengths = (np.concatenate(x) for x in (shard_list, id_list, start_list, length_list))
-            rows = [
-                (s, ids[at].tobytes(), starts[at].astype(np.uint32).tobytes(), lengths[at].astype(np.uint32).tobytes(), b"".join(pieces[i] for i in at))
-                for s, at in groups_of(shard)
-            ]
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "ids", "starts", "lengths", "data"])
+                if len(pieces) >= 150_000:
+                    yield flush()
+        if pieces:
+            yield flush()
 
     return wanted.mapInArrow(run, "shard int, ids binary, starts binary, lengths binary, data binary")
 
@@ -163,13 +180,13 @@ def _send_segments(wanted: DataFrame, size: int, shards: int) -> DataFrame:
 def _spans_of(size: int):
     def spans(rows: pa.Table) -> pa.Table:
         """Of one shard: the spans of documents that repeat a string of a smaller document."""
-        ids, starts, lengths = (packed(rows.column(c), k) for c, k in (("ids", np.int64), ("starts", np.uint32), ("lengths", np.uint32)))
+        ids, starts, lengths = (np.concatenate([loosened(v, k) for v in rows.column(c)]) for c, k in (("ids", np.int64), ("starts", np.uint32), ("lengths", np.uint32)))
         starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
         known: dict[bytes, int] = {}
         kind, at = np.empty(len(ids), np.int64), 0
         for blob, listed in zip(rows.column("data"), rows.column("lengths"), strict=True):
-            blob, place = blob.as_py(), 0
-            for n in np.frombuffer(listed.as_py(), np.uint32).tolist():
+            blob, place = loosened(blob, np.uint8).tobytes(), 0
+            for n in loosened(listed, np.uint32).tolist():
                 kind[at] = known.setdefault(blob[place : place + n], len(known))
                 place, at = place + n, at + 1
         distinct = list(known)
@@ -216,30 +233,35 @@ def merged_spans(pairs: list[tuple[int, int]], length: int) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, *, size: int = 50, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): arrays of byte spans (a, b), not merged; whole repeated texts end at 2**62."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def repeated_spans(source: DataFrame, *, size: int = 50, shards: int | None = None) -> DataFrame:
+    """(id, spans) of keyed documents: arrays of byte spans (a, b), not merged; those of whole
+    repeated texts end at 2**62."""
     if size < GRAM:
         raise ValueError(f"strings need {GRAM} bytes at least")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     if shards is None:
         shards = max(8, int((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
-    sent = _send_anchors(source, size, shards).repartition(shards, "shard")
+    # Later ones of equal texts: known by two hashes of the whole text.
+    alike = source.where((F.octet_length("text") >= size) & (F.col("id") != NO_ID)).select("id", F.xxhash64("text").alias("x"), F.md5("text").alias("y"))
+    firsts = alike.groupBy("x", "y").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("x", "y", "first")
+    later = materialize(alike.join(firsts, ["x", "y"]).where("id > first").select("id").distinct(), "copies")
+    sent = _send_anchors(source.join(later, "id", "left_anti"), size, shards).repartition(shards, "shard")
     shared = sent.groupBy("shard").applyInArrow(_shared, "id long, shard int, rest binary")
     by_doc = shared.groupBy("id").agg(F.collect_list(F.struct("shard", "rest")).alias("anchors"))
     segments = _send_segments(source.join(by_doc, "id"), size, shards).repartition(shards, "shard")
     spans = segments.groupBy("shard").applyInArrow(_spans_of(size), "id long, a long, b long")
-    # Later ones of equal texts: known by a 128-bit digest of two hashes and the length.
-    alike = source.where(F.octet_length("text") >= size).select("id", F.xxhash64("text").alias("x"), F.md5("text").alias("y"))
-    firsts = alike.groupBy("x", "y").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("x", "y", "first")
-    whole = alike.join(firsts, ["x", "y"]).where("id > first").select("id", F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b"))
+    whole = later.select("id", F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b"))
     return spans.union(whole).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``with_text`` is off, the
     bytes that are kept, for every row."""
-    spans = repeated_spans(docs, size=size, shards=shards, id_col=id_col, text_col=text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = keyed(docs, id_col, text_col)
+    spans = repeated_spans(source, size=size, shards=shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -258,4 +280,5 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", *(n for n, _ in fields)])
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return source.join(spans, "id", "left").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    out = source.join(spans, "id", "left").mapInArrow(run, schema)
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), *(c for c in out.columns if c != "id"))
