@@ -12,6 +12,10 @@ from tsforge.llm import bpe, decontaminate, language_id, line_dedup, minhash
 from tsforge.llm.common import materialize, table
 
 
+#: A line of at least this many words counts as a repeated run alone.
+LINE_WORDS = 8
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among ``ids``; rows without a doc_id stay."""
     return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
@@ -24,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose every line to earlier copies go; n_chars follows the text."""
-    cleaned = line_dedup.drop_repeated_lines(docs).where("not line_dedup.emptied")
+    cleaned = line_dedup.drop_repeated_lines(docs, words=LINE_WORDS).where("not line_dedup.emptied")
     n_chars = F.when(F.col("line_dedup.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

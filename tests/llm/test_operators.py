@@ -263,6 +263,21 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.drop_repeated_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_long_lines_count_alone(spark):
+    nine, seven = "one two three four five six seven eight nine", "one two three four five six seven"
+    texts = [f"a\n{nine}\nb", f"c\n \t{nine} \nd", nine, f"e\n{seven}\nf", f"g\n{seven}\nh", seven, f"{nine}\ni\n{nine}", "p q\nr s", "p q\nr s", None, ""]
+    got = {r["doc_id"]: (r["text"], r["line_dedup"]["n_removed"], r["line_dedup"]["emptied"]) for r in line_dedup.drop_repeated_lines(docs(spark, texts), words=8).collect()}
+    want = {i: (t, 0, False) for i, t in enumerate(texts)} | {1: ("c\nd", 1, False), 2: ("", 1, True), 6: ("i", 2, False), 8: ("", 2, True)}
+    assert got == want
+    texts, seen = corpus(13), {}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs(spark, texts), words=8).collect()}
+    for i, text in enumerate(texts):
+        full = [(k, x.strip(" \t\r\v\f")) for k, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\v\f")]
+        runs = [*zip(full, full[1:], strict=False), *((x,) for x in full if len(x[1].split()) >= 8)]
+        gone = {k for run in runs if seen.setdefault(tuple(x for _, x in run), (i, run[0][0])) != (i, run[0][0]) for k, _ in run}
+        assert got[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+
+
 # Nearest neighbours
 
 

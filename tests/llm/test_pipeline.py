@@ -33,6 +33,14 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(kept[4])
 
 
+def test_one_long_line_between_other_lines_goes(spark, folder):
+    line = "this notice of nine words stands in every document"
+    rows = [(i, f"first {i}\n{line}\nlast {i}", "en", "src0", 1) for i in range(3)] + [(3, line, "en", "src0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, folder).collect()}
+    assert got == {0: rows[0][1], 1: "first 1\nlast 1", 2: "first 2\nlast 2"}
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

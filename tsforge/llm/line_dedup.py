@@ -2,11 +2,14 @@
 
 A document is the sequence of its lines that hold more than white space, trimmed and hashed. A
 run is repeated if at least ``window`` consecutive lines of it stand in the same order earlier
-(in a document of smaller id, or further up in the same one). Of every ``window`` consecutive
+(in a document of smaller id, or further up in the same one). With ``words``, a single line of at
+least that many words (parted by white space) is a repeated run as well, whatever stands around
+it, also where it is a document's only line. Of every ``window`` consecutive
 lines the one with the smallest hash is a fingerprint, so each run of that length holds one.
 Fingerprints that occur once in the corpus end the search where they stand. Around the others a
 match is extended both ways: the windows that reach from the fingerprint to either side are
-hashed whole, and the earliest place of each is found. Every window that has an earlier place is
+hashed whole, and the earliest place of each is found. A line of ``words`` words is a window of
+its own and its own fingerprint. Every window that has an earlier place is
 deleted; overlapping windows make up the longest repeated runs.
 
 Counts and earliest places are summed before the shuffle, so a line that a third of all
@@ -30,25 +33,30 @@ def line_array(text: str | Column) -> Column:
     return F.split(F.col(text) if isinstance(text, str) else text, "\n", -1)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and the hashes of its lines that aren't blank, with their places in the text."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, words: int | None) -> DataFrame:
+    """id and the hashes of its lines that aren't blank, with their places in the text and whether
+    they are long enough to count alone."""
+    alone = lambda x: F.lit(False) if words is None else F.regexp_count(x, F.lit("[^ ]+")) >= words
     trimmed = F.transform(line_array(text_col), lambda x: F.trim(F.translate(x, "\t\r\v\f", "    ")))
-    placed = F.transform(trimmed, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"), (x != "").alias("full")))
+    placed = F.transform(trimmed, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"), (x != "").alias("full"), alone(x).alias("alone")))
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("id"), F.filter(placed, lambda x: x["full"]).alias("lines"))
     )
 
 
-def repeated_lines(docs: DataFrame, *, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, window: int = 2, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, at): the lines (from 0) that lie in a later copy of a run."""
+    rows = _lines(docs, id_col, text_col, words)
     ends = F.sequence(F.lit(0), F.size("lines") - window)
+    runs = F.when(F.size("lines") >= window, F.transform(ends, lambda i: F.slice("lines", i + 1, window))).otherwise(F.array())
+    if words is not None:
+        runs = F.concat(runs, F.transform(F.filter("lines", lambda x: x["alone"]), lambda x: F.array(x)))
     windows = (
-        _lines(docs, id_col, text_col).where(F.size("lines") >= window)
-        .select("id", F.explode(F.transform(ends, lambda i: F.slice("lines", i + 1, window))).alias("w"))
+        rows.select("id", F.explode(runs).alias("w"))
         .select(
             "id",
-            F.xxhash64(*(F.col("w")[k]["h"] for k in range(window))).alias("whole"),
+            F.xxhash64(F.transform("w", lambda x: x["h"])).alias("whole"),
             F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at")))).alias("least"),
             F.transform("w", lambda x: x["at"]).alias("ats"),
         )
@@ -63,10 +71,10 @@ def repeated_lines(docs: DataFrame, *, window: int = 2, id_col: str = "doc_id",
     return later.select("id", F.explode("ats").alias("at"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, window: int = 2, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text_col`` without the lines of later copies, and the struct
     ``line_dedup`` of n_lines, n_removed and emptied (no line but blank ones is left)."""
-    gone = repeated_lines(docs, window=window, id_col=id_col, text_col=text_col)
+    gone = repeated_lines(docs, window=window, words=words, id_col=id_col, text_col=text_col)
     by_doc = gone.groupBy("id").agg(F.collect_set("at").alias("gone")).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
     joined = docs.join(by_doc, docs[id_col].cast("long") == F.col("__id"), "left")
     lines = line_array(docs[text_col])
