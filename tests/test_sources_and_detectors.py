@@ -62,6 +62,24 @@ def test_detectors_find_what_stands_out(spark):
     assert 193 <= errors.argmax() <= 200
 
 
+def test_forest_pool_is_every_later_row(spark):
+    y = np.random.default_rng(3).normal(size=400)
+    y[100] = 40
+    rows = detectors.window_features(series(spark, y))
+    got = detectors.isolation_forest(rows, trees=20, train_rows=50).toPandas().sort_values("ds").reset_index(drop=True)
+    usable = sorted(r["ds"] for r in rows.where("usable").collect())
+    later = got["ds"] > usable[round(len(usable) * 0.7) - 1]
+    n = int(later.sum())
+    assert set(got["calib_n"]) == {n} and 50 < n == len(usable) - round(len(usable) * 0.7) and got["scorable"].sum() == len(usable)
+    pool = pd.to_numeric(got["score"][later]).to_numpy()
+    # A pool row's own p-value counts the pool rows that score as high or higher.
+    assert np.allclose(10.0**-pool * (n + 1) - 1, [(pool >= s - 1e-9).sum() for s in pool])
+    assert np.isclose(float(got["score"][100]), np.log10(n + 1)) and not got["score"][~got["scorable"]].notna().any()
+    none = detectors.isolation_forest(rows.limit(0)).toPandas()
+    one = detectors.isolation_forest(rows.where("usable").limit(1)).toPandas()
+    assert len(none) == 0 and len(one) == 1 and not one["scorable"].any()
+
+
 def test_online_conformal_keeps_its_rate(spark):
     rng = np.random.default_rng(1)
     rows = [("a", T0 + timedelta(hours=24 * w + h), T0 + timedelta(hours=24 * w - 1), float(rng.normal())) for w in range(60) for h in range(24)]

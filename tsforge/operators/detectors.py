@@ -1,7 +1,7 @@
 """Anomaly detectors beyond split conformal: online conformal, discords, isolation forest, PCA.
 
-All but the forest and the projection, which learn from a bounded sample, work on one series at a
-time: Spark deals series out, and a group is one series' rows.
+All but the forest, whose trees grow on a bounded sample, and the projection work on one series at
+a time: Spark deals series out, and a group is one series' rows.
 """
 
 from __future__ import annotations
@@ -119,10 +119,34 @@ def _path_length(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def isolation_forest(rows: DataFrame, *, trees: int = 100, size: int = 256, train_rows: int = 20000, seed: int = 7) -> DataFrame:
-    """Scores of window_features by an isolation forest that was grown on a bounded sample; the
-    score's p-value comes from that sample's own scores."""
-    data = _sample(rows, train_rows)
+def _time_split(rows: DataFrame, calib_fraction: float) -> str | None:
+    """Of the usable rows' distinct times in order, the last one of the part that trains; counts
+    by day find its day, so that one day's times are sorted at the most."""
+    times = rows.where("usable").select("ds").distinct().withColumn("day", F.to_date("ds"))
+    days = times.groupBy("day").count().orderBy("day").collect()
+    n = sum(r["count"] for r in days)
+    if not n:
+        return None
+    at = max(1, min(round(n * (1 - calib_fraction)), n - 1))
+    for r in days:
+        if at <= r["count"]:
+            break
+        at -= r["count"]
+    return times.where(F.col("day") == r["day"]).orderBy("ds").limit(at).agg(F.max("ds").cast("string")).first()[0]
+
+
+def isolation_forest(rows: DataFrame, *, trees: int = 100, size: int = 256, train_rows: int = 20000, calib_fraction: float = 0.3, seed: int = 7) -> DataFrame:
+    """Scores of window_features by an isolation forest. The distinct times of usable rows are
+    split: trees grow on a bounded sample of the rows of the earlier part, and every row of the
+    later part (``calib_fraction``) is the pool of the p-values, (1 + pool rows that are at least
+    as anomalous) / (pool rows + 1), for the rows of both parts. Nothing is scorable without a
+    row on each side."""
+    split = _time_split(rows, calib_fraction)
+    later = F.col("usable") & (F.col("ds") > F.lit(split).cast(rows.schema["ds"].dataType))
+    calib_n = rows.where(later).count()
+    if not calib_n:
+        return rows.select("unique_id", "ds", F.lit(None).cast("double").alias("score"), F.lit(False).alias("scorable"), F.lit(0).alias("calib_n"))
+    data = _sample(rows.where(~later), train_rows)
     rng = np.random.default_rng(seed)
 
     def grow(x: np.ndarray, depth: int):
@@ -134,7 +158,7 @@ def isolation_forest(rows: DataFrame, *, trees: int = 100, size: int = 256, trai
         low = x[:, axis] < cut
         return axis, cut, grow(x[low], depth - 1), grow(x[~low], depth - 1)
 
-    forest = [grow(data[rng.choice(len(data), min(size, len(data)), replace=False)], 8) for _ in range(trees)] if len(data) else []
+    forest = [grow(data[rng.choice(len(data), min(size, len(data)), replace=False)], 8) for _ in range(trees)]
 
     def walk(node, x: np.ndarray, depth: int) -> np.ndarray:
         if not isinstance(node, tuple):
@@ -143,21 +167,25 @@ def isolation_forest(rows: DataFrame, *, trees: int = 100, size: int = 256, trai
         out[low], out[~low] = walk(node[2], x[low], depth + 1), walk(node[3], x[~low], depth + 1)
         return out
 
-    def raw(x: np.ndarray) -> np.ndarray:
-        return 2.0 ** (-np.mean([walk(t, x, 0) for t in forest], axis=0) / max(_path_length(min(size, len(data))), 1e-9))
-
-    pool = np.sort(raw(data)) if forest else np.empty(0)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            usable = df["usable"].to_numpy(bool) & bool(forest)
-            score = np.full(len(df), np.nan)
-            if usable.any():
-                r = raw(df.loc[usable, list(FEATURES)].to_numpy(float))
-                score[usable] = -np.log10((1 + len(pool) - np.searchsorted(pool, r, "left")) / (len(pool) + 1))
-            yield pd.DataFrame({"unique_id": df["unique_id"], "ds": df["ds"], "score": np.where(usable, score, None), "scorable": usable, "calib_n": len(pool)})
-
-    return rows.mapInPandas(run, SCORES)
+            usable = df["usable"].to_numpy(bool)
+            depth, x = np.full(len(df), np.nan), df.loc[usable, list(FEATURES)].to_numpy(float)
+            # Summed tree by tree: the same row has the same depth in any batch.
+            depth[usable] = sum((walk(t, x, 0) for t in forest), np.zeros(len(x))) / len(forest)
+            yield pd.DataFrame({"unique_id": df["unique_id"], "ds": df["ds"], "scorable": usable, "depth": np.where(usable, depth, None)})
+
+    # A score falls with the depth, so pool rows no deeper than a row are at least as anomalous.
+    # They are counted by depth, then over slices of depth: no task sorts all of them.
+    scored = rows.mapInPandas(run, "unique_id string, ds timestamp_ntz, scorable boolean, depth double")
+    in_pool = F.col("ds") > F.lit(split).cast("timestamp_ntz")
+    each = scored.where("scorable").groupBy("depth").agg(F.sum(in_pool.cast("long")).alias("here")).withColumn("slice", F.floor(F.col("depth") * 1024))
+    slices = each.groupBy("slice").agg(F.sum("here").alias("here"))
+    before = slices.select("slice", F.coalesce(F.sum("here").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("slice").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = each.join(F.broadcast(before), "slice").select("depth", (F.col("before") + F.sum("here").over(within)).alias("reach"))
+    score = F.log10(F.lit(calib_n + 1) / (F.col("reach") + 1))
+    return scored.join(ranked, "depth", "left").select("unique_id", "ds", score.alias("score"), "scorable", F.lit(calib_n).cast("int").alias("calib_n"))
 
 
 def pca_reconstruction(df: DataFrame, *, length: int = 24, parts: int = 4, value: str = "y") -> DataFrame:
