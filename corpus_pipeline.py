@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.llm import bpe, decontaminate, language_id, line_dedup, minhash
@@ -21,9 +21,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _row_key() -> Column:
+    """A key of what a judgment of the row alone reads, with or without a doc_id. Hashes skip
+    nulls, so where they stand is hashed too."""
+    read = ("doc_id", "text", "lang", "source")
+    return F.xxhash64(*read, *(F.col(c).isNull() for c in read))
+
+
+def _without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the only column of ``keys``."""
+    return docs.withColumn("row_key", _row_key()).join(keys.toDF("row_key").distinct(), "row_key", "left_anti").select(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language_id.identify(docs, declared=F.col("lang"), host=F.col("source"))
-    return _without(docs, judged.where("not kept").select("doc_id"))
+    judged = language_id.identify(docs.withColumn("row_key", _row_key()), id_col="row_key", declared=F.col("lang"), host=F.col("source"))
+    return _without_rows(docs, judged.where("not kept").select("row_key"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    found = decontaminate.contaminated(docs.withColumn("row_key", _row_key()), table(spark, sf_dir, "benchmark"), doc_id="row_key")
+    return _without_rows(docs, found.select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

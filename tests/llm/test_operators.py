@@ -278,6 +278,12 @@ def test_long_lines_count_alone(spark):
         assert got[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
 
 
+def test_lines_of_one_id_with_different_texts(spark):
+    rows = [(1, "a\nb"), (5, "a\nb\nc"), (5, "own one\nown two\nown three"), (5, "own one\nown two\nown three"), (7, "own one\nown two\nend")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == sorted([rows[0], (5, "c"), rows[2], rows[3], (7, "end")])
+
+
 # Nearest neighbours
 
 

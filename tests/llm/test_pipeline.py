@@ -41,6 +41,16 @@ def test_one_long_line_between_other_lines_goes(spark, folder):
     assert got == {0: rows[0][1], 1: "first 1\nlast 1", 2: "first 2\nlast 2"}
 
 
+def test_judgments_of_one_row_leave_namesakes(spark, folder):
+    kept = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30").collect()]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = lambda stage, bad: sorted((r["doc_id"] or -1, r["text"]) for r in stage(spark, spark.createDataFrame(kept + bad, schema), folder).collect())
+    want = sorted((r[0] or -1, r[1]) for r in kept)
+    assert texts(corpus_pipeline.identify_language, [(None, "12 34 !!", "en", "src0", 8), (3, "56 78 ??", "en", "src1", 8)]) == want
+    assert texts(corpus_pipeline.drop_contaminated, [(None, f"x {item} y", "en", "src0", 9), (3, f"z {item} y", "en", "src1", 9)]) == want
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -17,8 +17,9 @@ documents hold gives one row a task; the join that carries them back is a plain
 adaptive execution splits where one key is hot. No pairs of occurrences are formed.
 
 Defined results: blank lines are kept and break no run; null and empty texts stay as they are;
-a row without id takes no part and stays whole; rows of the same id stand at the same place, so
-that neither is earlier than the other; a document that loses every line has the text ''.
+a row without id takes no part and stays whole; rows alike in id and text stand at the same place,
+so that neither is earlier than the other; different texts of one id are documents of their own,
+in the order of their hashes; a document that loses every line has the text ''.
 """
 
 from __future__ import annotations
@@ -34,49 +35,51 @@ def line_array(text: str | Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, words: int | None) -> DataFrame:
-    """id and the hashes of its lines that aren't blank, with their places in the text and whether
-    they are long enough to count alone."""
+    """id, the text's hash as key, and the hashes of its lines that aren't blank, with their places
+    in the text and whether they are long enough to count alone."""
     alone = lambda x: F.lit(False) if words is None else F.regexp_count(x, F.lit("[^ ]+")) >= words
     trimmed = F.transform(line_array(text_col), lambda x: F.trim(F.translate(x, "\t\r\v\f", "    ")))
     placed = F.transform(trimmed, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"), (x != "").alias("full"), alone(x).alias("alone")))
     return (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), F.filter(placed, lambda x: x["full"]).alias("lines"))
+        .select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.filter(placed, lambda x: x["full"]).alias("lines"))
     )
 
 
 def repeated_lines(docs: DataFrame, *, window: int = 2, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at): the lines (from 0) that lie in a later copy of a run."""
+    """(id, key, at): the lines (from 0) that lie in a later copy of a run, of the text with that
+    id and hash."""
     rows = _lines(docs, id_col, text_col, words)
     ends = F.sequence(F.lit(0), F.size("lines") - window)
     runs = F.when(F.size("lines") >= window, F.transform(ends, lambda i: F.slice("lines", i + 1, window))).otherwise(F.array())
     if words is not None:
         runs = F.concat(runs, F.transform(F.filter("lines", lambda x: x["alone"]), lambda x: F.array(x)))
     windows = (
-        rows.select("id", F.explode(runs).alias("w"))
+        rows.select("id", "key", F.explode(runs).alias("w"))
         .select(
             "id",
+            "key",
             F.xxhash64(F.transform("w", lambda x: x["h"])).alias("whole"),
             F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at")))).alias("least"),
             F.transform("w", lambda x: x["at"]).alias("ats"),
         )
     )
-    windows = windows.select("id", "whole", "ats", F.col("least.h").alias("print"), F.col("least.at").alias("print_at"))
-    seen_at = F.struct("id", "print_at")
+    windows = windows.select("id", "key", "whole", "ats", F.col("least.h").alias("print"), F.col("least.at").alias("print_at"))
+    seen_at = F.struct("id", "key", "print_at")
     prints = windows.groupBy("print").agg(F.min(seen_at).alias("low"), F.max(seen_at).alias("high"))
-    matched = materialize(windows.join(prints.where("low < high").select("print"), "print").select("id", "whole", "ats"), "windows")
-    place = F.struct("id", F.col("ats")[0].alias("at"))
+    matched = materialize(windows.join(prints.where("low < high").select("print"), "print").select("id", "key", "whole", "ats"), "windows")
+    place = F.struct("id", "key", F.col("ats")[0].alias("at"))
     first = matched.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("whole", "first")
     later = matched.join(first, "whole").where(place > F.col("first"))
-    return later.select("id", F.explode("ats").alias("at"))
+    return later.select("id", "key", F.explode("ats").alias("at"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, window: int = 2, words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text_col`` without the lines of later copies, and the struct
     ``line_dedup`` of n_lines, n_removed and emptied (no line but blank ones is left)."""
     gone = repeated_lines(docs, window=window, words=words, id_col=id_col, text_col=text_col)
-    by_doc = gone.groupBy("id").agg(F.collect_set("at").alias("gone")).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(by_doc, docs[id_col].cast("long") == F.col("__id"), "left")
+    by_doc = gone.groupBy("id", "key").agg(F.collect_set("at").alias("gone")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    joined = docs.join(by_doc, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left")
     lines = line_array(docs[text_col])
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
