@@ -248,6 +248,21 @@ def test_repeats_equal_brute_force(spark):
 # Line dedup
 
 
+def test_tables_keep_their_miss_rate(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def asked(docs, *, rows, collections, **_):
+        raise Asked(rows, collections)
+
+    monkeypatch.setattr(minhash, "signatures", asked)
+    for percent, want in ((80, 20), (85, 14)):
+        with pytest.raises(Asked) as e:
+            minhash.near_duplicates(docs(spark, ["a"]), percent=percent)
+        rows, collections = e.value.args
+        assert collections == want and 1 - (1 - (1 - (percent / 100) ** rows) ** collections) ** 2 <= 1 / 15000
+
+
 def test_lines_equal_brute_force(spark):
     texts = [*corpus(11), "a line\nb line\nc line", "b line\nc line\nd", "q\n\nb line\n \nc line", "a line\nb line\na line\nb line"]
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs(spark, texts)).collect()}

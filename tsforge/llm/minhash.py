@@ -3,8 +3,9 @@
 Two collections A and B of ``collections`` entries each hold ``rows`` minhashes an entry. A table
 (i, j) has the pair (A_i, B_j) as its key, so 2 * collections * rows minhashes serve
 collections ** 2 tables of 2 * rows minhashes. Two sets of Jaccard similarity s share a table
-with probability (1 - (1 - s ** rows) ** collections) ** 2; with the defaults a link at exactly
-0.85 goes unseen once in about 15,000 and one at 0.9 once in 10 ** 8.
+with probability (1 - (1 - s ** rows) ** collections) ** 2. Unless ``collections`` is given, it is
+the least number with which a link at exactly the threshold goes unseen once in 15,000 at the most:
+14 at 0.85 (one at 0.9 then goes unseen once in 10 ** 8) and 20 at 0.80.
 
 Before keys are formed, entries that no other set has are struck out, so texts without a
 relative emit next to nothing. Equal sets are one class from the start. Within a table's bucket
@@ -23,6 +24,7 @@ of fewer words than a shingle is one shingle; repeated rows of one id are one do
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,16 @@ from tsforge.llm.components import components
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: How often a link at exactly the threshold may share no table.
+MISS = 1 / 15000
+
+
+def collections_for(percent: int, rows: int) -> int:
+    """The least number of collections that keeps MISS at a similarity of ``percent`` hundredths."""
+    alone = 1 - (percent / 100) ** rows
+    return max(1, math.ceil(math.log(1 - math.sqrt(1 - MISS)) / math.log(alone))) if alone > 0 else 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX[0]
     x = (x ^ (x >> np.uint64(27))) * MIX[1]
@@ -225,10 +237,12 @@ def _still_open(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     return (now, left, held) if left else None
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, collections: int = 14,
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, collections: int | None = None,
                     rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (the smallest id reachable over links) and kept, one
     row for each distinct id. ``percent`` is the least Jaccard similarity in hundredths."""
+    if collections is None:
+        collections = collections_for(percent, rows)
     found = signatures(docs.where(F.col(id_col).isNotNull()), width=width, rows=rows, collections=collections, id_col=id_col, text_col=text_col)
     found = materialize(found.dropDuplicates(["id"]), "signatures")
     classes = found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"))
