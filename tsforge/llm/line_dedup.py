@@ -6,9 +6,9 @@ run is repeated if at least ``window`` consecutive lines of it stand in the same
 least that many words (parted by white space) is a repeated run as well, whatever stands around
 it, also where it is a document's only line. Of every ``window`` consecutive
 lines the one with the smallest hash is a fingerprint, so each run of that length holds one.
-Fingerprints that occur once in the corpus end the search where they stand. Around the others a
-match is extended both ways: the windows that reach from the fingerprint to either side are
-hashed whole, and the earliest place of each is found. A line of ``words`` words is a window of
+Fingerprints that occur once in the corpus end the search where they stand. In place of extending
+matches pair by pair, the windows around the others are hashed whole and grouped by that hash, and
+the earliest place of each is found. A line of ``words`` words is a window of
 its own and its own fingerprint. Every window that has an earlier place is
 deleted; overlapping windows make up the longest repeated runs.
 
