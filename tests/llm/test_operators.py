@@ -213,23 +213,42 @@ def test_components(spark):
 # Suffix arrays and repeats
 
 
-@pytest.mark.parametrize("most", [3, 2048])
-def test_suffix_array(monkeypatch, most):
-    monkeypatch.setattr(suffix_array, "MOST_SYMBOLS", most)
+@pytest.mark.parametrize("few", [3, 1024])
+def test_suffix_array_and_common_prefixes(monkeypatch, few):
+    monkeypatch.setattr(suffix_array, "FEW_SYMBOLS", few)
     rng = random.Random(8)
     for _ in range(600):
         s = np.array([rng.randrange(1, rng.choice((2, 3, 5, 200))) for _ in range(rng.randrange(1, 60))])
-        assert suffix_array.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        order = suffix_array.suffix_array(s)
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        shared = suffix_array.common_prefixes(s.astype(np.uint16), order)
+        for a, b in zip(order, order[1:], strict=False):
+            assert shared[b] == next((k for k in range(len(s) - max(a, b)) if s[a + k] != s[b + k]), len(s) - max(a, b))
+
+
+def test_segments_are_known_by_their_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 4000).astype(np.uint8)
+    twice = np.concatenate([rng.integers(97, 123, 333).astype(np.uint8), data])
+    _, one, first, last = repeats.segments(data, 50)
+    assert len(set(one.tolist())) == len({data[a : b + 50].tobytes() for a, b in zip(first, last, strict=True)})
+    assert len(np.intersect1d(one, repeats.segments(twice, 50)[1])) >= len(one) - 2
 
 
 def test_repeats_equal_brute_force(spark):
+    rng = random.Random(2)
     texts = [*corpus(9), "é" * 60, "x" * 400, "x" * 90 + "é" * 60]
+    passage = "".join(rng.choice("abcdefg hij") for _ in range(120))
+    for k in range(30):  # one passage between different neighbours, and cut off at different places
+        around = ["".join(rng.choice("abcdefg hij") for _ in range(rng.randrange(90))) for _ in range(2)]
+        texts.append(around[0] + passage[rng.randrange(40) : 120 - rng.randrange(40)] + around[1])
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
     frame = docs(spark, texts, ids).union(docs(spark, texts[:3], ids[:3])).union(docs(spark, [texts[0]], [None]))
     got = defaultdict(set)
     for r in repeats.remove_repeats(frame).collect():
         got[r["doc_id"]].add((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
+        assert r["n_removed"] == sum(b - a for a, b in r["spans"]) and len(r["spans"]) == r["n_spans"]
     seen = set()
     for i, text in sorted(zip(ids, texts, strict=True)):
         data = (text or "").encode()

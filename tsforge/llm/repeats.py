@@ -5,21 +5,27 @@ Every string of ``size`` bytes has an anchor: the smallest hash of the 16-byte s
 Equal strings have equal anchors, and neighbouring strings mostly share theirs, so each document
 falls into segments (the strings of one anchor in a row, about 67 bytes at size 50).
 
-1. Of equal texts the later ones are repeats whole. Every other document sends its anchors'
-   hashes, packed by hash range; anchors that only one document has are dropped.
-2. The others' segments go to shards by anchor, equal ones of a shard once. Each shard's string of
-   segments gets a suffix array by induced sorting (suffix_array.py), and permuted common prefixes
-   of ``size`` bytes cut it into groups of equal strings. A group's smallest document keeps its
-   string; in the others the string's bytes are repeats.
-3. Each document's spans are merged and cut out.
-
-Anchors decide only where strings meet; what repeats is decided on bytes, but for two hashes
-(192 bits) of whole texts. Shards grow in number with the input. A passage that very many documents share
-fills a shard with one short row for each of them.
+1. Each task sums up its documents' segments: of equal ones the smallest id alone goes on, to a
+   shard by anchor, as two hashes (96 bits of anchor and segment); the others are known to be
+   repeats whole. A shard settles the same over all tasks. What is left is one owner for each
+   distinct segment, and only those whose anchor has several distinct segments can hold a string
+   that another holds.
+2. These owners send their bytes, so each distinct segment once, to the shards. Each shard's
+   string of segments gets a suffix array by induced sorting (suffix_array.py), and permuted common
+   prefixes of ``size`` bytes and more join neighbours into groups of equal strings. A group's
+   smallest document keeps its string; in the others it is a repeat.
+3. Each document's repeated segments and parts of segments, known by the segment's hash, are
+   merged and cut out.
+
+Shards grow in number with the input, and equal segments meet as one row for each million segments
+that a task read. What has no such bound is the number of distinct segments of one anchor: a
+passage that very many documents hold between different neighbours brings its shard two segments
+for each of them.
 
 Defined results: null and empty texts have nothing removed; a row without id takes no part and
-keeps its text; rows of one id are one document, so that neither repeats the other; strings never
-cross documents; what is judged is the input, not what is left.
+keeps its text; rows of one id are one document, so that neither repeats the other, and what it
+repeats is cut from each of them; strings never cross documents; what is judged is the input, not
+what is left.
 """
 
 from __future__ import annotations
@@ -29,36 +35,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.common import materialize, sliced
 from tsforge.llm.minhash import mixed
-from tsforge.llm.suffix_array import shares_prefix, suffix_array, words_at
+from tsforge.llm.suffix_array import common_prefixes, suffix_array, words_at
 
 GRAM = 16
-#: Stands for a null id, so that every join finds the texts dealt out by the same column alike and
-#: Spark deals them once for all of them.
-NO_ID = -(1 << 63)
 #: Bytes of text for each shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 4 << 20
+#: Segments that a task sums up at once.
+TOGETHER = 1_000_000
+#: An odd factor whose powers tell the places inside a segment apart.
+STEP = 0x9E3779B97F4A7C15
 
 
-def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, last start) of the runs of starts whose strings share an anchor."""
+class Powers:
+    """Powers of STEP modulo 2**64, and of its inverse, as far as a text needs them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, count: int) -> None:
+        if len(self.up) < count:
+            size = max(count, 2 * len(self.up))
+            self.up, self.down = (
+                np.cumprod(np.append(np.uint64(1), np.full(size - 1, factor, np.uint64))) for factor in (np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64)))
+            )
+
+
+POWERS = Powers()
+
+
+def segments(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, hash of the bytes, first start, last start) of the runs of starts whose strings
+    share an anchor."""
     count = len(data) - size + 1
     if count <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     words = words_at(data)
-    grams = mixed(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + mixed(words[8:]))
+    grams = mixed(words[:-8] * np.uint64(STEP) + mixed(words[8:]))
     wide, done = grams, 1
     width = size - GRAM + 1
     while done * 2 <= width:
         wide, done = np.minimum(wide[:-done], wide[done:]), done * 2
     least = np.minimum(wide[:count], wide[width - done : width - done + count])
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return least[first], first, np.append(first[1:], count) - 1
+    last = np.append(first[1:], count) - 1
+    # The segment's 16-byte strings weighted by powers of their places, summed; the powers' start
+    # at the document's begin is divided out, so that only the segment's own bytes count.
+    POWERS.reach(len(grams))
+    sums = np.append(np.uint64(0), np.cumsum(grams * POWERS.up[: len(grams)]))
+    return least[first], mixed((sums[last + width] - sums[first]) * POWERS.down[first] + (last - first).astype(np.uint64)), first, last
 
 
 def shard_and_rest(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +100,10 @@ def text_bytes(value) -> bytes:
     return (value.as_py() or "").encode()
 
 
-def groups_of(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else []
-    for a, b in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
-        yield int(keys[order[a]]), order[a:b]
+def runs_of(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, begin, end) of the runs of equal keys."""
+    cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    yield from zip(keys[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
 def squeezed(values: np.ndarray | bytes) -> bytes:
@@ -85,200 +115,243 @@ def loosened(value, kind) -> np.ndarray:
 
 
 def packed(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v.as_py(), kind) for v in column] or [np.empty(0, kind)])
+    return np.concatenate([np.frombuffer(v.as_py(), kind) for v in column if v.is_valid] or [np.empty(0, kind)])
+
+
+def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+SENT = [("shard", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("rest", pa.binary()), ("hashes", pa.binary())]
+SENT_SCHEMA = "shard int, ids binary, counts binary, rest binary, hashes binary"
+
 
+def _by_shard(shard: np.ndarray, ids: np.ndarray, rest: np.ndarray | None, hashes: np.ndarray) -> list[tuple]:
+    """Rows (shard, ids, counts, rest, hashes) of entries in the order of shards, then of ids."""
+    rows = []
+    for s, a, b in runs_of(shard):
+        own = ids[a:b]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        # Ascending ids as their differences, which pack well.
+        rows.append((
+            s, squeezed(np.diff(own[starts], prepend=0)), squeezed(np.diff(np.append(starts, b - a)).astype(np.uint32)),
+            None if rest is None else rest[a:b].tobytes(), hashes[a:b].tobytes(),
+        ))
+    return rows
+
+
+def _send_hashes(source: DataFrame, size: int, shards: int) -> DataFrame:
+    """By shard: owners of segments so far (rest of the anchor, hash), and, with a null rest,
+    segments that are repeats already, dealt by id."""
 
-def _send_anchors(source: DataFrame, size: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, ids, held = [], [], [], 0
+        anchors, hashes, owners, ids, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            id_of = np.array(ids, np.int64)[order]
-            shard, rest = shard_and_rest(np.concatenate(hashes), shards)
-            owner, rows = rank[np.concatenate(owners)], []
-            for s, at in groups_of(shard):
-                at = at[np.argsort(owner[at], kind="stable")]
-                own, counts = np.unique(owner[at], return_counts=True)
-                # Ascending ids as their differences, which pack well.
-                rows.append((s, squeezed(np.diff(id_of[own], prepend=0)), squeezed(counts.astype(np.uint32)), rest[at].tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 3)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "ids", "counts", "rest"])
+            id_of, owner = np.unique(np.array(ids, np.int64), return_inverse=True)
+            owner = owner[np.repeat(np.arange(len(ids)), owners)]
+            anchor, found = np.concatenate(anchors), np.concatenate(hashes)
+            order = np.argsort(found, kind="stable")
+            starts = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1]))
+            least = np.minimum.reduceat(owner[order], starts)
+            again = order[owner[order] > np.repeat(least, np.diff(np.append(starts, len(order))))]
+            shard, rest = shard_and_rest(anchor[order[starts]], shards)
+            at = np.lexsort((least, shard))
+            rows = _by_shard(shard[at], id_of[least[at]], rest[at], found[order[starts]][at])
+            if len(again):
+                deal = (mixed(id_of[owner[again]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                at = np.lexsort((owner[again], deal))
+                rows += _by_shard(deal[at], id_of[owner[again[at]]], None, found[again[at]])
+            return batch_of(rows, SENT)
 
         for batch in sliced(batches):
             for name, text in zip(batch.column("id"), batch.column("text"), strict=True):
-                found = np.unique(anchors(np.frombuffer(text_bytes(text), np.uint8), size)[0])
-                if len(found) and name.as_py() != NO_ID:
+                anchor, found, _, _ = segments(np.frombuffer(text_bytes(text), np.uint8), size)
+                if len(found):
+                    anchors.append(anchor)
                     hashes.append(found)
-                    owners.append(np.full(len(found), len(ids)))
+                    owners.append(len(found))
                     ids.append(name.as_py())
                     held += len(found)
-                if held >= 1_000_000:
+                if held >= TOGETHER:
                     yield flush()
-                    hashes, owners, ids, held = [], [], [], 0
+                    anchors, hashes, owners, ids, held = [], [], [], [], 0
         if held:
             yield flush()
 
-    return source.mapInArrow(run, "shard int, ids binary, counts binary, rest binary")
+    return source.mapInArrow(run, SENT_SCHEMA)
+
 
+def _listed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([np.cumsum(loosened(v, np.int64)) for v in rows.column("ids")] or [np.empty(0, np.int64)])
+    counts = np.concatenate([loosened(v, np.uint32) for v in rows.column("counts")] or [np.empty(0, np.uint32)])
+    return np.repeat(ids, counts), packed(rows.column("hashes"), np.uint64)
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """Of one shard: the anchors that several documents have, by document."""
-    shard = rows.column("shard")[0].as_py()
-    own = np.concatenate([np.cumsum(loosened(v, np.int64)) for v in rows.column("ids")])
-    ids = np.repeat(own, np.concatenate([loosened(v, np.uint32) for v in rows.column("counts")]))
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """Of one shard, by document: hashes of segments that are repeats whole, and of those that it
+    owns and that have to meet others."""
+    known = pc.is_valid(rows.column("rest"))
+    done_ids, done = _listed(rows.filter(pc.invert(known)))
+    rows = rows.filter(known)
+    ids, hashes = _listed(rows)
     rest = packed(rows.column("rest"), np.uint32)
-    order = np.argsort(rest, kind="stable")
-    starts = np.flatnonzero(np.append(True, rest[order][1:] != rest[order][:-1]))
-    low, high = np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
-    several = np.empty(len(rest), bool)
-    several[order] = np.repeat(low != high, np.diff(np.append(starts, len(rest))))
-    keep = np.flatnonzero(several)
-    out = [(int(ids[at[0]]), np.unique(rest[at]).tobytes()) for _, at in ((k, keep[a]) for k, a in groups_of(ids[keep]))]
-    return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "rest": pa.array([o[1] for o in out], pa.binary())})
+    order = np.lexsort((ids, hashes, rest))
+    rest, hashes, ids = rest[order], hashes[order], ids[order]
+    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (rest[1:] != rest[:-1]))[: len(ids)]
+    owner = ids[np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))] if len(ids) else ids
+    again = ids > owner
+    anchor = np.flatnonzero(np.append(True, rest[fresh][1:] != rest[fresh][:-1])[: int(fresh.sum())])
+    several = np.repeat(np.diff(np.append(anchor, fresh.sum())) > 1, np.diff(np.append(anchor, fresh.sum())))
+    sends = np.flatnonzero(fresh)[several]
+    out = []
+    for kind, (who, what) in enumerate(((np.concatenate([done_ids, ids[again]]), np.concatenate([done, hashes[again]])), (ids[sends], hashes[sends]))):
+        order = np.argsort(who, kind="stable")
+        for name, a, b in runs_of(who[order]):
+            blob = what[order[a:b]].tobytes()
+            out.append((name, None, blob) if kind else (name, blob, None))
+    return pa.Table.from_batches([batch_of(out, [("id", pa.int64()), ("whole", pa.binary()), ("sends", pa.binary())])])
+
 
+PIECES = [("shard", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary()), ("data", pa.binary())]
 
-def _send_segments(wanted: DataFrame, size: int, shards: int) -> DataFrame:
-    """wanted: id, text and anchors (shard, rest), packed by shard like the anchors were."""
+
+def _send_pieces(wanted: DataFrame, size: int, shards: int) -> DataFrame:
+    """wanted: id, text and sends, the hashes of the segments whose bytes go to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard_list, id_list, start_list, length_list, pieces = [], [], [], [], []
+        held: list[tuple[np.ndarray, ...]] = []
+        pieces: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            shard, ids, starts, lengths = (np.concatenate(x) for x in (shard_list, id_list, start_list, length_list))
-            rows = [
-                (s, squeezed(ids[at]), squeezed(starts[at].astype(np.uint32)), squeezed(lengths[at].astype(np.uint32)), squeezed(b"".join(pieces[i] for i in at)))
-                for s, at in groups_of(shard)
-            ]
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            for held in (shard_list, id_list, start_list, length_list, pieces):
-                held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "ids", "starts", "lengths", "data"])
+            shard, ids, lengths, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, rows = np.argsort(shard, kind="stable"), []
+            for s, a, b in runs_of(shard[order]):
+                at = order[a:b]
+                rows.append((s, squeezed(ids[at]), squeezed(lengths[at].astype(np.uint32)), hashes[at].tobytes(), squeezed(b"".join(pieces[i] for i in at.tolist()))))
+            held.clear()
+            pieces.clear()
+            return batch_of(rows, PIECES)
 
         for batch in sliced(batches):
-            for name, text, listed in zip(batch.column("id"), batch.column("text"), batch.column("anchors"), strict=True):
+            for name, text, sends in zip(batch.column("id"), batch.column("text"), batch.column("sends"), strict=True):
                 data = text_bytes(text)
-                hashes, first, last = anchors(np.frombuffer(data, np.uint8), size)
-                shard, rest = shard_and_rest(hashes, shards)
-                keys = [np.frombuffer(x["rest"], np.uint32).astype(np.uint64) | np.uint64(x["shard"] << 32) for x in listed.as_py()]
-                at = np.flatnonzero(np.isin(rest.astype(np.uint64) | shard.astype(np.uint64) << np.uint64(32), np.concatenate(keys)))
-                shard_list.append(shard[at])
-                id_list.append(np.full(len(at), name.as_py(), np.int64))
-                start_list.append(first[at])
-                length_list.append(last[at] - first[at] + size)
+                anchor, hashes, first, last = segments(np.frombuffer(data, np.uint8), size)
+                at = np.flatnonzero(np.isin(hashes, packed(sends.values, np.uint64)))
+                held.append((shard_and_rest(anchor[at], shards)[0], np.full(len(at), name.as_py(), np.int64), last[at] - first[at] + size, hashes[at]))
                 pieces += [data[a : b + size] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
-                if len(pieces) >= 150_000:
+                if len(pieces) >= TOGETHER // 8:
                     yield flush()
         if pieces:
             yield flush()
 
-    return wanted.mapInArrow(run, "shard int, ids binary, starts binary, lengths binary, data binary")
-
-
-def _spans_of(size: int):
-    def spans(rows: pa.Table) -> pa.Table:
-        """Of one shard: the spans of documents that repeat a string of a smaller document."""
-        ids, starts, lengths = (np.concatenate([loosened(v, k) for v in rows.column(c)]) for c, k in (("ids", np.int64), ("starts", np.uint32), ("lengths", np.uint32)))
-        starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
-        known: dict[bytes, int] = {}
-        kind, at = np.empty(len(ids), np.int64), 0
-        for blob, listed in zip(rows.column("data"), rows.column("lengths"), strict=True):
-            blob, place = loosened(blob, np.uint8).tobytes(), 0
-            for n in loosened(listed, np.uint32).tolist():
-                kind[at] = known.setdefault(blob[place : place + n], len(known))
-                place, at = place + n, at + 1
-        distinct = list(known)
-        sizes = np.array([len(x) for x in distinct], np.int64)
-        owner = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(owner, kind, ids)
-        data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8)
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        symbols = data.astype(np.int64) + 2
-        symbols[begin + sizes] = 1
-        windows = sizes - size + 1
-        valid = np.zeros(len(data), bool)
-        place = np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-        valid[place] = True
+    return wanted.mapInArrow(run, "shard int, ids binary, lengths binary, hashes binary, data binary")
+
+
+#: A part of a segment: the segment's hash, and the part's begin and end in it.
+PART = np.dtype([("hash", "<u8"), ("a", "<u4"), ("b", "<u4")])
+
+
+def _parts_of(size: int):
+    def parts(rows: pa.Table) -> pa.Table:
+        """Of one shard, by document: the parts of its segments that repeat a string of a smaller
+        document."""
+        ids, lengths = (np.concatenate([loosened(v, k) for v in rows.column(c)]) for c, k in (("ids", np.int64), ("lengths", np.uint32)))
+        hashes, blob = packed(rows.column("hashes"), np.uint64), b"".join(zstandard.decompress(v.as_py()) for v in rows.column("data"))
+        begin = np.append(0, np.cumsum(lengths.astype(np.int64)))
+        # Rows of one id send a segment each; one is enough.
+        one = np.sort(np.unique(hashes, return_index=True)[1])
+        ids, hashes, lengths = ids[one], hashes[one], lengths[one].astype(np.int64)
+        symbols = np.frombuffer(b"\0".join(blob[begin[k] : begin[k + 1]] for k in one.tolist()) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
+        ends = np.cumsum(lengths + 1) - 1
+        symbols[ends] = 1
+        of = np.repeat(np.arange(len(ids)), lengths + 1)
+        valid = np.arange(len(symbols)) <= ends[of] - size
         order = suffix_array(symbols)
-        equal = shares_prefix(data, order, valid, size)
+        shared = common_prefixes(symbols, order) >= size
         inside = order[valid[order]]
-        of = np.repeat(np.arange(len(distinct)), sizes + 1)
-        group = np.flatnonzero(~equal[inside])
-        least = np.empty(len(data), np.int64)
-        least[inside] = np.repeat(np.minimum.reduceat(owner[of[inside]], group), np.diff(np.append(group, len(inside))))
-        # Each occurrence of a segment: its strings whose smallest document is a smaller one.
-        count = windows[kind]
-        row = np.repeat(np.arange(len(ids)), count)
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        hit = least[begin[kind][row] + offset] < ids[row]
-        row, offset = row[hit], offset[hit]
-        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(row) else np.empty(0, np.int64)
-        end = np.append(new[1:], len(row)) - 1
-        a = starts[row[new]] + offset[new]
-        b = starts[row[new]] + offset[end] + size if len(row) else a
-        return pa.table({"id": pa.array(ids[row[new]]), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return spans
-
-
-def merged_spans(pairs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((a, min(b, length)) for a, b in pairs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        elif a < b:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+        group = np.flatnonzero(~shared[inside])
+        least = np.repeat(np.minimum.reduceat(ids[of[inside]], group), np.diff(np.append(group, len(inside))))
+        hit = np.sort(inside[least < ids[of[inside]]])
+        new = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))[: len(hit)]
+        last = np.append(new[1:], len(hit))[: len(new)] - 1
+        piece = of[hit[new]]
+        found = np.empty(len(new), PART)
+        found["hash"], found["a"], found["b"] = hashes[piece], hit[new] - ends[piece] + lengths[piece], hit[last] - ends[piece] + lengths[piece] + size
+        at = np.argsort(ids[piece], kind="stable")
+        out = [(name, found[at[a:b]].tobytes()) for name, a, b in runs_of(ids[piece][at])]
+        return pa.Table.from_batches([batch_of(out, [("id", pa.int64()), ("parts", pa.binary())])])
+
+    return parts
+
+
+def _removed(data: np.ndarray, size: int, whole: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which bytes go: those of the whole segments and of the parts listed."""
+    _, hashes, first, last = segments(data, size)
+    at = np.flatnonzero(np.isin(hashes, whole))
+    begins, ends = [first[at]], [last[at] + size]
+    if len(parts):
+        order = np.argsort(hashes, kind="stable")
+        low, high = (np.searchsorted(hashes[order], parts["hash"], side) for side in ("left", "right"))
+        times = high - low
+        part = np.repeat(np.arange(len(parts)), times)
+        at = first[order[np.repeat(low, times) + np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)]]
+        begins.append(at + parts["a"][part])
+        ends.append(at + parts["b"][part])
+    change = np.bincount(np.concatenate(begins), minlength=len(data) + 1) - np.bincount(np.concatenate(ends), minlength=len(data) + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def repeated_spans(source: DataFrame, *, size: int = 50, shards: int | None = None) -> DataFrame:
-    """(id, spans) of keyed documents: arrays of byte spans (a, b), not merged; those of whole
-    repeated texts end at 2**62."""
+def repeated_segments(source: DataFrame, *, size: int = 50, shards: int | None = None) -> DataFrame:
+    """(id, whole, parts) of keyed documents that repeat something: packed hashes of segments, and
+    packed PARTs."""
     if size < GRAM:
         raise ValueError(f"strings need {GRAM} bytes at least")
     if shards is None:
         shards = max(8, int((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
-    # Later ones of equal texts: known by two hashes of the whole text.
-    alike = source.where((F.octet_length("text") >= size) & (F.col("id") != NO_ID)).select("id", F.xxhash64("text").alias("x"), F.md5("text").alias("y"))
-    firsts = alike.groupBy("x", "y").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("x", "y", "first")
-    later = materialize(alike.join(firsts, ["x", "y"]).where("id > first").select("id").distinct(), "copies")
-    sent = _send_anchors(source.join(later, "id", "left_anti"), size, shards).repartition(shards, "shard")
-    shared = sent.groupBy("shard").applyInArrow(_shared, "id long, shard int, rest binary")
-    by_doc = shared.groupBy("id").agg(F.collect_list(F.struct("shard", "rest")).alias("anchors"))
-    segments = _send_segments(source.join(by_doc, "id"), size, shards).repartition(shards, "shard")
-    spans = segments.groupBy("shard").applyInArrow(_spans_of(size), "id long, a long, b long")
-    whole = later.select("id", F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b"))
-    return spans.union(whole).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    sent = _send_hashes(source.where("id is not null"), size, shards).repartition(shards, "shard")
+    settled = materialize(sent.groupBy("shard").applyInArrow(_settle, "id long, whole binary, sends binary"), "settled")
+    wanted = settled.where("sends is not null").groupBy("id").agg(F.collect_list("sends").alias("sends"))
+    pieces = _send_pieces(source.join(wanted, "id"), size, shards).repartition(shards, "shard")
+    parts = pieces.groupBy("shard").applyInArrow(_parts_of(size), "id long, parts binary")
+    every = settled.where("whole is not null").select("id", "whole", F.lit(None).cast("binary").alias("parts")).union(parts.select("id", F.lit(None).cast("binary"), "parts"))
+    return every.groupBy("id").agg(F.collect_list("whole").alias("whole"), F.collect_list("parts").alias("parts"))
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``with_text`` is off, the
-    bytes that are kept, for every row."""
+    bytes that are kept and the removed spans (a, b), for every row."""
     source = keyed(docs, id_col, text_col)
-    spans = repeated_spans(source, size=size, shards=shards)
+    found = repeated_segments(source, size=size, shards=shards)
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if with_text:
+        fields += [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+        schema += ", kept binary, spans array<struct<a long, b long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for text, listed in zip(batch.column("text"), batch.column("spans"), strict=True):
-                data, at, parts = text_bytes(text), 0, []
-                gone = merged_spans([(s["a"], s["b"]) for s in listed.as_py() or ()], len(data))
-                for a, b in gone:
-                    parts.append(data[at:a])
-                    at = b
-                kept = b"".join([*parts, data[at:]])
-                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
-            arrays = [pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", *(n for n, _ in fields)])
-
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = source.join(spans, "id", "left").mapInArrow(run, schema)
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), *(c for c in out.columns if c != "id"))
+            for text, whole, parts in zip(*map(batch.column, ("text", "whole", "parts")), strict=True):
+                data, spans = text_bytes(text), np.empty((0, 2), np.int64)
+                kept = data
+                if whole.is_valid:
+                    array = np.frombuffer(data, np.uint8)
+                    gone = _removed(array, size, packed(whole.values, np.uint64), packed(parts.values, PART))
+                    spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                    kept = array[~gone].tobytes()
+                row = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                rows.append((*row, kept, [{"a": a, "b": b} for a, b in spans.tolist()]) if with_text else row)
+            out = batch_of(rows, fields)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *out.columns], names=["id", *out.schema.names])
+
+    # Rows without id stand outside the join, so that they don't meet on one key.
+    named = source.where("id is not null").join(found, "id", "left")
+    unnamed = source.where("id is null").select("id", "text", *(F.lit(None).cast("array<binary>").alias(c) for c in ("whole", "parts")))
+    out = named.mapInArrow(run, schema).union(unnamed.mapInArrow(run, schema))
+    return out.withColumnRenamed("id", id_col)
