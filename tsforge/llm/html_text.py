@@ -2,14 +2,15 @@
 
 A page is cut into flat blocks at block-level tags. Each has its word count and link density (the
 share of its words inside links), those of the blocks before and after it, and what encloses it:
-page furniture (navigation, headers, footers, asides, forms, or a class, id or role that says
-so), an article or main element, a heading, a list. A decision tree trained on the small labelled
+page furniture (navigation, headers, footers, asides, forms, or a class, id or role that says so,
+wholly or in part), an article or main element, a heading, a list. A decision tree trained on the small labelled
 table below (LABELLED: pages whose blocks are marked by hand) keeps or drops each block. The tree
 becomes one SQL expression over the blocks' features, so that text and features never leave the
 row and nothing is shuffled.
 
-Defined results: null and empty pages have no text; comments, scripts, styles, the head, templates
-and hidden elements give no blocks; character references are decoded once, after the markup is
+Defined results: null and empty pages have no text; comments, scripts, styles, the title, templates
+and hidden elements give no blocks; what is never closed ends with its parent or the page and hides
+nothing, but for scripts and styles; character references are decoded once, after the markup is
 gone; a block is its text with every run of white space as one space, trimmed; kept blocks are
 joined by two line feeds in page order; repeated rows are extracted each; nothing is cut off.
 """
@@ -28,49 +29,97 @@ from pyspark.sql import functions as F
 
 from tsforge.llm.common import sliced
 
+#: Comments, tags (quotes count behind an equals sign alone), declarations and what else looks like
+#: markup. What an attribute's part has matched is never tried otherwise.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|head|select|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>]))*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose inside is no text of the page. One that is never closed hides nothing, but for
+#: scripts and styles, which then run to the page's end.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style template noscript svg iframe object title select textarea".split()}
 ATTRIBUTE = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Tags that end a block. Fixed values.
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
-    " h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
+    " h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Tags that enclose others until they are closed.
 OPEN_ENDED = set("p li dd dt option tr td th".split())
 ENCLOSING = BLOCK - OPEN_ENDED - {"hr", "body", "html"}
 FURNITURE = set("nav aside footer form menu dialog button fieldset search".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that mark page furniture. Fixed values.
+#: Words in a class, id or role that are often said of page furniture. Fixed values.
 SAYS_FURNITURE = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright"
     " disclaimer disqus feedback footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager"
     " pagination paywall popup promo promotion promoted reactions recommended related replies reply respond search share sharing sidebar signup"
     " skip social sponsor sponsored subscribe subscription tags teaser toc toolbar tooltip topbar widget widgets alert complementary responses discussion".split()
 )
+#: Names that are often given to the main text. Fixed values.
+SAYS_MAIN = set("article body content entry hentry main post single story text".split())
 WORDS_OF = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def says_furniture(attrs: str) -> bool:
+def says_furniture(attrs: str) -> float:
+    """How far the names of an element speak of page furniture: 1.0 by a whole name, 0.5 by a part
+    of one beside no name of main text, else 0.0."""
+    whole, part, main = False, False, False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
-        if name.lower() in ("class", "id", "role") and not SAYS_FURNITURE.isdisjoint(WORDS_OF.findall(CAMEL.sub(" ", a or b or c).lower())):
-            return True
-    return False
+        if name.lower() in ("class", "id", "role"):
+            for said in (a or b or c).split():
+                whole = whole or said.lower() in SAYS_FURNITURE
+                main = main or said.lower() in SAYS_MAIN
+                part = part or not SAYS_FURNITURE.isdisjoint(WORDS_OF.findall(CAMEL.sub(" ", said).lower()))
+    return 1.0 if whole else 0.5 if part and not main else 0.0
+
+
+class Opened:
+    """The elements that are open, with running counts of what they are."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, float, bool, bool]] = []  # tag, furniture, main, hidden
+        self.tags: dict[str, int] = {}
+        self.furniture = {0.0: 0, 0.5: 0, 1.0: 0}
+        self.main = self.hidden = self.headings = 0
+
+    def _count(self, one: tuple[str, float, bool, bool], by: int) -> None:
+        tag, furniture, main, hidden = one
+        self.tags[tag] = self.tags.get(tag, 0) + by
+        self.furniture[furniture] += by
+        self.main += by * main
+        self.hidden += by * hidden
+        self.headings += by * (tag in HEADINGS)
+
+    def push(self, *one) -> None:
+        self.stack.append(one)
+        self._count(one, 1)
+
+    def pop(self) -> tuple[str, float, bool, bool]:
+        one = self.stack.pop()
+        self._count(one, -1)
+        return one
+
+    def close(self, tag: str) -> None:
+        """Up to the innermost element of that tag, if there is one."""
+        if self.tags.get(tag):
+            while self.pop()[0] != tag:
+                pass
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
 
 
 def text_blocks(page: str | None) -> list[dict]:
     """The page's flat blocks in order, with their features."""
     page = page or ""
     blocks: list[dict] = []
-    opened: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, main, hidden
+    opened = Opened()
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -82,49 +131,54 @@ def text_blocks(page: str | None) -> list[dict]:
     def close_block() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if text and not any(o[3] for o in opened):
+        if text and not opened.hidden:
             n = len(text.split())
-            main = any(o[2] for o in opened)
-            heading = leaf in HEADINGS or any(o[0] in HEADINGS for o in opened)
             blocks.append({
-                "text": text, "words": float(n), "links": min(1.0, linked / n), "furniture": float(any(o[1] for o in opened)),
-                "main": float(main), "heading": float(heading), "item": float(leaf in ("li", "dt", "dd", "option")),
+                "text": text, "words": float(n), "links": min(1.0, linked / n), "furniture": 1.0 if opened.furniture[1.0] else 0.5 if opened.furniture[0.5] else 0.0,
+                "main": float(opened.main > 0), "heading": float(leaf in HEADINGS or opened.headings > 0), "item": float(leaf in ("li", "dt", "dd", "option")),
             })
         parts, linked = [], 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
                 linked += words_in(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"] and m["raw"].lower() != "head":
-                parts.append(" ")
-            continue
         closing = bool(m["close"])
-        if tag == "a":
+        if tag in RAW and not closing and not m["attrs"].endswith("/"):
+            end = None if tag in unclosed else RAW[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(tag)
+            parts.append(" ")
+        elif tag == "a":
             in_link = not closing
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCK:
             close_block()
             in_link = in_link and closing
-            if not closing and opened and opened[-1][0] in OPEN_ENDED and opened[-1][0] in ("p", tag):
+            if not closing and opened.top() in OPEN_ENDED and opened.top() in ("p", tag):
                 opened.pop()  # a paragraph ends at the next block, an item at the next item
             leaf = "" if closing else tag
-            if tag in ENCLOSING or (tag not in ("html", "body") and (says_furniture(m["attrs"]) or HIDDEN.search(m["attrs"]))):
-                if closing:
-                    _pop(opened, tag)
-                elif not m["attrs"].endswith("/"):
-                    inside = any(o[2] for o in opened)
+            if closing:
+                opened.close(tag)
+            elif tag not in ("html", "body", "hr") and not m["attrs"].endswith("/"):
+                said, hidden = says_furniture(m["attrs"]), bool(HIDDEN.search(m["attrs"]))
+                if tag in ENCLOSING or said or hidden:
+                    inside = opened.main > 0
                     main = tag in ("article", "main") or 'role="main"' in m["attrs"]
-                    furniture = tag in FURNITURE or (tag == "header" and not inside) or (says_furniture(m["attrs"]) and not (inside and tag in HEADINGS | {"header"}))
-                    opened.append((tag, furniture, main, bool(HIDDEN.search(m["attrs"]))))
-            elif closing:
-                _pop(opened, tag)
+                    if tag in FURNITURE or (tag == "header" and not inside):
+                        said = 1.0
+                    elif inside and tag in HEADINGS | {"header"}:
+                        said = 0.0
+                    opened.push(tag, said, main, hidden)
     rest = page[at:]
     parts.append(rest)
     if in_link:
@@ -138,13 +192,6 @@ def text_blocks(page: str | None) -> list[dict]:
     return blocks
 
 
-def _pop(opened: list[tuple[str, bool, bool, bool]], tag: str) -> None:
-    for i in range(len(opened) - 1, -1, -1):
-        if opened[i][0] == tag:
-            del opened[i:]
-            return
-
-
 FEATURES = ("words", "links", "furniture", "main", "heading", "item", "words_before", "links_before", "words_after", "links_after")
 
 #: Pages marked by hand: a block that starts with + is main text, one that starts with - is not.
@@ -179,6 +226,32 @@ LABELLED = (
     "<nav>-a b c</nav>",
     f"<aside>-{LONG}</aside>",
     "<div>-hello</div>",
+    # No element or name tells anything here: short blocks go by what stands beside them.
+    f"<div><a>-home</a></div><div>-a slogan of some words</div><div><a>-one</a> <a>two</a></div><p>+{LONG}</p><p>+he said.</p><p>+{LONG}</p><div><a>-next</a></div><div>-share it with friends</div><div><a>-print</a></div>",
+    f"<div><a>-start</a></div><div>-today</div><div><a>-shop</a></div><div>-weather of the day</div><div><a>-more</a></div><p>+{LONG}</p><p>+few words here</p><p>+{LONG} {LONG}</p><p>+one more line</p><p>+{LONG}</p>",
+    f"<p>+{LONG}</p><p>+why?</p><p>+{LONG}</p><p>+nobody knew it then.</p><p>+{LONG} {LONG}</p><div>-all rights reserved</div><div><a>-terms</a></div><div>-made by us</div><div><a>-contact</a></div>",
+    f"<div><a>-a</a></div><div>-by a writer of ours</div><div><a>-b c</a></div><p>+{LONG}</p><p>+so it went on.</p><p>+{LONG}</p><p>+and then?</p><p>+{LONG}</p><div><a>-see also this page</a></div><div>-from the web</div><div><a>-another page</a></div>",
+    f"<div><a>-in</a> <a>out</a></div><div>-five stars</div><div><a>-buy</a></div><p>+{LONG} {LONG}</p><p>+yes.</p><p>+{LONG}</p><div><a>-older</a></div><div>-three days ago</div><div><a>-newer</a></div><div>-ten people like it</div><div><a>-top</a></div>",
+    f"<div><a>-x</a></div><div>-y z</div><div><a>-u v</a></div><div>-w</div><div><a>-r s t</a></div><div>+{LONG}</div><div>+that was all</div><div>+{LONG}</div>",
+    f"<div>+{LONG}</div><div>+no.</div><div>+{LONG}</div><div>+in the end they left</div><div>+{LONG}</div><div><a>-up</a></div><div>-page two of nine</div><div><a>-down</a></div>",
+    # Links behind the last paragraph, long or short, inside an article or not.
+    *(f"{a}<p>+{LONG}</p><p>+{LONG} {LONG}</p><p>+{last}</p>{b}<div><a>-more of it</a></div><div>-what else there is</div><div><a>-back</a></div>"
+      for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")) for last in (LONG, f"{LONG} {LONG}", "the council will meet again in the spring of next year")),
+    *(f"<article><p>+{LONG}</p><p>+{last}</p></article><div><a>-more</a></div>" for last in ("no.", "it was late by then", LONG)),
+    # Headings and paragraphs of one to five words among long ones.
+    *(f"{a}<h1>+{'head ' * n}</h1><p>+{LONG} {LONG}</p><p>+{'word ' * n}</p><p>+{LONG}</p><p>+{'then ' * n}</p><p>+{LONG} {LONG}</p><p>+{'end ' * n}</p>{b}"
+      for n in range(1, 6) for a, b in (("<article>", "</article><footer>-us</footer>"), ("<main>", "</main>"), ("<div>", "</div><div><a>-more</a></div>"))),
+    # Text between links.
+    f"<article><p><a>-read this</a></p><p>+{LONG}</p><p><a>-and this</a></p><p>+{LONG}</p><p><a>-read on</a></p><p>+end</p></article>",
+    f"<article><h2><a>+linked</a></h2><p>+b c</p><p>+{LONG}</p><h2><a>+linked again</a></h2><p>+one two</p><h2><a>+and again</a></h2></article>",
+    "<article><p>+a</p><p>+b c</p><p>+d</p><p>+e f g</p></article>",
+    "<article><h1>+w</h1><p>+one two three</p><h1><a>+x y</a></h1><p>+one two</p><h1><a>+z</a></h1></article>",
+    *(f"<div><a>-home</a></div><p>+{text}</p><div><a>-next</a></div>" for text in (LONG, f"{LONG} {LONG}", f"{LONG} and more", f"{LONG} and even more of it")),
+    # Names that are only part of one: of furniture here, of main text there.
+    f"<div class='post tags-list'><p>+{LONG}</p><p>+short one</p></div><div class='site-footer'><p>-{LONG}</p></div><div class='form-group content'><p>+{LONG}</p></div>",
+    f"<div class='cookie-box'><p>-{LONG} {LONG}</p></div><article class='story related-news'><p>+{LONG}</p><p>+it is</p></article><div id='page-footer'>-{LONG}</div>",
+    f"<div class='top-banner'>-{LONG}</div><p>+{LONG}</p><p>+{LONG}</p><div class='comment-list'><p>-{LONG}</p><p>-{LONG} {LONG}</p></div>",
+    f"<article class='entry share-box'><h1>+t of it</h1><p>+{LONG}</p><p>+{LONG}</p></article><div class='side-widget'><p>-{LONG}</p><p>-a b</p></div>",
 )
 
 
