@@ -6,16 +6,20 @@ address suggests (a path segment or country domain), and the prior P(l | host).
 smoothed in a hierarchy: a host falls back on its domain, a domain on all rows; the counts behind
 them, like the tables of declared and suffix, are grouped sums of the text posteriors over all rows.
 
-The trigram model is fitted on at most ``train_rows`` rows for each declared language (those of
-the smallest hashes of their ids); everything else covers all rows. Trigrams are hashed into a
-table of fixed size. A text's log-likelihood counts as that of ``full_weight`` trigrams at most,
-so that neighbouring trigrams, which aren't independent, don't drown the other evidence.
+The trigram model is fitted on about ``train_rows`` rows for each declared language (a share of the
+range of hashes of id and text that holds so many); everything else covers all rows. Trigrams are
+hashed into a table of fixed size. A language's rates are smoothed with ``common`` trigrams spread
+as all languages' together, so that a language of few rows is known as well and yet doesn't draw
+texts that another explains better. A text's log-likelihood counts as that of ``full_weight``
+trigrams at most, so that neighbouring trigrams, which aren't independent, don't drown the other
+evidence. The model holds the ``most_languages`` commonest declared languages.
 
 Rejected are texts without letters, those less likely than even letters under every language,
 and those whose best language has less than ``least`` of the posterior.
 
 Defined results: null and empty texts are rejected with a null language, whatever else is known;
-null or unknown declared languages, suffixes and hosts say nothing; with no labelled row at all
+declared languages that aren't two to eight letters, null or unknown ones, suffixes and hosts say
+nothing; with no labelled row at all
 every language is null and every row rejected; repeated rows are judged each.
 """
 
@@ -58,7 +62,8 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def declared_language(value: Column) -> Column:
-    return F.lower(F.substring_index(F.substring_index(F.trim(value), "-", 1), "_", 1))
+    name = F.lower(F.substring_index(F.substring_index(F.trim(value), "-", 1), "_", 1))
+    return F.when(name.rlike("^[a-z]{2,8}$"), name)
 
 
 def suffix_language(url: Column) -> Column:
@@ -70,16 +75,15 @@ def suffix_language(url: Column) -> Column:
     return F.when(segment != "", segment).otherwise(known[country])
 
 
-def fit(rows: DataFrame, train_rows: int, least_rows: int) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, train_rows: int, common: float, most_languages: int) -> tuple[list[str], np.ndarray]:
     """The languages and the (BUCKETS, languages) log-probabilities. rows: id, text, declared."""
-    labelled = rows.where("declared is not null and declared <> '' and text is not null")
-    sizes = {r["declared"]: r["count"] for r in labelled.groupBy("declared").count().where(F.col("count") >= least_rows).orderBy(F.desc("count"), "declared").limit(256).collect()}
+    labelled = rows.where("declared is not null and text is not null")
+    sizes = {r["declared"]: r["count"] for r in labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((BUCKETS, 0))
-    # A share of the hash range that holds about train_rows of each language, then the bound itself.
-    share = F.create_map(*(F.lit(x) for n in languages for x in (n, min(1.0, 1.2 * train_rows / sizes[n]))))
-    near = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("declared")] * (1 << 20)) & F.col("declared").isin(languages)
+    share = F.create_map(*(F.lit(x) for n in languages for x in (n, min(1.0, train_rows / sizes[n]))))
+    near = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("declared")] * (1 << 20)) & F.col("declared").isin(languages)
     place = {n: i for i, n in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +98,13 @@ def fit(rows: DataFrame, train_rows: int, least_rows: int) -> tuple[list[str], n
     table = np.zeros((BUCKETS, len(languages)))
     for r in counts.toLocalIterator():
         table[r["bucket"], r["k"]] = r["n"]
-    return languages, np.log((table + 0.05) / (table.sum(0) + 0.05 * BUCKETS))
+    every = (table.sum(axis=1, keepdims=True) + 0.05) / (table.sum() + 0.05 * BUCKETS)
+    return languages, np.log((table + common * every) / (table.sum(axis=0) + common))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None,
-             host: Column | None = None, train_rows: int = 1000, least_rows: int = 20, full_weight: int = 40, least: float = 0.5,
-             smoothing: float = 20.0) -> DataFrame:
+             host: Column | None = None, train_rows: int = 1000, common: float = 2000.0, most_languages: int = 256,
+             full_weight: int = 40, least: float = 0.5, smoothing: float = 20.0) -> DataFrame:
     """``id_col``, language, confidence (its posterior), text_language (the text's alone),
     n_trigrams and kept, for every row."""
     nothing = F.lit(None).cast("string")
@@ -109,7 +114,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         declared_language(declared if declared is not None else nothing).alias("declared"),
         (suffix if suffix is not None else nothing).alias("suffix"), F.coalesce(host_name, F.lit("")).alias("host"),
     )
-    languages, table = fit(rows, train_rows, least_rows)
+    languages, table = fit(rows, train_rows, common, most_languages)
     id_type = rows.schema["id"].dataType.simpleString()
     if not languages:
         return rows.select(F.col("id").alias(id_col), nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
@@ -167,10 +172,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     priors = by_host.join(by_domain, "domain").select(
         "host", F.array(*(F.log((F.col(f"c{k}") + smoothing * of_domain[k]) / (sum_of("c") + smoothing)) for k in every)).alias("prior")
     )
-    joined = scored.join(priors, "host", "left").select(
-        "id", "n", "fits", "weight", F.coalesce("prior", F.array(*(F.lit(float(np.log(x))) for x in overall))).alias("prior"),
-        likelihoods("declared").alias("by_declared"), likelihoods("suffix").alias("by_suffix"),
-    )
+    # Rows without a host stand outside the join, so that they don't meet on one key.
+    found = ("id", "n", "fits", "weight", "prior", "declared", "suffix")
+    hosted = scored.where("host <> ''").join(priors, "host").select(*found)
+    alone = scored.where("host = ''").withColumn("prior", F.array(*(F.lit(float(np.log(x))) for x in overall))).select(*found)
+    joined = hosted.union(alone).withColumn("by_declared", likelihoods("declared")).withColumn("by_suffix", likelihoods("suffix"))
     fused = joined.select(
         "id", "n", "fits", "weight",
         F.array(*(F.col("weight")[k] + F.col("prior")[k] + F.col("by_declared")[k] + F.col("by_suffix")[k] for k in every)).alias("all"),
