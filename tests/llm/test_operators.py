@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing colu
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tsforge.llm import ann, bpe, components, decontaminate, html_text, language_id, line_dedup, minhash, repeats, suffix_array, toxicity, url_rules
+from tsforge.llm import ann, bpe, common, components, decontaminate, html_text, language_id, line_dedup, minhash, repeats, suffix_array, toxicity, url_rules
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, v string, h string"
@@ -145,7 +146,11 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def near_by_hand(texts, ids, width, percent):
-    sets, parent = {i: set(minhash.shingles(t, width).tolist()) for i, t in zip(ids, texts, strict=True)}, {i: i for i in ids}
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+    sets, parent = {i: shingles(t) for i, t in zip(ids, texts, strict=True)}, {i: i for i in ids}
 
     def find(x):
         while parent[x] != x:
@@ -177,6 +182,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_text_stands_for_an_id(spark):
+    texts = ["a b c d e f g", "q r s t u v w", None]
+    first = min(texts[:2], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    frame = docs(spark, [*texts, first], [5, 5, 5, 9]).repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame, width=3, percent=85).collect()}
+    assert got == {5: (5, 5, True), 9: (5, 5, False)}
+
+
 def test_blocks_find_what_pivots_leave(spark):
     rng = random.Random(6)
     texts = []
@@ -208,6 +221,23 @@ def test_components(spark):
 
     got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: least(x) for x in near if near[x] - {x}}
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame(links, "a long, b long"), rounds=1)
+
+
+def test_shared_folder(spark):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.conf = Conf({"spark.master": "local[8]"})
+    assert common.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
+    kept = common.materialize(spark.range(3).toDF("x"), "kept")
+    assert kept.count() == 3 and common.own_dir(spark) in kept.inputFiles()[0]
 
 
 # Suffix arrays and repeats
@@ -392,7 +422,53 @@ def test_toxicity_on_held_out_rows(spark):
     held = range(600, 900)
     assert np.mean([got[i]["toxic"] for i in held if marks[i][2]]) > 0.95 and np.mean([got[i]["toxic"] for i in held if not marks[i][2]]) < 0.02
     assert len(got) == 902 and not got[900]["toxic"] and not got[901]["toxic"]
-    assert toxicity.toxicity(frame, labels.limit(0), categories).where("toxic").count() in (0, 902)
+    assert toxicity.toxicity(frame, labels.limit(0), categories).where("toxic or low_quality").count() == 0
+    assert toxicity.toxicity(frame, labels.where("toxic = 0"), categories).where("toxic").count() == 0
+
+
+def test_chain_equals_a_dense_refit(spark):
+    """The same steps on a dense table of words, held-out folds included."""
+    rng = random.Random(15)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.sample(words, 8) + ["bad"] * (i % 4 == 0) + ["poor"] * (i % 3 == 0)) for i in range(160)]
+    marks = [(i, 1 - int(i % 3 == 0 or i % 7 == 0), int(i % 4 == 0)) for i in range(120)]
+    frame, labels = docs(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(frame, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}).collect()}
+
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    assert len({int(toxicity.features(w)[0]) for w in vocabulary}) == len(vocabulary)
+    x = np.array([[w in t.split() for w in vocabulary] for t in texts], float)
+    y = np.array([[1 - q, t] for _, q, t in marks], float)
+    folds = (np.arange(120, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(toxicity.FOLDS)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def fitted(words_of, beside, label):
+        share = (label.sum() + 0.5) / (len(label) + 1)
+        held, ones = words_of.sum(0), words_of[label == 1].sum(0)
+        ratio = np.where(held < 4, 0, np.log((ones + 0.5) / (label.sum() + 1)) - np.log((held - ones + 0.5) / (len(label) - label.sum() + 1)))
+        table = np.column_stack([words_of * ratio, beside, np.ones(len(label))])
+        w = np.zeros(table.shape[1])
+        w[-1] = np.log(share / (1 - share))
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, 31):
+            slope = table.T @ (sigmoid(table @ w) - label) / len(label)
+            slope[: len(ratio)] += 3e-3 * w[: len(ratio)]
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
+        return lambda a, b: np.column_stack([a * ratio, b, np.ones(len(a))]) @ w
+
+    train, beside, every = x[:120], np.zeros((120, 0)), np.zeros((160, 0))
+    for k, name in enumerate(("low_quality", "toxic")):
+        out = np.zeros(120)
+        for fold in range(toxicity.FOLDS):
+            test = folds == fold
+            out[test] = fitted(train[~test], beside[~test], y[~test, k])(train[test], beside[test])
+        score = fitted(train, beside, y[:, k])(x, every)
+        threshold = max((2 * y[out >= t, k].sum() / ((out >= t).sum() + y[:, k].sum()), t) for t in out)
+        assert all(abs(got[i][f"p_{name}"] - sigmoid(score[i])) < 1e-4 for i in range(160))
+        flagged = {i for i in range(160) if got[i][name]}
+        assert {i for i in range(160) if score[i] >= threshold[1] + 1e-3} <= flagged
+        beside, every = np.column_stack([beside, np.clip(out, -10, 10)]), np.column_stack([every, np.clip(score, -10, 10)])
 
 
 # Main text

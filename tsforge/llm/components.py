@@ -14,7 +14,8 @@ def components(links: DataFrame, *, rounds: int = 200) -> DataFrame:
     Each round hangs the parents of a node's neighbours below the smallest of them and then
     halves the paths, so that rounds grow with the logarithm of the longest path. A hub's rows
     are summed where they are read (min needs no more than one row for each key and task). Ids
-    without a link don't appear; an empty table gives an empty one.
+    without a link don't appear; an empty table gives an empty one. A graph that ``rounds`` rounds
+    don't settle raises an error.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     edges = materialize(both.distinct(), "edges")
@@ -32,5 +33,5 @@ def components(links: DataFrame, *, rounds: int = 200) -> DataFrame:
         before, parent = parent, materialize(jumped, "roots")
         moved = parent.join(before.select("id", F.col("root").alias("was")), "id").where("root <> was")
         if moved.isEmpty():
-            break
-    return parent
+            return parent
+    raise RuntimeError(f"components don't settle within {rounds} rounds")

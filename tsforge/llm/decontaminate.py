@@ -6,11 +6,14 @@ one piece stands unedited in any such copy, so every copy shows an exact piece h
 offset. The pieces of a block of items form one search automaton; each hit is verified by Myers'
 bit-parallel distance of the whole item against the text around the hit.
 
-Documents are searched where they are read, without a shuffle. Items go in blocks of at most
-``block_chars`` characters (one pass each), so what a task holds has a fixed bound.
+Documents are searched where they are read, without a shuffle. Items go in blocks of about
+``block_chars`` characters (an item more at most). A benchmark of one block is one lazy pass over
+the documents; of more, each block is a pass whose hits are written before the next block is read,
+so that driver and tasks hold one block at a time.
 
 Defined results: null, empty and wordless items match nothing, and so do null and empty texts;
-equal items are each reported; repeated rows of a document are reported each.
+equal items are each reported; repeated rows of a document are reported each, those without an id
+with a null doc_id; items without an id aren't searched for.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import sliced
+from tsforge.llm.common import materialize, sliced
 
 WORDS = re.compile(r"\w+")
 
@@ -154,5 +157,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 8, blo
 
         return source.mapInArrow(run, schema)
 
-    found = [search(block) for block in item_blocks(benchmark, block_chars, item_id, item_text)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+    blocks = item_blocks(benchmark, block_chars, item_id, item_text)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if following is None:
+        return search(block)
+    found = [materialize(search(block), "hits")]
+    while following is not None:
+        found.append(materialize(search(following), "hits"))
+        following = next(blocks, None)
+    return reduce(DataFrame.union, found)

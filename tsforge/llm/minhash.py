@@ -18,7 +18,9 @@ sets left are compared block by block inside tasks that give out links alone. So
 capped and nothing is left out. Links are confirmed on whole sets of 64-bit shingle hashes.
 
 Defined results: null, empty and blank texts have an empty set, which links with nothing; a text
-of fewer words than a shingle is one shingle; repeated rows of one id are one document.
+of fewer words than a shingle is one shingle; rows of one id are one document, whose text is the
+one of the smallest 64-bit hash (null last) where they differ; rows without an id take no part and
+aren't returned.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.common import materialize, sliced
@@ -80,7 +82,7 @@ def minhashes(values: np.ndarray, count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, width: int, rows: int, collections: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), sig (digest of the set), entries (A's, then B's)."""
+    """id, key (of the text), n (size of the set), sig (digest of the set), entries (A's, then B's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -99,12 +101,17 @@ def signatures(docs: DataFrame, *, width: int, rows: int, collections: int, id_c
                     code = mixed(code + hashes[:, k])
                 entries.append(code.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
-                names=["id", "n", "sig", "entries"],
+                [batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
+                names=["id", "key", "n", "sig", "entries"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, n long, sig binary, entries array<long>")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
+    return source.mapInArrow(run, "id long, key long, n long, sig binary, entries array<long>")
+
+
+def text_key(text: Column) -> Column:
+    return F.when(text.isNull(), (1 << 63) - 1).otherwise(F.xxhash64(text))
 
 
 def shingle_sets(docs: DataFrame, *, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -137,12 +144,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, collections: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
-    """(id, root) over the representatives ``reps`` (id, n, entries) that have a link."""
+    """(id, root) over the representatives ``reps`` (id, key, n, entries) that have a link."""
     keys = materialize(bucket_keys(reps, collections), "keys")
     crowds = keys.groupBy("key").count().where("count > 1")
     members = materialize(keys.join(crowds, "key").select("key", "id", "count"), "members")
-    involved = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
+    involved = reps.select("id", "key").join(members.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("key", text_key(F.col("text"))).join(involved, ["id", "key"], "left_semi").dropDuplicates(["id"])
     sets = materialize(shingle_sets(texts, width=width, id_col="id", text_col="text"), "sets")
 
     # The member with most company is near the middle of its group: most others link with it.
@@ -180,7 +188,9 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
 def _block_links(open_members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, collections: int, block: int = 256) -> DataFrame:
     """All links between components among the open sets: whoever shares a table shares an entry
     of A, so the sets with one such entry are compared with each other, in pairs of blocks of
-    about ``block`` sets. Only links leave a task, never the pairs."""
+    about ``block`` sets. Only links leave a task, never the pairs. A set is copied once for each
+    block of its entry: m sets of one entry that pivots and drop-outs have left open cost
+    m * m / block copies, in as many tasks."""
     ids = open_members.select("id", "root").distinct()
     flat = reps.join(ids, "id").select("id", "root", F.explode(F.slice("entries", 1, collections)).alias("code"))
     sizes = flat.groupBy("code").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -244,10 +254,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     if collections is None:
         collections = collections_for(percent, rows)
     found = signatures(docs.where(F.col(id_col).isNotNull()), width=width, rows=rows, collections=collections, id_col=id_col, text_col=text_col)
-    found = materialize(found.dropDuplicates(["id"]), "signatures")
+    rest = F.struct("key", "n", "sig", "entries")
+    found = materialize(found.groupBy("id").agg(F.min_by(rest, "key").alias("one")).select("id", "one.*"), "signatures")
     classes = found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "classes")
-    reps = found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "entries")
+    reps = found.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "key", "n", "entries")
     roots = near_links(reps, docs, width=width, percent=percent, collections=collections, id_col=id_col, text_col=text_col, rounds=rounds)
     # The smallest id of a class is its representative, so the smallest root is the smallest id.
     of_class = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component"))

@@ -11,8 +11,9 @@ The models are fitted on about ``train_rows`` labelled rows (those of the smalle
 their ids, never more than twice as many); scoring covers every whole text where it is read.
 
 Defined results: null and empty texts have no words and get the models' base rates; labels that
-are null, or whose id no document has, teach nothing; a category with one label only, or none,
-gets its base rate everywhere; repeated rows are scored each.
+are null, or whose id no document has, teach nothing; a category with one kind of label only, or
+none, gets its base rate everywhere (0.5 without any label), and one without a 1 among its labels
+is never said of a text; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def fit_chain(places: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, *
         model = Model(category).fit(some(known), y[known], **how)
         if 0 < y[known].sum() < known.sum():
             model.threshold = best_threshold(out[known], y[known])
-        else:
-            model.threshold = 0.0
+        else:  # nothing to tell apart: all or none
+            model.threshold = 0.0 if y[known].any() else np.inf
         chain.append(model)
         dense = np.column_stack([dense, np.clip(out, -10, 10)])
     return chain
