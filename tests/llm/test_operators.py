@@ -380,6 +380,32 @@ def test_nearest(spark):
     assert ann.nearest(table.where("vec_id < 5"), F.lit(True)).count() == 20
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    """Distinct vectors of one inner product with the query, more than a result holds."""
+    rng = np.random.default_rng(5)
+    vectors = [[1.0, 0.0, 0.0], *([1.0, *v] for v in rng.permutation([[a, b] for a in range(20) for b in range(20)][1:]).astype(float).tolist())]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    got = ann.nearest(table, F.col("vec_id") == 0, block_rows=1 << 20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and all(r["score"] == 1.0 for r in got)
+
+
+def test_recall_over_many_blocks(spark):
+    """Vectors without structure, far more than a window holds."""
+    x = np.random.default_rng(6).normal(size=(6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in ann.nearest(table, F.col("vec_id") % 100 == 0, block_rows=128, share=0.1).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    y, hits = x.astype(float), 0
+    for q in range(0, 6000, 100):
+        scores = y @ y[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & set(got[q]))
+        assert len(got[q]) == 20 and all(abs(scores[v] - s) < 1e-12 for v, s in got[q].items())
+    assert hits / 1200 >= 0.9
+
+
 # Language ID
 
 
