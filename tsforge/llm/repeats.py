@@ -11,7 +11,8 @@ falls into segments (the strings of one anchor in a row, about 67 bytes at size
    distinct segment, and only those whose anchor has several distinct segments can hold a string
    that another holds.
 2. These owners send their bytes, so each distinct segment once, to the shards. Each shard's
-   string of segments gets a suffix array by induced sorting (suffix_array.py), and permuted common
+   segments are cut down to what lies between strings whose hash occurs twice there. Of these texts,
+   each once, it builds a suffix array by induced sorting (suffix_array.py), and permuted common
    prefixes of ``size`` bytes and more join neighbours into groups of equal strings. A group's
    smallest document keeps its string; in the others it is a repeat.
 3. Each document's repeated segments and parts of segments, known by the segment's hash, are
@@ -41,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.common import materialize, sliced
-from tsforge.llm.minhash import mixed
-from tsforge.llm.suffix_array import common_prefixes, suffix_array, words_at
+from tsforge.llm.minhash import MIX, mixed
+from tsforge.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 16
 #: Bytes of text for each shard.
@@ -70,28 +71,50 @@ class Powers:
 POWERS = Powers()
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes from each place on."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = words[:-8] * np.uint64(STEP)
+    out += words[8:] * MIX[0]
+    out ^= out >> np.uint64(29)
+    out *= MIX[1]
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def segments(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, hash of the bytes, first start, last start) of the runs of starts whose strings
     share an anchor."""
     count = len(data) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    words = words_at(data)
-    grams = mixed(words[:-8] * np.uint64(STEP) + mixed(words[8:]))
+    grams = gram_hashes(data)
     wide, done = grams, 1
     width = size - GRAM + 1
     while done * 2 <= width:
         wide, done = np.minimum(wide[:-done], wide[done:]), done * 2
     least = np.minimum(wide[:count], wide[width - done : width - done + count])
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    fresh = np.ones(count, bool)
+    np.not_equal(least[1:], least[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
     last = np.append(first[1:], count) - 1
     # The segment's 16-byte strings weighted by powers of their places, summed; the powers' start
     # at the document's begin is divided out, so that only the segment's own bytes count.
     POWERS.reach(len(grams))
-    sums = np.append(np.uint64(0), np.cumsum(grams * POWERS.up[: len(grams)]))
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(grams * POWERS.up[: len(grams)], out=sums[1:])
     return least[first], mixed((sums[last + width] - sums[first]) * POWERS.down[first] + (last - first).astype(np.uint64)), first, last
 
 
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on, as far as there are so many."""
+    grams = gram_hashes(np.append(data, np.zeros(max(0, size - len(data)), np.uint8)))
+    out, offsets = 0, [*range(0, size - GRAM, GRAM), size - GRAM]
+    for off in offsets:
+        out = mixed(grams[off : len(grams) - offsets[-1] + off] + out)
+    return out
+
+
 def shard_and_rest(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int32), hashes.astype(np.uint32)
 
@@ -152,16 +175,17 @@ def _send_hashes(source: DataFrame, size: int, shards: int) -> DataFrame:
             id_of, owner = np.unique(np.array(ids, np.int64), return_inverse=True)
             owner = owner[np.repeat(np.arange(len(ids)), owners)]
             anchor, found = np.concatenate(anchors), np.concatenate(hashes)
-            order = np.argsort(found, kind="stable")
-            starts = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1]))
-            least = np.minimum.reduceat(owner[order], starts)
-            again = order[owner[order] > np.repeat(least, np.diff(np.append(starts, len(order))))]
-            shard, rest = shard_and_rest(anchor[order[starts]], shards)
-            at = np.lexsort((least, shard))
-            rows = _by_shard(shard[at], id_of[least[at]], rest[at], found[order[starts]][at])
+            order = np.argsort(found)
+            found, owner, anchor = found[order], owner[order], anchor[order]
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            least = np.minimum.reduceat(owner, starts)
+            again = np.flatnonzero(owner > np.repeat(least, np.diff(np.append(starts, len(owner)))))
+            shard, rest = shard_and_rest(anchor[starts], shards)
+            at = np.argsort(shard.astype(np.int64) << 32 | least)
+            rows = _by_shard(shard[at], id_of[least[at]], rest[at], found[starts[at]])
             if len(again):
-                deal = (mixed(id_of[owner[again]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-                at = np.lexsort((owner[again], deal))
+                deal = (mixed(id_of[owner[again]].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                at = np.argsort(deal << 32 | owner[again])
                 rows += _by_shard(deal[at], id_of[owner[again[at]]], None, found[again[at]])
             return batch_of(rows, SENT)
 
@@ -198,7 +222,7 @@ def _settle(rows: pa.Table) -> pa.Table:
     ids, hashes = _listed(rows)
     rest = packed(rows.column("rest"), np.uint32)
     order = np.lexsort((ids, hashes, rest))
-    rest, hashes, ids = rest[order], hashes[order], ids[order]
+    rest, hashes, ids = (x[order] for x in (rest, hashes, ids))
     fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (rest[1:] != rest[:-1]))[: len(ids)]
     owner = ids[np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))] if len(ids) else ids
     again = ids > owner
@@ -262,23 +286,48 @@ def _parts_of(size: int):
         begin = np.append(0, np.cumsum(lengths.astype(np.int64)))
         # Rows of one id send a segment each; one is enough.
         one = np.sort(np.unique(hashes, return_index=True)[1])
-        ids, hashes, lengths = ids[one], hashes[one], lengths[one].astype(np.int64)
-        symbols = np.frombuffer(b"\0".join(blob[begin[k] : begin[k + 1]] for k in one.tolist()) + b"\0", np.uint8).astype(np.uint16) + np.uint16(2)
-        ends = np.cumsum(lengths + 1) - 1
-        symbols[ends] = 1
-        of = np.repeat(np.arange(len(ids)), lengths + 1)
-        valid = np.arange(len(symbols)) <= ends[of] - size
+        ids, hashes, begin, ends = ids[one], hashes[one], begin[:-1][one], begin[1:][one]
+        # Of each segment: from the first to the last string whose hash occurs again in the shard.
+        starts = ends - begin - size + 1
+        of = np.repeat(np.arange(len(ids)), starts)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts - begin, starts)
+        string = window_hashes(np.frombuffer(blob, np.uint8), size)[place]
+        order = np.argsort(string)
+        fresh = string[order][1:] != string[order][:-1]
+        lone = np.empty(len(string), bool)
+        lone[order] = np.append(True, fresh) & np.append(fresh, True)
+        of, place = of[~lone], place[~lone]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[: len(of)]
+        own, low = of[first], place[first]
+        high = place[np.append(first[1:], len(of))[: len(first)] - 1] + size
+        # Equal ones are one text, whose smallest document keeps it; in others it is a repeat.
+        texts: dict[bytes, int] = {}
+        kind = np.array([texts.setdefault(blob[a:b], len(texts)) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+        owner = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(owner, kind, ids[own])
+        symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
+        lengths = np.array([len(x) for x in texts], np.int64)
+        marks = np.cumsum(lengths + 1) - 1
+        symbols[marks] = 1
+        in_text = np.repeat(np.arange(len(texts)), lengths + 1)
+        valid = np.arange(len(symbols)) <= marks[in_text] - size
         order = suffix_array(symbols)
         shared = common_prefixes(symbols, order) >= size
         inside = order[valid[order]]
         group = np.flatnonzero(~shared[inside])
-        least = np.repeat(np.minimum.reduceat(ids[of[inside]], group), np.diff(np.append(group, len(inside))))
-        hit = np.sort(inside[least < ids[of[inside]]])
-        new = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))[: len(hit)]
-        last = np.append(new[1:], len(hit))[: len(new)] - 1
-        piece = of[hit[new]]
+        least = np.full(len(symbols), np.iinfo(np.int64).max)
+        least[inside] = np.repeat(np.minimum.reduceat(owner[in_text[inside]], group), np.diff(np.append(group, len(inside)))) if len(inside) else 0
+        # The strings of each segment's text that a smaller document holds.
+        count = high - low - size + 1
+        row = np.repeat(np.arange(len(own)), count)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        hit = least[(marks - lengths)[kind[row]] + offset] < ids[own[row]]
+        row, offset = row[hit], offset[hit]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)))[: len(row)]
+        last = np.append(new[1:], len(row))[: len(new)] - 1
+        piece, shift = own[row[new]], (low - begin[own])[row[new]]
         found = np.empty(len(new), PART)
-        found["hash"], found["a"], found["b"] = hashes[piece], hit[new] - ends[piece] + lengths[piece], hit[last] - ends[piece] + lengths[piece] + size
+        found["hash"], found["a"], found["b"] = hashes[piece], shift + offset[new], shift + offset[last] + size
         at = np.argsort(ids[piece], kind="stable")
         out = [(name, found[at[a:b]].tobytes()) for name, a, b in runs_of(ids[piece][at])]
         return pa.Table.from_batches([batch_of(out, [("id", pa.int64()), ("parts", pa.binary())])])

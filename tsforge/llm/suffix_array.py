@@ -148,14 +148,6 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return _sorted(np.append(symbols, 0))[1:]
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on as one number; the data end in 8 bytes of padding."""
-    x = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        x = x[:-step] | x[step:] << np.uint64(8 * step)
-    return x
-
-
 def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """By place in the text: the length of the common prefix with the suffix before it in ``sa``.
 
