@@ -86,3 +86,12 @@ def adjust(tests: DataFrame, *, method: str = "holm", p: str = "p_value", order:
     else:
         value = raw * F.col("_n") if method == "bonferroni" else raw
     return ranked.withColumn("p_value_adjusted", F.least(value, F.lit(1.0))).drop("_n", "_r")
+
+
+def test_table(tests: DataFrame, *, hac_lag: int, hln: bool = True, method: str = "holm", level: float = 0.05, family: tuple[str, ...] = ()) -> DataFrame:
+    """Tests with p-values, adjusted, with how they were made and what is significant."""
+    size = F.count("*").over(Window.partitionBy(*(family or (F.lit(1),))))
+    return adjust(tests, method=method, family=family).select(
+        "*", F.lit(hac_lag).cast("short").alias("hac_lag"), F.lit(hln).alias("hln_corrected"), F.lit(method).alias("adjust_method"), size.alias("n_comparisons"),
+        F.coalesce(F.col("p_value_adjusted") < level, F.lit(False)).alias("significant"),
+    )

@@ -5,7 +5,9 @@ Input rows: unique_id, pos (place on the common scorable support, from 0), flag,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.operators.events import islands
@@ -16,52 +18,106 @@ def _ranges(rows: DataFrame, flag: str, merge_gap: int = 0) -> DataFrame:
     return marked.groupBy("unique_id", "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
 
 
+def _latest(rows: DataFrame, on: str, ranges: DataFrame, start: str) -> DataFrame:
+    """Each row with the struct ``r`` of the range of its series that starts last at or before
+    ``on``: one sort of both together instead of pairs."""
+    held = ranges.select("unique_id", F.col(start).alias("_on"), F.lit(0).alias("_side"), F.struct(*(c for c in ranges.columns if c != "unique_id")).alias("r"))
+    both = rows.select("*", F.col(on).alias("_on"), F.lit(1).alias("_side")).unionByName(held, allowMissingColumns=True)
+    back = Window.partitionBy("unique_id").orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("r", F.last("r", True).over(back)).where("_side = 1").drop("_on", "_side")
+
+
 def f1(p: str, r: str):
     return F.when(F.col(p).isNotNull() & F.col(r).isNotNull(), F.coalesce(F.try_divide(2 * F.col(p) * F.col(r), F.col(p) + F.col(r)), F.lit(0.0)))
 
 
-def range_precision_recall(rows: DataFrame, *, existence: float = 0.0, merge_gap: int = 0) -> DataFrame:
-    """With a flat bias and a reciprocal cardinality, per series."""
+#: Which places of a range weigh most; the weights fall or rise by one from place to place.
+BIASES = ("flat", "front", "middle", "back")
+#: What a range that meets several others keeps of its share.
+CARDINALITIES: dict[str, Callable[[Column], Column]] = {"one": lambda k: F.lit(1.0), "reciprocal": lambda k: 1.0 / k}
+
+
+def _weight(bias: str, to: Column, n: Column) -> Column:
+    """The weight of the first ``to`` places of a range of n."""
+    if bias == "flat":
+        return to * 1.0
+    if bias == "back":
+        return to * (to + 1) / 2.0
+    if bias == "front":
+        return to * n - to * (to - 1) / 2.0
+    half = F.floor((n + 1) / 2)
+    rest = to - half
+    up = F.least(to, half) * (F.least(to, half) + 1) / 2.0
+    return up + F.when(rest > 0, rest * (n - half) - rest * (rest - 1) / 2.0).otherwise(0.0)
+
+
+def range_parts(rows: DataFrame, *, existence: float = 0.0, merge_gap: int = 0, bias: str = "flat", cardinality: str = "reciprocal") -> DataFrame:
+    """(unique_id, metric, value): one row for each range found (range_precision) and each true
+    range (range_recall). Ranges of one kind don't overlap, so two ranges that meet are told by
+    the one that starts inside the other."""
+    if bias not in BIASES or cardinality not in CARDINALITIES or not 0 <= existence <= 1:
+        raise ValueError("a bias and a cardinality that are known, existence between 0 and 1")
     true, found = _ranges(rows, "label"), _ranges(rows, "flag", merge_gap)
     t, p = (x.select("unique_id", F.col("island").alias(f"{s}_id"), F.col("a").alias(f"{s}_a"), F.col("b").alias(f"{s}_b")) for x, s in ((true, "t"), (found, "p")))
-    both = t.join(p, "unique_id").where("t_a <= p_b AND p_a <= t_b").withColumn("shared", F.least("t_b", "p_b") - F.greatest("t_a", "p_a") + 1)
+    names = ("unique_id", "t_id", "t_a", "t_b", "p_id", "p_a", "p_b")
+    begun = _latest(t, "t_a", p, "p_a").where("r.p_b >= t_a").select(*(F.col(f"r.{c}").alias(c) if c.startswith("p_") else F.col(c) for c in names))
+    inside = _latest(p, "p_a", t, "t_a").where("r.t_b >= p_a and r.t_a < p_a").select(*(F.col(f"r.{c}").alias(c) if c.startswith("t_") else F.col(c) for c in names))
+    both = begun.union(inside).withColumn("lo", F.greatest("t_a", "p_a")).withColumn("hi", F.least("t_b", "p_b"))
 
     def side(ranges: DataFrame, s: str, alpha: float, name: str) -> DataFrame:
-        met = both.groupBy("unique_id", f"{s}_id").agg(F.count("*").alias("met"), F.sum("shared").alias("covered"))
+        a, n = F.col(f"{s}_a"), F.col(f"{s}_b") - F.col(f"{s}_a") + 1
+        covered = _weight(bias, F.col("hi") - a + 1, n) - _weight(bias, F.col("lo") - a, n)
+        met = both.groupBy("unique_id", f"{s}_id").agg(F.count("*").alias("met"), F.sum(covered).alias("covered"))
+        share = F.col("covered") / _weight(bias, n, n) * CARDINALITIES[cardinality](F.col("met"))
         each = ranges.join(met, ["unique_id", f"{s}_id"], "left")
-        share = F.col("covered") / (F.col(f"{s}_b") - F.col(f"{s}_a") + 1) / F.col("met")
-        return each.groupBy("unique_id").agg(F.avg(F.coalesce(alpha + (1 - alpha) * share, F.lit(0.0))).alias(name), F.count("*").alias(f"n_{name}_ranges"))
+        return each.select("unique_id", F.lit(name).alias("metric"), F.coalesce(alpha + (1 - alpha) * share, F.lit(0.0)).alias("value"))
 
-    out = rows.select("unique_id").distinct().join(side(p, "p", 0.0, "precision"), "unique_id", "left").join(side(t, "t", existence, "recall"), "unique_id", "left")
-    return out.withColumn("f1", f1("precision", "recall"))
+    return side(p, "p", 0.0, "range_precision").union(side(t, "t", existence, "range_recall"))
 
 
-def affiliation(rows: DataFrame) -> DataFrame:
-    """Each true event owns the zone nearest to it; flags and event rows are judged by distance
-    against a random flag in the zone."""
+def _of_series(rows: DataFrame, parts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The parts' means, one column for each metric, for every series of rows."""
+    wide = parts.groupBy("unique_id").agg(*(F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in names.items()))
+    return rows.select("unique_id").distinct().join(wide, "unique_id", "left")
+
+
+def range_precision_recall(rows: DataFrame, *, existence: float = 0.0, merge_gap: int = 0, bias: str = "flat", cardinality: str = "reciprocal") -> DataFrame:
+    """Per series, the means over its ranges. ``bias`` says which places of a range weigh most."""
+    parts = range_parts(rows, existence=existence, merge_gap=merge_gap, bias=bias, cardinality=cardinality)
+    return _of_series(rows, parts, {"range_precision": "precision", "range_recall": "recall"}).withColumn("f1", f1("precision", "recall"))
+
+
+def affiliation_zones(rows: DataFrame) -> DataFrame:
+    """(unique_id, a, b, z0, z1, p, r): each true event owns the zone nearest to it; flags (p) and
+    event rows (r) are judged by distance against a random flag in the zone."""
     size = rows.groupBy("unique_id").agg((F.max("pos") + 1).alias("size"))
     order = Window.partitionBy("unique_id").orderBy("a")
     events = _ranges(rows, "label").join(size, "unique_id")
     zones = events.select(
         "unique_id", "a", "b",
-        F.coalesce(F.expr("0") + F.floor((F.lag("b").over(order) + F.col("a")) / 2) + 1, F.lit(0)).alias("z0"),
+        F.coalesce(F.floor((F.lag("b").over(order) + F.col("a")) / 2) + 1, F.lit(0)).alias("z0"),
         F.coalesce(F.floor((F.col("b") + F.lead("a").over(order)) / 2), F.col("size") - 1).alias("z1"),
     )
-    inside = rows.join(zones, "unique_id").where("pos BETWEEN z0 AND z1")
+    inside = _latest(rows.select("unique_id", "pos", "flag", "label"), "pos", zones, "z0").where("pos <= r.z1").select("unique_id", "pos", "flag", "label", "r.*")
     key = ["unique_id", "a", "b", "z0", "z1"]
     ahead = Window.partitionBy(*key).orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
     behind = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("flag"), F.col("pos"))
-    near = inside.withColumn("l", F.last(mark, True).over(behind)).withColumn("r", F.first(mark, True).over(ahead))
-    n = F.least(F.col("pos") - F.col("l"), F.col("r") - F.col("pos"))
+    near = inside.withColumn("left", F.last(mark, True).over(behind)).withColumn("right", F.first(mark, True).over(ahead))
+    n = F.least(F.col("pos") - F.col("left"), F.col("right") - F.col("pos"))
     d = F.greatest(F.col("a") - F.col("pos"), F.col("pos") - F.col("b"), F.lit(0))
     width = F.col("z1") - F.col("z0") + 1
     farther = F.greatest(F.col("a") - d - F.col("z0"), F.lit(0)) + F.greatest(F.col("z1") - F.col("b") - d, F.lit(0))
     covered = F.least(F.col("z1"), F.col("pos") + n) - F.greatest(F.col("z0"), F.col("pos") - n) + 1
-    each = near.groupBy(*key).agg(
+    return near.groupBy(*key).agg(
         F.avg(F.when(F.col("flag"), farther / width)).alias("p"), F.avg(F.when(F.col("label"), F.coalesce(1 - covered / width, F.lit(0.0)))).alias("r")
     )
-    return each.groupBy("unique_id").agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.count("*").alias("n_zones")).withColumn("f1", f1("precision", "recall"))
+
+
+def affiliation(rows: DataFrame) -> DataFrame:
+    """Per series, the means over the zones of its true events."""
+    zones = affiliation_zones(rows).groupBy("unique_id").agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.count("*").alias("n_zones"))
+    return zones.withColumn("f1", f1("precision", "recall"))
 
 
 def point_precision_recall(rows: DataFrame) -> DataFrame:
@@ -89,17 +145,26 @@ def auc_pr(rows: DataFrame) -> DataFrame:
 
 
 def vus_pr(rows: DataFrame, *, max_buffer: int = 24) -> DataFrame:
-    """The mean over buffers of the area under the precision and range-aware recall curve, where
-    labels fade out over half a buffer on either side of an event."""
-    buffers = rows.sparkSession.range(max_buffer + 1).select(F.col("id").cast("int").alias("buffer"))
+    """The mean over buffers of ``range_auc_pr``'s area."""
+    return range_auc_pr(rows, buffers=range(max_buffer + 1)).groupBy("unique_id").agg(F.avg("area").alias("vus_pr"))
+
+
+def range_auc_pr(rows: DataFrame, *, buffers: Iterable[int]) -> DataFrame:
+    """(unique_id, buffer, area): the area under the precision and range-aware recall curve, where
+    labels fade out over half a buffer on either side of an event. What fades is dealt from the
+    events to the rows around them."""
+    buffers = sorted(set(buffers))
+    table = rows.sparkSession.createDataFrame([(b,) for b in buffers], "buffer int")
     events = _ranges(rows, "label").select("unique_id", "a", "b", "island")
-    soft = rows.join(F.broadcast(buffers)).join(events.groupBy("unique_id").agg(F.collect_list(F.struct("a", "b")).alias("events")), "unique_id")
-    k = lambda e: F.greatest(e["a"] - F.col("pos"), F.col("pos") - e["b"])
-    fade = F.aggregate("events", F.lit(0.0), lambda s, e: s + F.when((k(e) >= 1) & (k(e) <= F.floor(F.col("buffer") / 2)), F.sqrt(1 - k(e) / F.col("buffer"))).otherwise(0.0))
+    steps = F.sequence(F.lit(1), F.lit(max(1, buffers[-1] // 2)))
+    around = events.select("unique_id", "a", "b", F.explode(steps).alias("k")).select("unique_id", F.explode(F.array(F.col("a") - F.col("k"), F.col("b") + F.col("k"))).alias("pos"), "k")
+    halo = around.groupBy("unique_id", "pos").agg(F.collect_list("k").alias("ks"))
+    soft = rows.join(halo, ["unique_id", "pos"], "left").join(F.broadcast(table))
+    fade = F.aggregate(F.coalesce("ks", F.array().cast("array<int>")), F.lit(0.0), lambda s, k: s + F.when(k <= F.floor(F.col("buffer") / 2), F.sqrt(1 - k / F.col("buffer"))).otherwise(0.0))
     soft = soft.withColumn("ext", F.least(F.col("label").cast("double") + fade, F.lit(1.0)))
     score = F.when(F.isnan("score") | F.col("score").isNull(), float("-inf")).otherwise(F.col("score"))
     ties = soft.groupBy("unique_id", "buffer", score.alias("threshold")).agg(F.sum("ext").alias("tp"), F.count("*").alias("n"))
-    peaks = rows.join(events, "unique_id").where("pos BETWEEN a AND b").groupBy("unique_id", "island").agg(F.max(score).alias("threshold"))
+    peaks = islands(rows.where("label")).groupBy("unique_id", "island").agg(F.max(score).alias("threshold"))
     seen = peaks.groupBy("unique_id", "threshold").agg(F.count("*").alias("seen"))
     counts = rows.where("label").groupBy("unique_id").agg(F.count("*").alias("positives")).join(events.groupBy("unique_id").agg(F.count("*").alias("n_events")), "unique_id")
     by = Window.partitionBy("unique_id", "buffer").orderBy(F.desc("threshold"))
@@ -109,20 +174,30 @@ def vus_pr(rows: DataFrame, *, max_buffer: int = 24) -> DataFrame:
     curve = curve.select("unique_id", "buffer", "threshold", (tp / n).alias("precision"), (F.least(tp / ((F.col("buffer") + 1) * F.col("positives")), F.lit(1.0)) * share).alias("recall"))
     before = lambda c, first: F.coalesce(F.lag(c).over(by), F.lit(first))
     gain = (F.col("recall") - before("recall", 0.0)) * (F.col("precision") + before("precision", 1.0)) / 2
-    areas = curve.withColumn("gain", gain).groupBy("unique_id", "buffer").agg(F.sum("gain").alias("area"))
-    return areas.groupBy("unique_id").agg(F.avg("area").alias("vus_pr"))
+    return curve.withColumn("gain", gain).groupBy("unique_id", "buffer").agg(F.sum("gain").alias("area"))
+
+
+def event_delays(rows: DataFrame) -> DataFrame:
+    """(unique_id, island, a, delay) of each true event; no delay where no flag lies in it."""
+    true = _ranges(rows, "label")
+    hits = _latest(rows.where("flag").select("unique_id", "pos"), "pos", true, "a").where("pos <= r.b")
+    first = hits.groupBy("unique_id", F.col("r.island").alias("island")).agg(F.min("pos").alias("first"))
+    return true.join(first, ["unique_id", "island"], "left").select("unique_id", "island", "a", (F.col("first") - F.col("a")).alias("delay"))
+
+
+def false_alarms(rows: DataFrame, *, merge_gap: int = 0) -> DataFrame:
+    """(unique_id, a, b) of the ranges found that meet no true range."""
+    found = _ranges(rows, "flag", merge_gap).select("unique_id", "a", "b")
+    met = _latest(found, "b", _ranges(rows, "label").select("unique_id", F.col("a").alias("ta"), F.col("b").alias("tb")), "ta")
+    return met.where("r is null or r.tb < a").drop("r")
 
 
 def detection_delay(rows: DataFrame, *, merge_gap: int = 0, per: int = 1000) -> DataFrame:
     """First hits of true events, their delays, and events of flags that meet no true event."""
-    true, found = _ranges(rows, "label"), _ranges(rows, "flag", merge_gap)
-    flags = rows.where("flag").select("unique_id", "pos")
-    hits = true.join(flags, "unique_id", "left").groupBy("unique_id", "island", "a").agg(F.min(F.when(F.col("pos").between(F.col("a"), F.col("b")), F.col("pos"))).alias("first"))
-    per_series = hits.groupBy("unique_id").agg(
-        F.count("*").alias("n_true_events"), F.count("first").alias("n_detected"), F.avg(F.col("first") - F.col("a")).alias("mean_delay"), F.median(F.col("first") - F.col("a")).alias("median_delay")
+    per_series = event_delays(rows).groupBy("unique_id").agg(
+        F.count("*").alias("n_true_events"), F.count("delay").alias("n_detected"), F.avg("delay").alias("mean_delay"), F.median("delay").alias("median_delay")
     )
-    t = true.select("unique_id", F.col("a").alias("ta"), F.col("b").alias("tb"))
-    alarms = found.join(t, (found.unique_id == t.unique_id) & (F.col("a") <= F.col("tb")) & (F.col("ta") <= F.col("b")), "left_anti").groupBy("unique_id").agg(F.count("*").alias("n_false_alarms"))
+    alarms = false_alarms(rows, merge_gap=merge_gap).groupBy("unique_id").agg(F.count("*").alias("n_false_alarms"))
     out = rows.groupBy("unique_id").agg(F.count("*").alias("n_obs")).join(per_series, "unique_id", "left").join(alarms, "unique_id", "left").na.fill(0, ["n_false_alarms", "n_true_events", "n_detected"])
     return out.withColumn("detection_rate", F.try_divide("n_detected", "n_true_events")).withColumn("false_alarms_per", per * F.col("n_false_alarms") / F.col("n_obs"))
 
@@ -143,23 +218,41 @@ def support_rows(scores: DataFrame, truth: DataFrame, *, alpha: float) -> DataFr
 
 
 def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2, max_buffer: int = 24) -> DataFrame:
-    """A long table (detector_id, unique_id, metric, value) of all metrics of each series."""
-    tables = {
-        "range": range_precision_recall(rows, merge_gap=merge_gap).select("unique_id", "precision", "recall", "f1"),
-        "affiliation": affiliation(rows).select("unique_id", "precision", "recall", "f1"),
-        "point": point_precision_recall(rows),
-        "auc_pr": auc_pr(rows).select("unique_id", "area", "baseline"),
-        "vus_pr": vus_pr(rows, max_buffer=max_buffer).select("unique_id", F.col("vus_pr").alias("area")),
-        "detection": detection_delay(rows, merge_gap=merge_gap).select("unique_id", "detection_rate", "mean_delay", "median_delay", "n_false_alarms", "false_alarms_per"),
-    }
-    out = None
-    for name, df in tables.items():
-        values = [c for c in df.columns if c != "unique_id"]
-        long = df.select("unique_id", *(F.col(c).cast("double").alias(f"{name}_{c}") for c in values)).unpivot(["unique_id"], [f"{name}_{c}" for c in values], "metric", "value")
-        out = long if out is None else out.union(long)
-    return out.select(F.lit(detector_id).alias("detector_id"), "unique_id", "metric", "value")
-
-
-def pooled(long: DataFrame) -> DataFrame:
-    """The series' values averaged over the series that have one (unique_id null)."""
-    return long.groupBy("detector_id", "metric").agg(F.avg("value").alias("value")).select("detector_id", F.lit(None).cast("string").alias("unique_id"), "metric", "value")
+    """A long table (detector_id, unique_id, metric, value, n_obs, n_events) of each series and,
+    with a null unique_id, of all series together: there ranges, zones, events and rows are pooled
+    before their means are taken, and only the areas under curves are means of the series' areas."""
+    zones = affiliation_zones(rows)
+    delays = event_delays(rows)
+    value = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
+    of_zones = zones.select("unique_id", F.explode(F.array(value("affiliation_precision", "p"), value("affiliation_recall", "r"))).alias("x")).select("unique_id", "x.*")
+    areas = auc_pr(rows).select("unique_id", F.lit("auc_pr").alias("metric"), F.col("area").alias("value"))
+    areas = areas.union(vus_pr(rows, max_buffer=max_buffer).select("unique_id", F.lit("vus_pr"), "vus_pr"))
+    parts = range_parts(rows, merge_gap=merge_gap).union(of_zones).union(areas)
+    late = delays.select("unique_id", F.lit("delay").alias("metric"), F.col("delay").cast("double").alias("value"))
+    sets = [["unique_id", "metric"], ["metric"]]
+    means = parts.groupingSets(sets, "unique_id", "metric").agg(F.avg("value").alias("value"), F.grouping("unique_id").alias("g"))
+    # Detection: every event counts, its delay only where it has one.
+    of_events = late.groupingSets([["unique_id"], []], "unique_id").agg(
+        F.grouping("unique_id").alias("g"), F.count("*").alias("n_events"), (F.count("value") / F.count("*")).alias("detection_rate"),
+        F.avg("value").alias("detection_delay_mean"), F.median("value").alias("detection_delay_median"),
+    )
+    hit = F.count_if(F.col("flag") & F.col("label"))
+    of_rows = rows.groupingSets([["unique_id"], []], "unique_id").agg(
+        F.grouping("unique_id").alias("g"), F.count("*").alias("n_obs"), F.try_divide(hit, F.count_if("flag")).alias("point_precision"),
+        F.try_divide(hit, F.count_if("label")).alias("point_recall"), F.avg(F.col("label").cast("double")).alias("auc_pr_baseline"),
+    )
+    alarms = false_alarms(rows, merge_gap=merge_gap).groupingSets([["unique_id"], []], "unique_id").agg(F.grouping("unique_id").alias("g"), F.count("*").alias("n_false_alarm_events"))
+    same = lambda other: F.col("k").eqNullSafe(F.col(f"{other}_k"))
+    keyed = lambda df, name: df.where("g = 1 or unique_id is not null").withColumnRenamed("unique_id", f"{name}_k").drop("g")
+    names = ("range_precision", "range_recall", "affiliation_precision", "affiliation_recall", "auc_pr", "vus_pr")
+    wide = means.groupBy("unique_id", "g").agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names))
+    base = of_rows.withColumnRenamed("unique_id", "k").drop("g")
+    for df, name in ((wide, "means"), (of_events, "events"), (alarms, "alarms")):
+        base = base.join(keyed(df, name), same(name), "left").drop(f"{name}_k")
+    base = base.na.fill(0, ["n_events", "n_false_alarm_events"])
+    base = base.withColumn("false_alarms_per_1000", 1000 * F.col("n_false_alarm_events") / F.col("n_obs"))
+    for kind in ("range", "affiliation", "point"):
+        base = base.withColumn(f"{kind}_f1", f1(f"{kind}_precision", f"{kind}_recall"))
+    metrics = [c for c in base.columns if c not in ("k", "n_obs", "n_events")]
+    long = base.select("k", "n_obs", "n_events", *(F.col(c).cast("double").alias(c) for c in metrics)).unpivot(["k", "n_obs", "n_events"], metrics, "metric", "value")
+    return long.where("value is not null").select(F.lit(detector_id).alias("detector_id"), F.col("k").alias("unique_id"), "metric", "value", "n_obs", "n_events")

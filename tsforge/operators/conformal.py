@@ -9,11 +9,14 @@ from tsforge.panel import missing
 from tsforge.spec import quantile_column
 
 
-def scoring_frame(forecasts: DataFrame, windows: DataFrame, *, model_id: str, stage: str) -> DataFrame:
-    """One model's rows of one stage on the whole grid of series and instants."""
-    rows = forecasts.where(F.col("model_id") == model_id).join(F.broadcast(windows.where(F.col("stage") == stage)), "window_id", "left_semi")
-    grid = rows.select("ds").distinct()
-    return rows.select("unique_id").distinct().join(grid).join(rows, ["unique_id", "ds"], "left")
+def scoring_frame(forecasts: DataFrame, windows: DataFrame, *, model_id: str, stage: str, step: int) -> DataFrame:
+    """One model's rows of one stage on the whole grid: every series that any model forecasts, at
+    every instant (``step`` seconds apart) of the stage's windows. What a failed window lacks is a
+    row of nulls."""
+    held = F.broadcast(windows.where(F.col("stage") == stage))
+    rows = forecasts.where(F.col("model_id") == model_id).join(held, "window_id", "left_semi")
+    instants = held.select(F.explode(F.sequence("first_pred", "last_pred", F.expr(f"INTERVAL {step} SECONDS"))).alias("ds")).distinct()
+    return forecasts.select("unique_id").distinct().crossJoin(F.broadcast(instants)).join(rows, ["unique_id", "ds"], "left")
 
 
 def residuals(frame: DataFrame, *, alpha: float = 0.05) -> DataFrame:

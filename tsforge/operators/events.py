@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsforge.panel import by_series, missing
+from tsforge.panel import by_series, missing, seconds
 
 
 def islands(flagged: DataFrame, *, merge_gap: int = 0, position: str = "pos", by: tuple[str, ...] = ("unique_id",)) -> DataFrame:
@@ -54,13 +54,23 @@ def truth_events(truth: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(detected: DataFrame, truth: DataFrame, *, tolerance_seconds: int = 0) -> DataFrame:
-    """Pairs of a detected and a true event of one series that overlap, with the overlap in seconds."""
+def overlaps(detected: DataFrame, truth: DataFrame, *, tolerance_seconds: int = 0, slot_seconds: int = 7 * 86400) -> DataFrame:
+    """Pairs of a detected and a true event of one series that overlap, with the overlap in
+    seconds. Events meet in the time slots that they touch, and a pair counts in the slot where
+    the later of the two begins."""
+    reach = F.expr(f"INTERVAL {tolerance_seconds} SECONDS")
+
+    def dealt(df: DataFrame, start: Column, end: Column) -> DataFrame:
+        slots = F.sequence(F.floor(seconds(start) / slot_seconds), F.floor(seconds(end) / slot_seconds))
+        return df.withColumn("slot", F.explode(slots))
+
     t = truth.select("unique_id", F.col("event_id").alias("truth_id"), F.col("start_ds").alias("t_start"), F.col("end_ds").alias("t_end"))
-    joined = detected.select("unique_id", "event_id", "start_ds", "end_ds").join(t, "unique_id")
+    t = dealt(t, F.col("t_start") - reach, F.col("t_end") + reach)
+    d = dealt(detected.select("unique_id", "event_id", "start_ds", "end_ds"), F.col("start_ds"), F.col("end_ds"))
     span = F.timestamp_diff("SECOND", F.greatest("start_ds", "t_start"), F.least("end_ds", "t_end")) + 2 * tolerance_seconds
-    touching = (F.col("start_ds") <= F.col("t_end") + F.expr(f"INTERVAL {tolerance_seconds} SECONDS")) & (F.col("t_start") <= F.col("end_ds") + F.expr(f"INTERVAL {tolerance_seconds} SECONDS"))
-    return joined.where(touching).select("unique_id", "event_id", "truth_id", "start_ds", "t_start", span.alias("overlap"))
+    touching = (F.col("start_ds") <= F.col("t_end") + reach) & (F.col("t_start") <= F.col("end_ds") + reach)
+    begins = F.floor(seconds(F.greatest(F.col("start_ds"), F.col("t_start") - reach)) / slot_seconds)
+    return d.join(t, ["unique_id", "slot"]).where(touching & (F.col("slot") == begins)).select("unique_id", "event_id", "truth_id", "start_ds", "t_start", span.alias("overlap"))
 
 
 def match_events(detected: DataFrame, truth: DataFrame, *, tolerance_seconds: int = 0) -> DataFrame:

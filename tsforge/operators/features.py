@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsforge.functions import calendar
 from tsforge.panel import by_series, Panel
-from tsforge.spec import FeatureSpec, LeakError
+from tsforge.spec import FeatureSpec, LeakError, usable_features
 
 STATS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda c: F.percentile(c, F.lit(0.5)),
@@ -18,8 +21,11 @@ STATS: dict[str, Callable[[Column], Column]] = {
 
 @dataclass(frozen=True)
 class Feature:
+    """An expression over a panel's rows; ``along`` is a recursion over each series' values of it."""
+
     column: Column
     spec: FeatureSpec
+    along: Callable[[pd.Series], pd.Series] | None = None
 
 
 def source(panel: Panel, name: str) -> Feature:
@@ -35,7 +41,8 @@ def lead(x: Feature, k: int) -> Feature:
 
 
 def diff(x: Feature, k: int = 1) -> Feature:
-    """Uses the row itself, so it is known no further ahead than its source."""
+    """Uses the row itself, so it is known no further ahead than its source (not ``k`` rows
+    further, as a lag of ``k`` rows would be)."""
     return Feature(x.column - F.lag(x.column, k).over(by_series()), FeatureSpec(f"{x.spec.name}_diff{k}", x.spec.max_lead))
 
 
@@ -60,22 +67,64 @@ def expand(x: Feature, *, shift: int = 1, stat: str = "mean") -> Feature:
     return Feature(STATS[stat](x.column).over(frame), x.spec.lagged(shift, f"{x.spec.name}_expand{stat}_s{shift}"))
 
 
-def ewm(x: Feature, *, halflife: float, shift: int = 1, reach: int = 60) -> Feature:
-    """Weights halve every ``halflife`` rows by position; rows over ``reach`` halflives back weigh
-    less than a double resolves and are left out, so that weights stay in range."""
-    rows = int(reach * halflife)
-    back = F.collect_list(F.coalesce(x.column, F.lit(float("nan")))).over(by_series().rowsBetween(-(shift + rows - 1), -shift))
-    pairs = F.transform(F.reverse(back), lambda v, i: F.struct(v.alias("v"), F.pow(F.lit(0.5), i / halflife).alias("w")))
-    known = F.filter(pairs, lambda p: ~F.isnan(p["v"]))
-    total = F.aggregate(known, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda a, p: F.struct((a["s"] + p["v"] * p["w"]).alias("s"), (a["w"] + p["w"]).alias("w")))
-    return Feature(F.when(F.size(known) > 0, total["s"] / total["w"]), x.spec.lagged(shift, f"{x.spec.name}_ewm{halflife:g}_s{shift}"))
+def ewm(x: Feature, *, halflife: float, shift: int = 1) -> Feature:
+    """The mean of all known rows that lie ``shift`` rows back and more, with weights that halve
+    every ``halflife`` rows by position. The recursion runs along each whole series, one series a
+    task, however long it is or its gaps are."""
+
+    def along(values: pd.Series) -> pd.Series:
+        return values.shift(shift).ewm(halflife=halflife).mean()
+
+    return Feature(x.column, x.spec.lagged(shift, f"{x.spec.name}_ewm{halflife:g}_s{shift}"), along)
 
 
 def feature_frame(panel: Panel, features: list[Feature]) -> DataFrame:
     names = [f.spec.name for f in features]
     if len(set(names)) < len(names):
         raise ValueError("two features have one name")
-    return panel.df.select("unique_id", "ds", *(f.column.alias(f.spec.name) for f in features))
+    frame = panel.df.select("unique_id", "ds", *(f.column.alias(f.spec.name) for f in features))
+    recursions = {f.spec.name: f.along for f in features if f.along}
+    if not recursions:
+        return frame
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ds")
+        return rows.assign(**{name: along(rows[name]) for name, along in recursions.items()})
+
+    made = frame.groupBy("unique_id").applyInPandas(run, frame.schema)
+    # Pandas has no null beside nan.
+    return made.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in recursions else F.col(c) for c in made.columns))
+
+
+# Sets of features
+
+
+def calendar_features(panel: Panel, *, holidays: DataFrame | None = None, periods: tuple[float, ...] = (24, 168, 8766), order: int = 2) -> tuple[DataFrame, list[FeatureSpec]]:
+    """Calendar columns and Fourier terms of ``periods`` hours; all are known at any lead."""
+    terms = calendar.fourier_columns(periods={f"{p:g}h": float(p) for p in periods}, order=order)
+    frame = panel.df.select("unique_id", "ds", *calendar.calendar_columns(tz=panel.spec.tz_display), *terms)
+    if holidays is not None:
+        frame = calendar.with_holidays(frame, holidays, tz=panel.spec.tz_display)
+    return frame, [FeatureSpec(c, math.inf) for c in frame.columns if c not in ("unique_id", "ds")]
+
+
+def thermal_features(panel: Panel, *, column: str = "temp_c", heating: float = 18.0, cooling: float = 18.0, lags: tuple[int, ...] = (1, 24, 168)) -> list[Feature]:
+    """The temperature, its heating and cooling degrees, and lags of each; a null temperature has
+    null degrees."""
+    warm = source(panel, column)
+    degrees = calendar.degree_days(column, heating=heating, cooling=cooling)
+    names = (f"{column}_hdd{heating:g}", f"{column}_cdd{cooling:g}")
+    base = [warm, *(Feature(c, FeatureSpec(n, warm.spec.max_lead)) for n, c in zip(names, degrees, strict=True))]
+    return base + [lag(x, k) for x in base for k in lags]
+
+
+def feature_set(panel: Panel, lead: int, *, temperature: str | None = None, recursive: bool = False) -> DataFrame:
+    """The target's and, with a temperature column, the thermal features that are usable ``lead``
+    steps ahead, with the calendar's."""
+    made = target_features(panel) + (thermal_features(panel, column=temperature) if temperature else [])
+    usable = {f.name for f in usable_features([x.spec for x in made], lead, recursive=recursive)}
+    frame, _ = calendar_features(panel)
+    return feature_frame(panel, [x for x in made if x.spec.name in usable]).join(frame, ["unique_id", "ds"])
 
 
 def target_features(panel: Panel, *, lags=(1, 2, 3, 24, 48, 168, 336), windows=(24, 168), stats=("mean", "std", "min", "max"), diffs=(1, 24), changes=(24, 168)) -> list[Feature]:

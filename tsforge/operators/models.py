@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.operators import features
@@ -89,14 +89,19 @@ def backtest_series(panel: Panel, plan: BacktestPlan, *, models: tuple[str, ...]
 
 def boosted_direct(panel: Panel, plan: BacktestPlan, *, lags: tuple[int, ...] = (1, 2, 7, 14), trees: int = 20, depth: int = 4) -> DataFrame:
     """One model for every step of the horizon at once, the step being a feature: what is known at
-    the cutoff predicts the step-th row behind it. One fit for each window, over all series."""
+    the cutoff predicts the step-th row behind it. One fit for each window, over all series. Gaps
+    of the inputs hold the last value known by then, labels stay as they are; a series without any
+    value before its lags gets no forecast (``without_forecast`` lists those)."""
     table = make_windows(panel, plan)
-    y = features.source(panel, panel.spec.target)
+    target, back = panel.spec.target, by_series().rowsBetween(Window.unboundedPreceding, 0)
+    truth = panel.df.select("unique_id", "ds", missing(target).alias("truth"))
+    panel = Panel(panel.df.withColumn(target, F.last(missing(target), True).over(back)), panel.spec, panel.static)
+    y = features.source(panel, target)
     lagged = features.feature_frame(panel, [features.lag(y, k) for k in (k for k in lags if k > 1)] + [features.roll(y, panel.spec.mase_season)])
-    known = lagged.join(panel.df.select("unique_id", "ds", missing(panel.spec.target).alias("now")), ["unique_id", "ds"])
-    inputs = [c for c in known.columns if c not in ("unique_id", "ds")]
+    known = lagged.join(panel.df.select("unique_id", "ds", F.col(target).alias("now")).join(truth, ["unique_id", "ds"]), ["unique_id", "ds"])
+    inputs = [c for c in known.columns if c not in ("unique_id", "ds", "truth")]
     steps = range(1 + plan.gap, plan.h + plan.gap + 1)
-    led = known.select("unique_id", "ds", *inputs, *(F.lead("now", k).over(by_series()).alias(f"now_{k}") for k in steps))
+    led = known.select("unique_id", "ds", *inputs, *(F.lead("truth", k).over(by_series()).alias(f"now_{k}") for k in steps))
     ahead = [F.struct(F.lit(float(k)).alias("step"), F.col(f"now_{k}").alias("label"), at_seconds(seconds("ds") + k * panel.spec.step).alias("target_ds")) for k in steps]
     rows = led.na.drop(subset=inputs).select("unique_id", "ds", *inputs, F.explode(F.array(*ahead)).alias("a")).select("unique_id", "ds", *inputs, "a.*")
     shaped = VectorAssembler(inputCols=[*inputs, "step"], outputCol="features").transform(rows)
@@ -112,6 +117,12 @@ def boosted_direct(panel: Panel, plan: BacktestPlan, *, lags: tuple[int, ...] =
     return out
 
 
+def without_forecast(panel: Panel, forecasts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(unique_id, window_id) that a model gave no forecast for."""
+    every = panel.ids().crossJoin(F.broadcast(windows.select("window_id")))
+    return every.join(forecasts.select("unique_id", "window_id").distinct(), ["unique_id", "window_id"], "left_anti")
+
+
 def tune_window_average(panel: Panel, plan: BacktestPlan, candidates: tuple[int, ...] = (3, 7, 14, 28)) -> DataFrame:
     """(average, mae) of every candidate on the development windows, in one plan."""
     table = make_windows(panel, plan).where("stage = 'dev'")

@@ -9,7 +9,7 @@ from tsforge.functions import metrics, stats
 from tsforge.operators import anomaly_metrics, backtest, conformal, events, inject, split
 from tsforge.operators.inject import AnomalySpec
 from tsforge.panel import Panel
-from tsforge.plans.base import SHIP, query, rounded
+from tsforge.plans.base import EVT, SHIP, query, rounded
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan, normal_quantile, quantile_column
 
@@ -133,14 +133,21 @@ def dm_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.pairwise_dm(_run(spark, sf_dir)[1].forecasts, hac_lag=2), 4)
 
 
-def _adjusted(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    tests = stats.pairwise_dm(_run(spark, sf_dir)[1].forecasts, hac_lag=2)
-    # A stand-in for p that both engines compute alike; with_p_values has the test's own.
-    shaped = tests.withColumn("p_value", F.round(1 / (1 + F.abs("stat")), 6))
-    return rounded(stats.adjust(shaped, method=method).select("model_a", "model_b", "p_value_adjusted"), 4)
+def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.with_p_values(stats.pairwise_dm(_run(spark, sf_dir)[1].forecasts, hac_lag=2))
+
 
+# Student's tail: with x = sqrt(df) * tan(u), the density is a power of cos(u); both areas by Simpson's rule.
+_P = """pv AS (SELECT *, mean / sqrt(v) * sqrt((n + 1 - 6 + 6 / n::DOUBLE) / n) AS stat FROM dm),
+th AS (SELECT *, atan(abs(stat) / sqrt(n - 1)) AS th FROM pv),
+ps AS (SELECT model_a, model_b, n, mean, v, stat, round(1 - sum(w * pow(cos(th * i / 2000), n - 2)) * th / (sum(w * pow(cos(pi() / 2 * i / 2000), n - 2)) * pi() / 2), 6) AS p
+  FROM th, (SELECT i, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(2001)) AS i)) GROUP BY model_a, model_b, n, mean, v, stat, th),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, model_a, model_b) AS r, count(*) OVER () AS k FROM ps)"""
 
-_P = "ps AS (SELECT model_a, model_b, round(1 / (1 + abs(mean / sqrt(v) * sqrt((n + 1 - 6 + 6 / n::DOUBLE) / n))), 6) AS p FROM dm), rk AS (SELECT *, row_number() OVER (ORDER BY p, model_a, model_b) AS r, count(*) OVER () AS k FROM ps)"
+
+def _adjusted(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    tests = _tested(spark, sf_dir).withColumn("p_value", F.round("p_value", 6))
+    return rounded(stats.adjust(tests, method=method).select("model_a", "model_b", "p_value_adjusted"), 4)
 
 
 @query(f"WITH {FORECASTS}, {_DM}, {_P} SELECT model_a, model_b, round(least(max(p * (k - r + 1)) OVER (ORDER BY r), 1), 4) AS p_value_adjusted FROM rk")
@@ -153,9 +160,17 @@ def p_adjust_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjusted(spark, sf_dir, "bh")
 
 
-@query()
+@query(f"WITH {FORECASTS}, {_DM}, {_P} SELECT model_a, model_b, n::BIGINT AS n_obs, round(mean, 4) AS mean_difference, round(stat, 4) AS stat, v <= 0 AS degenerate, round(p, 4) AS p_value FROM ps")
 def dm_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.with_p_values(stats.pairwise_dm(_run(spark, sf_dir)[1].forecasts, hac_lag=2))
+    return rounded(_tested(spark, sf_dir), 4)
+
+
+@query(f"""WITH {FORECASTS}, {_DM}, {_P} SELECT model_a, model_b, n::BIGINT AS n_obs, 2::SMALLINT AS hac_lag, true AS hln_corrected, round(p, 4) AS p_value, round(least(max(p * (k - r + 1)) OVER (ORDER BY r), 1), 4) AS p_value_adjusted,
+  'holm' AS adjust_method, k::BIGINT AS n_comparisons, least(max(p * (k - r + 1)) OVER (ORDER BY r), 1) < 0.05 AS significant FROM rk""")
+def dm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = _tested(spark, sf_dir).withColumn("p_value", F.round("p_value", 6))
+    table = stats.test_table(tests, hac_lag=2, method="holm", level=0.05)
+    return rounded(table.select("model_a", "model_b", "n_obs", "hac_lag", "hln_corrected", "p_value", "p_value_adjusted", "adjust_method", "n_comparisons", "significant"), 4)
 
 
 @query("""WITH q AS (SELECT event_id, value AS a, value * (event_id % 3) AS b, CASE WHEN event_id % 5 > 0 THEN 10.0::DOUBLE END AS c FROM events),
@@ -176,14 +191,14 @@ sco AS (SELECT a.unique_id, a.ds, count(c.r)::INT AS calib_n, a.r IS NOT NULL AN
 
 def _conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir)[1]
-    dev, held = (conformal.residuals(conformal.scoring_frame(run.forecasts, run.windows, model_id="seasonal_naive", stage=s)) for s in ("dev", "holdout"))
+    dev, held = (conformal.residuals(conformal.scoring_frame(run.forecasts, run.windows, model_id="seasonal_naive", stage=s, step=86400)) for s in ("dev", "holdout"))
     return conformal.split_conformal_scores(dev, held)
 
 
 @query(f"WITH {FORECASTS} SELECT unique_id, ds, h::SMALLINT AS h_step, round(y_hat, 4) AS y_hat, y FROM fc WHERE model_id = 'naive' AND window_id >= {N - 2}")
 def scoring_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir)[1]
-    return rounded(conformal.scoring_frame(run.forecasts, run.windows, model_id="naive", stage="holdout").select("unique_id", "ds", "h_step", "y_hat", "y"), 4)
+    return rounded(conformal.scoring_frame(run.forecasts, run.windows, model_id="naive", stage="holdout", step=86400).select("unique_id", "ds", "h_step", "y_hat", "y"), 4)
 
 
 @query(f"WITH {FORECASTS}, {_RES}, {_SCORES} SELECT unique_id, ds, round(score, 4) AS score, scorable, round(severity, 4) AS severity, calib_n, side FROM sco")
@@ -191,7 +206,7 @@ def split_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_conformal(spark, sf_dir), 4)
 
 
-@query(f"WITH {FORECASTS}, {_RES}, {_SCORES}, t AS (SELECT unnest([0.001, 0.01, 0.05, 0.1])::DOUBLE AS alpha) SELECT alpha, round(-log10(alpha), 4) AS threshold, -log10(alpha) <= (SELECT max(score) FROM sco WHERE scorable) AS reachable FROM t")
+@query(f"WITH {FORECASTS}, {_RES}, {_SCORES}, t AS (SELECT unnest([0.001, 0.01, 0.05, 0.1])::DOUBLE AS alpha) SELECT alpha, round(-log10(alpha), 4) AS threshold, coalesce(-log10(alpha) <= (SELECT max(score) FROM sco WHERE scorable), true) AS reachable FROM t")
 def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.threshold_table(_conformal(spark, sf_dir), (0.001, 0.01, 0.05, 0.1)), 4)
 
@@ -249,25 +264,52 @@ def event_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.overlaps(_detected(spark, sf_dir), events.truth_events(_truth(spark, sf_dir))).select("unique_id", "start_ds", "truth_id", "overlap")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, tx AS (SELECT unique_id, strftime(ds, '%Y%m') AS truth_id, min(ds) AS t0, max(ds) AS t1 FROM fl WHERE label GROUP BY ALL),
+ex AS (SELECT *, 'level|' || unique_id || '|0.0500|' || strftime(start_ds, '%Y%m%dT%H%M') AS event_id FROM ev),
+pa AS (SELECT ex.unique_id, event_id, truth_id, row_number() OVER (PARTITION BY ex.unique_id ORDER BY date_diff('second', greatest(start_ds, t0), least(end_ds, t1)) DESC, start_ds, t0, event_id, truth_id) AS rn
+  FROM ex JOIN tx ON ex.unique_id = tx.unique_id AND start_ds <= t1 AND t0 <= end_ds),
+gr AS (SELECT DISTINCT unique_id, 0::BIGINT AS rn, []::VARCHAR[] AS ev_done, []::VARCHAR[] AS tr_done FROM pa
+  UNION ALL SELECT pa.unique_id, pa.rn, CASE WHEN list_contains(ev_done, event_id) OR list_contains(tr_done, truth_id) THEN ev_done ELSE list_append(ev_done, event_id) END,
+    CASE WHEN list_contains(ev_done, event_id) OR list_contains(tr_done, truth_id) THEN tr_done ELSE list_append(tr_done, truth_id) END FROM gr JOIN pa ON pa.unique_id = gr.unique_id AND pa.rn = gr.rn + 1),
+fi AS (SELECT unique_id, unnest(ev_done) AS event_id, unnest(tr_done) AS truth_id FROM (SELECT unique_id, arg_max(ev_done, rn) AS ev_done, arg_max(tr_done, rn) AS tr_done FROM gr GROUP BY unique_id))
+SELECT ex.unique_id, ex.event_id, fi.truth_id AS matched_truth_event_id, CASE WHEN fi.truth_id IS NULL THEN 'false_alarm' ELSE 'hit' END AS match_kind, start_ds, end_ds FROM ex LEFT JOIN fi ON fi.unique_id = ex.unique_id AND fi.event_id = ex.event_id
+UNION ALL SELECT unique_id, NULL, truth_id, 'missed', t0, t1 FROM tx WHERE NOT EXISTS (SELECT 1 FROM fi WHERE fi.unique_id = tx.unique_id AND fi.truth_id = tx.truth_id)""")
 def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.match_events(_detected(spark, sf_dir), events.truth_events(_truth(spark, sf_dir)))
 
 
-@query(f"""WITH {_FLAGS}, {_RANGES}, bo AS (SELECT t.unique_id, t.island AS ti, f.island AS fi, t.a AS ta, t.b AS tb, f.a AS fa, f.b AS fb, least(t.b, f.b) - greatest(t.a, f.a) + 1 AS s FROM tr t JOIN fr f ON t.unique_id = f.unique_id AND t.a <= f.b AND f.a <= t.b),
-rc AS (SELECT tr.unique_id, avg(coalesce(x.r, 0)) AS recall FROM tr LEFT JOIN (SELECT unique_id, ti, sum(s) / (tb - ta + 1)::DOUBLE / count(*) AS r FROM bo GROUP BY unique_id, ti, ta, tb) x ON x.unique_id = tr.unique_id AND x.ti = tr.island GROUP BY tr.unique_id),
-pc AS (SELECT fr.unique_id, avg(coalesce(x.r, 0)) AS precision FROM fr LEFT JOIN (SELECT unique_id, fi, sum(s) / (fb - fa + 1)::DOUBLE / count(*) AS r FROM bo GROUP BY unique_id, fi, fa, fb) x ON x.unique_id = fr.unique_id AND x.fi = fr.island GROUP BY fr.unique_id)
-SELECT unique_id, round(precision, 4) AS precision, round(recall, 4) AS recall FROM rc JOIN pc USING (unique_id)""")
+_RP = """bo AS (SELECT t.unique_id, t.island AS ti, f.island AS fi, t.a AS ta, t.b AS tb, f.a AS fa, f.b AS fb, least(t.b, f.b) - greatest(t.a, f.a) + 1 AS s FROM tr t JOIN fr f ON t.unique_id = f.unique_id AND t.a <= f.b AND f.a <= t.b),
+rc AS (SELECT tr.unique_id, coalesce(x.r, 0) AS recall FROM tr LEFT JOIN (SELECT unique_id, ti, sum(s) / (tb - ta + 1)::DOUBLE / count(*) AS r FROM bo GROUP BY unique_id, ti, ta, tb) x ON x.unique_id = tr.unique_id AND x.ti = tr.island),
+pc AS (SELECT fr.unique_id, coalesce(x.r, 0) AS precision FROM fr LEFT JOIN (SELECT unique_id, fi, sum(s) / (fb - fa + 1)::DOUBLE / count(*) AS r FROM bo GROUP BY unique_id, fi, fa, fb) x ON x.unique_id = fr.unique_id AND x.fi = fr.island)"""
+
+
+@query(f"""WITH {_FLAGS}, {_RANGES}, {_RP} SELECT unique_id, round(precision, 4) AS precision, round(recall, 4) AS recall
+FROM (SELECT unique_id, avg(recall) AS recall FROM rc GROUP BY unique_id) JOIN (SELECT unique_id, avg(precision) AS precision FROM pc GROUP BY unique_id) USING (unique_id)""")
 def range_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomaly_metrics.range_precision_recall(_flagged(spark, sf_dir), merge_gap=2).select("unique_id", "precision", "recall"), 4)
 
 
-@query(f"""WITH {_FLAGS}, {_RANGES}, z AS (SELECT unique_id, a, b, coalesce((lag(b) OVER w + a) // 2 + 1, 0) AS z0, coalesce((b + lead(a) OVER w) // 2, (SELECT max(pos) FROM fl f WHERE f.unique_id = tr.unique_id)) AS z1 FROM tr WINDOW w AS (PARTITION BY unique_id ORDER BY a)),
+@query(f"""WITH {_FLAGS}, {_RANGES}, pl AS (SELECT t.unique_id, t.island, f.flag, f.pos - t.a + 1 AS i, t.b - t.a + 1 AS n, p.island AS fi FROM tr t JOIN fl f ON f.unique_id = t.unique_id AND f.pos BETWEEN t.a AND t.b
+    LEFT JOIN fr p ON p.unique_id = t.unique_id AND f.pos BETWEEN p.a AND p.b),
+sh AS (SELECT unique_id, island, sum(CASE WHEN fi IS NOT NULL THEN i END) / sum(i)::DOUBLE AS back, sum(CASE WHEN fi IS NOT NULL THEN n - i + 1 END) / sum(n - i + 1)::DOUBLE AS front,
+  sum(CASE WHEN fi IS NOT NULL THEN least(i, n - i + 1) END) / sum(least(i, n - i + 1))::DOUBLE AS middle FROM pl GROUP BY ALL)
+SELECT unique_id, round(avg(coalesce(0.3 + 0.7 * back, 0)), 4) AS back, round(avg(coalesce(0.3 + 0.7 * front, 0)), 4) AS front, round(avg(coalesce(0.3 + 0.7 * middle, 0)), 4) AS middle FROM sh GROUP BY unique_id""")
+def range_recall_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, out = _flagged(spark, sf_dir), None
+    for bias in ("back", "front", "middle"):
+        one = anomaly_metrics.range_precision_recall(rows, merge_gap=2, existence=0.3, bias=bias, cardinality="one").select("unique_id", F.col("recall").alias(bias))
+        out = one if out is None else out.join(one, "unique_id")
+    return rounded(out, 4)
+
+
+_ZONES = """z AS (SELECT unique_id, a, b, coalesce((lag(b) OVER w + a) // 2 + 1, 0) AS z0, coalesce((b + lead(a) OVER w) // 2, (SELECT max(pos) FROM fl f WHERE f.unique_id = tr.unique_id)) AS z1 FROM tr WINDOW w AS (PARTITION BY unique_id ORDER BY a)),
 ip AS (SELECT z.*, f.pos, f.flag, f.label FROM z JOIN fl f ON f.unique_id = z.unique_id AND f.pos BETWEEN z0 AND z1),
 pp AS (SELECT unique_id, a, avg((greatest(a - greatest(a - pos, pos - b, 0) - z0, 0) + greatest(z1 - b - greatest(a - pos, pos - b, 0), 0)) / (z1 - z0 + 1)::DOUBLE) AS p FROM ip WHERE flag GROUP BY ALL),
 nn AS (SELECT x.unique_id, x.a, x.z0, x.z1, x.pos, min(abs(x.pos - y.pos)) AS n FROM ip x LEFT JOIN ip y ON x.unique_id = y.unique_id AND x.a = y.a AND y.flag WHERE x.label GROUP BY ALL),
-rr AS (SELECT unique_id, a, avg(coalesce(1 - (least(z1, pos + n) - greatest(z0, pos - n) + 1) / (z1 - z0 + 1)::DOUBLE, 0)) AS r FROM nn GROUP BY unique_id, a)
-SELECT rr.unique_id, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, count(*)::BIGINT AS n_zones FROM rr LEFT JOIN pp ON pp.unique_id = rr.unique_id AND pp.a = rr.a GROUP BY rr.unique_id""")
+rr AS (SELECT unique_id, a, avg(coalesce(1 - (least(z1, pos + n) - greatest(z0, pos - n) + 1) / (z1 - z0 + 1)::DOUBLE, 0)) AS r FROM nn GROUP BY unique_id, a)"""
+
+
+@query(f"""WITH {_FLAGS}, {_RANGES}, {_ZONES} SELECT rr.unique_id, round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, count(*)::BIGINT AS n_zones FROM rr LEFT JOIN pp ON pp.unique_id = rr.unique_id AND pp.a = rr.a GROUP BY rr.unique_id""")
 def affiliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomaly_metrics.affiliation(_flagged(spark, sf_dir)).drop("f1"), 4)
 
@@ -291,14 +333,34 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomaly_metrics.pr_curve(_flagged(spark, sf_dir)).where("threshold > -100"), 4)
 
 
-@query()
+def _vus(buffers: int) -> str:
+    """The area for each series and buffer, as va."""
+    return f"""vb AS (SELECT f.unique_id, f.pos, l, coalesce(f.score, '-infinity'::DOUBLE) AS s, least(any_value(f.label::INT) + coalesce(sum(sqrt(1 - greatest(a - pos, pos - b) / l::DOUBLE)), 0), 1) AS ext
+  FROM fl f CROSS JOIN (SELECT unnest(range({buffers + 1})) AS l) LEFT JOIN tr ON tr.unique_id = f.unique_id AND greatest(a - pos, pos - b) BETWEEN 1 AND l // 2 GROUP BY ALL),
+vt AS (SELECT unique_id, l, s, sum(ext) AS tp, count(*) AS n FROM vb GROUP BY ALL),
+vk AS (SELECT unique_id, s, count(*) AS seen FROM (SELECT tr.unique_id, tr.island, max(coalesce(f.score, '-infinity'::DOUBLE)) AS s FROM tr JOIN fl f ON f.unique_id = tr.unique_id AND pos BETWEEN a AND b GROUP BY ALL) GROUP BY ALL),
+vn AS (SELECT unique_id, sum(b - a + 1) AS positives, count(*) AS n_events FROM tr GROUP BY unique_id),
+vc AS (SELECT t.unique_id, l, t.s, sum(tp) OVER w / sum(n) OVER w AS p, least(sum(tp) OVER w / ((l + 1) * positives), 1) * coalesce(sum(seen) OVER w, 0) / n_events AS r
+  FROM vt t JOIN vn USING (unique_id) LEFT JOIN vk ON vk.unique_id = t.unique_id AND vk.s = t.s WINDOW w AS (PARTITION BY t.unique_id, l ORDER BY t.s DESC)),
+vg AS (SELECT unique_id, l, (r - coalesce(lag(r) OVER w, 0)) * (p + coalesce(lag(p) OVER w, 1)) / 2 AS g FROM vc WINDOW w AS (PARTITION BY unique_id, l ORDER BY s DESC)),
+va AS (SELECT unique_id, l, sum(g) AS area FROM vg GROUP BY ALL)"""
+
+
+@query(f"WITH {_FLAGS}, {_RANGES}, {_vus(8)} SELECT unique_id, round(avg(area), 4) AS vus_pr FROM va GROUP BY unique_id")
 def vus_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly_metrics.vus_pr(_flagged(spark, sf_dir), max_buffer=8)
+    return rounded(anomaly_metrics.vus_pr(_flagged(spark, sf_dir), max_buffer=8), 4)
+
+
+@query(f"WITH {_FLAGS}, {_RANGES}, {_vus(6)} SELECT unique_id, l::INT AS buffer, round(area, 4) AS area FROM va WHERE l = 6")
+def range_auc_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(anomaly_metrics.range_auc_pr(_flagged(spark, sf_dir), buffers=[6]), 4)
+
+
+_DELAYS = """h AS (SELECT tr.unique_id, a, min(f.pos) AS first FROM tr LEFT JOIN fl f ON f.unique_id = tr.unique_id AND f.flag AND f.pos BETWEEN a AND b GROUP BY ALL),
+fa AS (SELECT unique_id, count(*) AS n FROM fr WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.unique_id = fr.unique_id AND tr.a <= fr.b AND fr.a <= tr.b) GROUP BY unique_id)"""
 
 
-@query(f"""WITH {_FLAGS}, {_RANGES}, h AS (SELECT tr.unique_id, a, min(f.pos) AS first FROM tr LEFT JOIN fl f ON f.unique_id = tr.unique_id AND f.flag AND f.pos BETWEEN a AND b GROUP BY ALL),
-fa AS (SELECT unique_id, count(*) AS n FROM fr WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.unique_id = fr.unique_id AND tr.a <= fr.b AND fr.a <= tr.b) GROUP BY unique_id)
-SELECT h.unique_id, count(*)::BIGINT AS n_true_events, count(first)::BIGINT AS n_detected, round(avg(first - a), 4) AS mean_delay, any_value(coalesce(fa.n, 0))::BIGINT AS n_false_alarms FROM h LEFT JOIN fa ON fa.unique_id = h.unique_id GROUP BY h.unique_id""")
+@query(f"""WITH {_FLAGS}, {_RANGES}, {_DELAYS} SELECT h.unique_id, count(*)::BIGINT AS n_true_events, count(first)::BIGINT AS n_detected, round(avg(first - a), 4) AS mean_delay, any_value(coalesce(fa.n, 0))::BIGINT AS n_false_alarms FROM h LEFT JOIN fa ON fa.unique_id = h.unique_id GROUP BY h.unique_id""")
 def detection_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomaly_metrics.detection_delay(_flagged(spark, sf_dir), merge_gap=2).select("unique_id", "n_true_events", "n_detected", "mean_delay", "n_false_alarms"), 4)
 
@@ -312,8 +374,34 @@ def inject_level_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inject.inject(daily_shipments(spark, sf_dir), [spec], reference=14)[0], 4)
 
 
-@query()
+_SETS = "GROUP BY GROUPING SETS ((unique_id), ())"
+
+
+@query(f"""WITH {_CURVE}, {_RANGES}, {_RP}, {_ZONES}, {_DELAYS}, {_vus(4)},
+au AS (SELECT unique_id, sum(d * p) AS area FROM (SELECT *, r - coalesce(lag(r) OVER (PARTITION BY unique_id ORDER BY s DESC), 0) AS d FROM cu) GROUP BY unique_id),
+pt AS (SELECT unique_id, 'range_precision' AS metric, precision AS value FROM pc UNION ALL SELECT unique_id, 'range_recall', recall FROM rc
+  UNION ALL SELECT unique_id, 'affiliation_precision', p FROM pp UNION ALL SELECT unique_id, 'affiliation_recall', r FROM rr UNION ALL SELECT unique_id, 'auc_pr', area FROM au
+  UNION ALL SELECT unique_id, 'vus_pr', v FROM (SELECT unique_id, avg(area) AS v FROM va GROUP BY unique_id)
+  UNION ALL SELECT unique_id, 'detection_rate', (first IS NOT NULL)::INT FROM h UNION ALL SELECT unique_id, 'detection_delay_mean', first - a FROM h WHERE first IS NOT NULL
+  UNION ALL SELECT unique_id, 'auc_pr_baseline', label::INT FROM fl UNION ALL SELECT unique_id, 'point_precision', label::INT FROM fl WHERE flag UNION ALL SELECT unique_id, 'point_recall', flag::INT FROM fl WHERE label),
+me AS (SELECT unique_id, metric, avg(value) AS value FROM pt GROUP BY GROUPING SETS ((unique_id, metric), (metric))),
+md AS (SELECT unique_id, 'detection_delay_median' AS metric, median(first - a) AS value FROM h WHERE first IS NOT NULL {_SETS}),
+co AS (SELECT unique_id, count(*) AS n_obs FROM fl {_SETS}), ne AS (SELECT unique_id, count(*) AS n_events FROM h {_SETS}),
+al AS (SELECT co.unique_id, n_obs, coalesce((SELECT sum(n) FROM fa WHERE fa.unique_id = co.unique_id OR co.unique_id IS NULL), 0) AS n FROM co),
+fs AS (SELECT a.unique_id, replace(a.metric, 'precision', 'f1') AS metric, CASE WHEN a.value + b.value > 0 THEN 2 * a.value * b.value / (a.value + b.value) ELSE 0 END AS value
+  FROM me a JOIN me b ON a.unique_id IS NOT DISTINCT FROM b.unique_id AND b.metric = replace(a.metric, 'precision', 'recall') WHERE a.metric IN ('range_precision', 'affiliation_precision', 'point_precision') AND a.value IS NOT NULL AND b.value IS NOT NULL),
+un AS (SELECT * FROM me UNION ALL SELECT * FROM md UNION ALL SELECT * FROM fs UNION ALL SELECT unique_id, 'n_false_alarm_events', n FROM al UNION ALL SELECT unique_id, 'false_alarms_per_1000', 1000 * n / n_obs::DOUBLE FROM al)
+SELECT 'level' AS detector_id, un.unique_id, metric, round(value, 4) AS value, n_obs::BIGINT AS n_obs, coalesce(n_events, 0)::BIGINT AS n_events
+FROM un JOIN co ON co.unique_id IS NOT DISTINCT FROM un.unique_id LEFT JOIN ne ON ne.unique_id IS NOT DISTINCT FROM un.unique_id WHERE value IS NOT NULL""")
+def evaluate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(anomaly_metrics.evaluate_detector(_flagged(spark, sf_dir), detector_id="level", max_buffer=4), 4)
+
+
+@query(f"""WITH {EVT}, kn AS (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS x, count(*) OVER (PARTITION BY unique_id) AS n FROM evt WHERE y IS NOT NULL),
+li AS (SELECT unique_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM kn GROUP BY unique_id), dt AS (SELECT unique_id, x, n, y - a - b * x AS e FROM kn JOIN li USING (unique_id) WHERE n >= 4),
+fq AS (SELECT unique_id, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT unique_id, n FROM dt))
+SELECT unique_id, round(n / k::DOUBLE, 4) AS period, round((sum(e * cos(2 * pi() * k * x / n)) ** 2 + sum(e * sin(2 * pi() * k * x / n)) ** 2) / n, 4) AS power FROM fq JOIN dt USING (unique_id, n) GROUP BY unique_id, n, k""")
 def periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsforge.functions.eda import periodogram as spectrum
 
-    return spectrum(hourly_events(spark, sf_dir).df)
+    return rounded(spectrum(hourly_events(spark, sf_dir).df), 4)

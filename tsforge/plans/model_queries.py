@@ -1,4 +1,4 @@
-"""Queries on models and detectors that go beyond SQL; tests hold them against brute force."""
+"""Queries on models and detectors. Tests hold those without SQL against brute force on small cases."""
 
 from __future__ import annotations
 
@@ -45,9 +45,16 @@ def boosted_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.boosted_direct(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=1))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SHIP}, kn AS (SELECT unique_id, y - avg(y) OVER (PARTITION BY unique_id) AS c, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS i FROM ship WHERE y IS NOT NULL),
+ac AS (SELECT a.unique_id, k, sum(a.c * b.c) / any_value(v) AS r FROM kn a JOIN (SELECT unnest(range(1, 15)) AS k) ON true JOIN kn b ON b.unique_id = a.unique_id AND b.i = a.i - k
+  JOIN (SELECT unique_id, sum(c * c) AS v FROM kn GROUP BY unique_id) t ON t.unique_id = a.unique_id GROUP BY a.unique_id, k),
+rs AS (SELECT unique_id, list(r ORDER BY k) AS r FROM ac GROUP BY unique_id),
+dl AS (SELECT unique_id, 1 AS k, [r[1]] AS phi, r[1] AS last, r FROM rs
+  UNION ALL SELECT unique_id, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - l * phi[k + 1 - i]), l), l, r
+  FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i]))) AS l FROM dl WHERE k < 14))
+SELECT unique_id, k::INT AS lag, round(last, 4) AS pacf FROM dl""")
 def pacf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partial_autocorrelation(autocorrelation(daily_shipments(spark, sf_dir).df, max_lag=14))
+    return rounded(partial_autocorrelation(autocorrelation(daily_shipments(spark, sf_dir).df, max_lag=14)), 4)
 
 
 @query(f"""WITH {WINDOWS}, k AS (SELECT unnest([3, 7, 14, 28]) AS average),
@@ -65,18 +72,16 @@ def detector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("unique_id", "ds", "zscore", "diff1", "diff2", F.col("usable")), 4)
 
 
-@query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
-r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)
-SELECT l.event_id, round(r.value, 4) AS value, r.ts AS known_at FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+@query("""WITH r AS (SELECT user_id, ts + INTERVAL 1 HOUR AS ts, max(value) AS value FROM events GROUP BY ALL)
+SELECT l.event_id, round(r.value, 4) AS value, r.ts AS known_at FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's latest value that was known by then, an hour after it happened."""
     from tsforge.operators.asof import asof_join as asof
     from tsforge.sources.tables import table
 
     rows = table(spark, sf_dir, "events")
-    low, high = rows.agg(F.min("event_type"), F.max("event_type")).first()
-    left = rows.where(F.col("event_type") == high).select("event_id", "user_id", "ts")
-    right = rows.where(F.col("event_type") == low).select("user_id", "ts", "value")
-    return rounded(asof(left, right, by="user_id", on="ts").select("event_id", "value", "known_at"), 4)
+    right = rows.select("user_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz").alias("ts"), "value")
+    return rounded(asof(rows.select("event_id", "user_id", "ts"), right, by="user_id", on="ts").select("event_id", "value", "known_at"), 4)
 
 
 @query()
@@ -92,13 +97,3 @@ def series_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsforge.functions.eda import difficulty
 
     return difficulty(split(hourly_events(spark, sf_dir).df))
-
-
-@query()
-def evaluate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tsforge.operators.anomaly_metrics import evaluate_detector as evaluate
-    from tsforge.operators.anomaly_metrics import pooled
-    from tsforge.plans.forecast_queries import _flagged
-
-    long = evaluate(_flagged(spark, sf_dir), detector_id="level", max_buffer=4)
-    return long.unionByName(pooled(long))
