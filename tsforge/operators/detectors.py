@@ -1,4 +1,4 @@
-"""Anomaly detectors beyond split conformal: online conformal, discords, isolation forest, PCA.
+"""Anomaly detectors beyond conformal scores: discords, isolation forest, PCA.
 
 All but the forest, whose trees grow on a bounded sample, and the projection work on one series at
 a time: Spark deals series out, and a group is one series' rows.
@@ -6,7 +6,6 @@ a time: Spark deals series out, and a group is one series' rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,50 +14,15 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsforge.operators.adaptive import adaptive_scores
 from tsforge.panel import by_series, missing
 
 SCORES = "unique_id string, ds timestamp_ntz, score double, scorable boolean, calib_n int"
 
 
-def online_conformal(rows: DataFrame, *, gamma: float = 0.01, alpha: float = 0.05, pool: int = 2000, min_calibration: int = 50, freeze_after: int = 6, max_freeze: int = 48) -> DataFrame:
-    """Rows (unique_id, ds, cutoff, residual). A forecast's residual may calibrate only forecasts
-    whose cutoff isn't before its ds. Each series has a pool of its latest residuals and a level
-    that follows its misses; residuals of a long run of flags are kept out of the pool."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["cutoff", "ds"])
-        order: list[float] = []
-        queue: list[float] = []
-        pending: list[tuple] = []
-        level, flags, frozen, out = alpha, 0, 0, []
-        for cutoff, block in df.groupby("cutoff", sort=True):
-            ready = sorted(p for p in pending if p[0] <= cutoff)
-            pending = [p for p in pending if p[0] > cutoff]
-            for _, r, flagged in ready:
-                level = min(0.5, max(1e-4, level + gamma * (alpha - flagged)))
-                flags = flags + 1 if flagged else 0
-                if flags >= freeze_after and frozen < max_freeze:
-                    frozen += 1
-                    continue
-                frozen = frozen if flags else 0
-                insort(order, r)
-                queue.append(r)
-                if len(queue) > pool:
-                    del order[bisect_left(order, queue.pop(0))]
-            n = len(order)
-            for ds, r in zip(block["ds"], block["residual"], strict=True):
-                known = r == r and r is not None
-                p = (1 + n - bisect_left(order, r)) / (n + 1) if known else np.nan
-                fit = bool(known and n >= min_calibration)
-                # The level moves the score: p counts as alpha where it equals the level.
-                out.append((ds, -np.log10(min(1.0, p * alpha / level)) if fit else None, fit, n))
-                if known:
-                    pending.append((ds, r, float(fit and p <= level)))
-        done = pd.DataFrame(out, columns=["ds", "score", "scorable", "calib_n"])
-        done.insert(0, "unique_id", df["unique_id"].iloc[0])
-        return done
-
-    return rows.select("unique_id", "ds", "cutoff", "residual").groupBy("unique_id").applyInPandas(run, SCORES)
+def online_conformal(rows: DataFrame, **how) -> DataFrame:
+    """Adaptive scores from an empty state; see ``adaptive.adaptive_scores``."""
+    return adaptive_scores(rows, **how)
 
 
 def discords(df: DataFrame, *, m: int = 24, value: str = "y") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.functions import metrics, stats
-from tsforge.operators import anomaly_metrics, backtest, conformal, events, inject, split
+from tsforge.operators import adaptive, anomaly_metrics, backtest, conformal, events, inject, split
 from tsforge.operators.inject import AnomalySpec
 from tsforge.panel import Panel
 from tsforge.plans.base import EVT, SHIP, query, rounded
@@ -211,6 +211,27 @@ def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.threshold_table(_conformal(spark, sf_dir), (0.001, 0.01, 0.05, 0.1)), 4)
 
 
+def _level(i: int, keys: str) -> str:
+    on = " AND ".join([f"a.{k} = c.{k}" for k in keys.split()] or ["true"])
+    return f"l{i} AS (SELECT a.unique_id, a.ds, count(*) AS n, count(*) FILTER (WHERE c.r >= a.r) AS ge FROM ga a JOIN gc c ON {on} GROUP BY ALL)"
+
+
+_GROUPS = ("unique_id hour lead_bin", "unique_id hour_bin lead_bin", "unique_id hour_bin", "hour_bin", "")
+_PICK = lambda c: "CASE " + " ".join(f"WHEN l{i}.n >= 50 THEN {c(i)}" for i in range(len(_GROUPS))) + " END"
+
+
+@query(f"""WITH {FORECASTS}, {_RES}, gr AS (SELECT res.*, 0 AS hour, 0 AS hour_bin, (date_diff('day', cutoff, ds) > 1)::INT + (date_diff('day', cutoff, ds) > 6)::INT + (date_diff('day', cutoff, ds) > 24)::INT AS lead_bin FROM res JOIN wins USING (window_id)),
+gc AS (SELECT * FROM gr WHERE window_id < {N - 2} AND r IS NOT NULL), ga AS (SELECT * FROM gr WHERE window_id >= {N - 2}), {", ".join(_level(i, k) for i, k in enumerate(_GROUPS))}
+SELECT unique_id, ds, round(CASE WHEN ga.r IS NOT NULL THEN -log10((1 + {_PICK(lambda i: f"l{i}.ge")}) / (1 + {_PICK(lambda i: f"l{i}.n")})::DOUBLE) END, 4) AS score, ga.r IS NOT NULL AND {_PICK(str)} IS NOT NULL AS scorable,
+  coalesce(CASE WHEN ga.r IS NOT NULL THEN {_PICK(str)} END, -1)::INT AS level, coalesce(CASE WHEN ga.r IS NOT NULL THEN {_PICK(lambda i: f"l{i}.n")} END, 0)::INT AS calib_n, side
+FROM ga {" ".join(f"LEFT JOIN l{i} USING (unique_id, ds)" for i in range(len(_GROUPS)))}""")
+def conditional_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir)[1]
+    frames = (conformal.residuals(conformal.scoring_frame(run.forecasts, run.windows, model_id="seasonal_naive", stage=s, step=86400)) for s in ("dev", "holdout"))
+    dev, held = (adaptive.with_groups(f, step=86400) for f in frames)
+    return rounded(adaptive.conditional_scores(dev, held).na.fill(-1, ["level"]), 4)
+
+
 # Flags for the event queries: days that ship much; labels: days that ship very little or much.
 _FLAGS = f"""{SHIP}, st AS (SELECT unique_id, avg(y) AS m, stddev_samp(y) AS s FROM ship GROUP BY unique_id),
 fl AS (SELECT s.unique_id, ds, row_number() OVER (PARTITION BY s.unique_id ORDER BY ds) - 1 AS pos, y IS NOT NULL AND y > m + 0.8 * s AS flag, day(ds) <= 3 AND month(ds) % 2 = 0 AS label, round((y - m) / s, 1) AS score, y FROM ship s JOIN st USING (unique_id))"""

@@ -6,18 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.functions.eda import autocorrelation, partial_autocorrelation
-from tsforge.operators import backtest, conformal, detectors, models
+from tsforge.operators import adaptive, backtest, conformal, detectors, models
 from tsforge.plans.base import SHIP, query, rounded
 from tsforge.plans.forecast_queries import PLAN, WINDOWS
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan
 
 
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = backtest.backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=40))
+    return conformal.residuals(run.forecasts.where("model_id = 'seasonal_naive'"))
+
+
 @query()
 def online_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = backtest.backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=40))
-    rows = run.forecasts.where("model_id = 'seasonal_naive'")
-    return detectors.online_conformal(conformal.residuals(rows))
+    return detectors.online_conformal(_residuals(spark, sf_dir), step=86400)
+
+
+@query()
+def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive.coverage_report(adaptive.advance(_residuals(spark, sf_dir), step=86400))
+
+
+@query()
+def conformal_freezes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive.freeze_report(adaptive.advance(_residuals(spark, sf_dir), step=86400))
 
 
 @query()
