@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsforge.functions import stats
+from tsforge.functions import eda, stats
 from tsforge.functions.eda import autocorrelation, partial_autocorrelation
-from tsforge.operators import align, anomaly_metrics, backtest, events, features, split
+from tsforge.operators import align, anomaly_metrics, asof, backtest, events, features, models, quality, runs, split
+from tsforge.operators.inject import AnomalySpec, inject
 from tsforge.panel import Panel, build_panel, violations
 from tsforge.spec import BacktestPlan, FeatureSpec, LeakError, PanelError, PanelSpec, interval_levels, quantile_column, usable_features
 
@@ -77,6 +78,146 @@ def test_ewm_equals_pandas(spark):
     np.testing.assert_allclose(got.to_numpy(float), want.to_numpy())
 
 
+def test_ewm_carries_over_any_gap(spark):
+    values = [1.0, 5.0, *[None] * 90, 3.0, *[None] * 70, 2.0]
+    p = panel(spark, values)
+    got = features.feature_frame(p, [features.ewm(features.source(p, "y"), halflife=1)]).orderBy("ds").toPandas().iloc[:, 2]
+    np.testing.assert_allclose(got.to_numpy(float), pd.Series(values, dtype=float).shift(1).ewm(halflife=1).mean())
+
+
+def test_feature_sets(spark):
+    rows = frame(spark, [float(i) for i in range(60)]).withColumn("temp_c", F.col("y") / 2)
+    p = Panel(rows, PanelSpec("t", seasonalities=(24,), futr_exog=("temp_c",)))
+    got = features.feature_set(p, 24, temperature="temp_c")
+    assert {"y_lag24", "y_lag48", "temp_c_hdd18", "temp_c_lag1", "fourier_24h_sin_1", "hour"} <= set(got.columns)
+    assert not {"y_lag1", "y_lag2", "y_rollmean24_s1"} & set(got.columns) and got.count() == 60
+    row = got.orderBy("ds").collect()[50]
+    assert row["y_lag24"] == 26.0 and row["temp_c_cdd18"] == 7.0 and row["temp_c_hdd18_lag1"] == 0.0
+    with pytest.raises(LeakError):
+        features.lead(features.source(p, "y"), 1)
+
+
+def test_loess_equals_weighted_lines():
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=41)
+    for span in (5, 12, 41):
+        got = eda.loess(y, span)
+        for i in range(41):
+            first = min(max(i - span // 2, 0), 41 - span)
+            x = np.arange(first, first + span)
+            far = max(abs(x - i).max(), 1e-9)
+            w = (1 - (abs(x - i) / far) ** 3) ** 3
+            slope, level = np.polyfit(x - i, y[x], 1, w=np.sqrt(w))
+            assert math.isclose(got[i], level, abs_tol=1e-9)
+
+
+def test_decomposition_finds_its_parts(spark):
+    t = np.arange(24 * 28)
+    trend, day, week = 10 + 0.01 * t, 3 * np.sin(2 * np.pi * t / 24), np.where(t % 168 < 48, -2.0, 0.8)
+    rng = np.random.default_rng(5)
+    y = trend + day + week + rng.normal(scale=0.1, size=len(t))
+    got = eda.decomposition(frame(spark, y.tolist())).orderBy("ds").toPandas()
+    np.testing.assert_allclose(got[["trend", "seasonal_24", "seasonal_168", "remainder"]].sum(axis=1), y)
+    inner = slice(48, -48)
+    assert np.abs(got["seasonal_24"][inner] - day[inner]).max() < 0.6 and np.corrcoef(got["seasonal_168"][inner], week[inner])[0, 1] > 0.95
+    assert np.abs(got["trend"][inner] - trend[inner]).max() < 0.5 and got["remainder"][inner].std() < 0.4
+    hard = eda.difficulty(eda.decomposition(frame(spark, y.tolist()))).first()
+    assert hard["strength_24"] > 0.9 and hard["strength_168"] > 0.8
+    noise = eda.difficulty(eda.decomposition(frame(spark, rng.normal(size=len(t)).tolist()))).first()
+    assert noise["strength_24"] < hard["strength_24"] and noise["trend_strength"] < 0.6
+
+
+def test_partial_gaps_and_random_directions(spark):
+    p = panel(spark, [float(i % 5) for i in range(60)])
+    gap = AnomalySpec("data_gap", "a", T0 + timedelta(hours=20), 10, 0.4)
+    rows, truth = inject(p, [gap], reference=10)
+    assert rows.where("y IS NULL").count() == truth.count() == 4
+    shift = AnomalySpec("level_shift", "a", T0 + timedelta(hours=30), 5, 3.0, 0)
+    assert {inject(p, [shift], reference=10, seed=s)[0].agg(F.sum("y") > 120).first()[0] for s in range(8)} == {True, False}
+
+
+def test_boosted_forecasts_bridge_gaps(spark):
+    y = [10 + 3.0 * (i % 7) if i % 9 else None for i in range(120)]
+    y[100:112] = [None] * 12
+    p = Panel(frame(spark, y, hours=False).union(frame(spark, [None] * 120, "empty", hours=False)), PanelSpec("t", "D", (7,)))
+    plan = BacktestPlan(h=3, n_windows=1)
+    made = models.boosted_direct(p, plan, trees=3, depth=2)
+    assert sorted((r["unique_id"], r["h_step"]) for r in made.collect()) == [("a", 1), ("a", 2), ("a", 3)]
+    assert [tuple(r) for r in models.without_forecast(p, made, split.windows(p, plan)).collect()] == [("empty", 0)]
+
+
+def test_forecasters_run_and_fail_apart(spark, tmp_path):
+    p = panel(spark, [float(i) for i in range(30)])
+    plan = BacktestPlan(h=2, n_windows=2)
+
+    def steps(window):
+        first, last = (F.lit(window[c]).cast("timestamp_ntz") for c in ("first_pred", "last_pred"))
+        return F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))
+
+    def last(train, window, ahead):
+        level = train.df.groupBy("unique_id").agg(F.max_by("y", "ds").alias("y_hat"))
+        return level.select("unique_id", F.explode(steps(window)).alias("ds"), "y_hat", (F.col("y_hat") + 1).alias("q_0250"), F.col("y_hat").alias("q_5000"))
+
+    def broken(train, window, ahead):
+        raise ArithmeticError("no")
+
+    def short(train, window, ahead):
+        return last(train, window, ahead).limit(1)
+
+    run = runs.run_forecasters(p, plan, {"last": last, "broken": broken, "short": short}, str(tmp_path))
+    told = {(r["model_id"], r["window_id"]): (r["status"], r["error"], r["quantile_crossings"]) for r in run.model_runs.collect()}
+    assert told["last", 0] == ("ok", None, 2) and told["broken", 1] == ("failed", "ArithmeticError: no", 0) and told["short", 0] == ("failed", "n_absent 1", 0)
+    got = sorted((r["window_id"], r["h_step"], r["y_hat"], r["y"], r["q_0250"], r["q_5000"], r["q_9750"]) for r in run.forecasts.collect())
+    assert got == [(0, 1, 25.0, 26.0, 25.0, 26.0, None), (0, 2, 25.0, 27.0, 25.0, 26.0, None), (1, 1, 27.0, 28.0, 27.0, 28.0, None), (1, 2, 27.0, 29.0, 27.0, 28.0, None)]
+    cost = {r["model_id"]: r for r in runs.timings(run.model_runs, run.windows).collect()}
+    assert (cost["last"]["n_windows_ok"], cost["broken"]["n_windows_failed"]) == (2, 2) and cost["last"]["fit_seconds_total"] > 0
+
+    def leaky(train, window, ahead):
+        return last(train, window, ahead).withColumn("ds", F.lit(window["cutoff"]).cast("timestamp_ntz"))
+
+    with pytest.raises(LeakError):
+        runs.run_forecasters(p, plan, {"leaky": leaky}, str(tmp_path / "l"))
+    with pytest.raises(PanelError):
+        runs.normalise_prediction(p.df, plan)
+    board = spark.createDataFrame([("m", None, 2.0), ("k", None, None), ("b", None, 1.0)], "model_id string, unique_id string, mase double")
+    assert [r["model_id"] for r in runs.ranked(board).orderBy("place").collect()] == ["b", "m", "k"]
+
+
+def test_support_vintages_and_clock_changes(spark):
+    rows = [(d, "a", T0 + timedelta(hours=h), ok, float(h), h == 2) for d, hs in (("x", (0, 1, 2)), ("y", (0, 1))) for h in hs for ok in [not (d == "y" and h == 1)]]
+    scores = spark.createDataFrame(rows, "detector_id string, unique_id string, ds timestamp_ntz, scorable boolean, score double, is_anomaly boolean")
+    common = {r["ds"].hour: (r["scorable"], r["aligned"]) for r in anomaly_metrics.common_support(scores).collect()}
+    assert common == {0: (True, True), 1: (False, True), 2: (True, False)}
+    marked = anomaly_metrics.support_rows(scores.where("detector_id = 'x'"), scores.where("detector_id = 'x'"), alpha=0.05).orderBy("pos").collect()
+    assert [(r["pos"], r["flag"], r["label"]) for r in marked] == [(0, False, False), (1, False, False), (2, True, True)]
+    cuts = spark.createDataFrame([(0, T0, T0 + timedelta(hours=2))], "window_id int, cutoff timestamp_ntz, last_pred timestamp_ntz")
+    known = [("a", T0 + timedelta(hours=1), T0 - timedelta(hours=k), float(k)) for k in (3, 1, -1)] + [("a", T0 + timedelta(hours=9), T0, 7.0)]
+    seen = asof.vintages_at(spark.createDataFrame(known, "unique_id string, ds timestamp_ntz, as_of timestamp_ntz, v double"), cuts, value="v").collect()
+    assert [(r["v"], r["as_of"]) for r in seen] == [(1.0, T0 - timedelta(hours=1))]
+    wall = frame(spark, [1.0] * 48)
+    changes = spark.createDataFrame([(T0 + timedelta(hours=25),), (T0 + timedelta(days=9),)], "transition timestamp_ntz")
+    aligned = wall.withColumn("y", F.when(F.col("ds") != T0 + timedelta(hours=24), F.col("y"))).union(wall.where(F.col("ds") == T0 + timedelta(hours=26)))
+    told = {r["transition"]: (r["n_raw"], r["n_duplicates"], r["n_nulls"]) for r in quality.clock_changes(wall, aligned, changes).collect()}
+    assert told == {T0 + timedelta(hours=25): (24, 2, 1), T0 + timedelta(days=9): (0, 0, 0)}
+
+
+def test_biased_ranges_by_hand(spark):
+    rows = marks(spark, [0, 1, 1, 0, 0, 0], [0, 1, 1, 1, 1, 0])
+    recall = {b: anomaly_metrics.range_precision_recall(rows, bias=b, cardinality="one").first()["recall"] for b in anomaly_metrics.BIASES}
+    assert recall == {"flat": 0.5, "front": 0.7, "back": 0.3, "middle": 0.5}
+    with pytest.raises(ValueError):
+        anomaly_metrics.range_parts(rows, bias="none")
+
+
+def test_pooled_metrics_pool_ranges(spark):
+    one = marks(spark, [0, 1, 0, 0], [0, 1, 0, 0])
+    three = marks(spark, [0, 0, 0, 0, 1, 0, 0, 0], [1, 0, 1, 0, 1, 0, 0, 1]).withColumn("unique_id", F.lit("b"))
+    got = {(r["unique_id"], r["metric"]): r["value"] for r in anomaly_metrics.evaluate_detector(one.union(three), detector_id="d", merge_gap=0, max_buffer=2).collect()}
+    assert (got["a", "range_recall"], got["b", "range_recall"], got[None, "range_recall"]) == (1.0, 0.25, 0.4)
+    assert (got["a", "detection_rate"], got["b", "detection_rate"], got[None, "detection_rate"]) == (1.0, 0.25, 0.4)
+    assert got[None, "auc_pr"] == (got["a", "auc_pr"] + got["b", "auc_pr"]) / 2
+
+
 def test_baselines_by_hand(spark):
     run = backtest.backtest(panel(spark, [float(v) for v in (1, 2, 4, 2, 3, 5, 3, 4, 6, 9, 9, 9)]), BacktestPlan(h=3, n_windows=1))
     rows = {(r["model_id"], r["h_step"]): r for r in run.forecasts.collect()}

@@ -110,7 +110,7 @@ def boosted_direct(panel: Panel, plan: BacktestPlan, *, lags: tuple[int, ...] =
         train = shaped.where((F.col("target_ds") <= F.lit(w["cutoff"])) & (F.col("ds") >= F.lit(w["train_start"])) & F.col("label").isNotNull())
         model = GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, seed=1).fit(train)
         made = model.transform(shaped.where(F.col("ds") == F.lit(w["cutoff"]))).select(
-            "unique_id", F.lit("boosted_direct").alias("model_id"), F.lit(w["window_id"]).cast("short").alias("window_id"), F.lit(w["cutoff"]).alias("cutoff"),
+            "unique_id", F.lit("boosted_direct").alias("model_id"), F.lit(w["window_id"]).cast("short").alias("window_id"), F.lit(w["cutoff"]).cast("timestamp_ntz").alias("cutoff"),
             F.col("target_ds").alias("ds"), (F.col("step") - plan.gap).cast("short").alias("h_step"), F.col("prediction").alias("y_hat"),
         )
         out = made if out is None else out.union(made)

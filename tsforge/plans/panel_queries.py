@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tsforge.functions import calendar
 from tsforge.operators import align, features, quality
+from tsforge.panel import Panel
 from tsforge.plans.base import EVT, SHIP, query, rounded
 from tsforge.sources.tables import daily_shipments, event_rows, hourly_events, table
+from tsforge.spec import PanelSpec
 
 
 @query(f"WITH {EVT} SELECT unique_id, ds, y FROM evt")
@@ -184,3 +186,43 @@ def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def props_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     return df.groupBy(F.col("event_type").alias("unique_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ds")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("n_chars"))
+
+
+_DEGREES = "WITH d AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ds, avg(o_totalprice) / 10000 AS t FROM orders GROUP BY ALL), h AS (SELECT ds, t, greatest(18 - t, 0)::FLOAT AS hdd, greatest(t - 18, 0)::FLOAT AS cdd FROM d)"
+
+
+@query(f"""{_DEGREES} SELECT 'all' AS unique_id, ds, round(t, 4) AS temp_c, round(hdd::DOUBLE, 4) AS temp_c_hdd18, round(cdd::DOUBLE, 4) AS temp_c_cdd18, """
+       + ", ".join(f"round(lag({c}, {k}) OVER w, 4) AS {n}_lag{k}" for c, n in (("t", "temp_c"), ("hdd::DOUBLE", "temp_c_hdd18"), ("cdd::DOUBLE", "temp_c_cdd18")) for k in (1, 7)) + " FROM h WINDOW w AS (ORDER BY ds)")
+def thermal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' mean price of a day stands for its temperature."""
+    days = table(spark, sf_dir, "orders").groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ds")).agg((F.avg("o_totalprice") / 10000).alias("temp_c"), F.count("*").cast("double").alias("y"))
+    panel = Panel(days.withColumn("unique_id", F.lit("all")), PanelSpec("orders", "D", (7,), futr_exog=("temp_c",)))
+    return rounded(features.feature_frame(panel, features.thermal_features(panel, lags=(1, 7))), 4)
+
+
+@query(f"""WITH {SHIP}, kn AS (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY unique_id) AS n FROM ship WHERE y IS NOT NULL AND ds >= '2000-01-01'),
+fr AS (SELECT *, n * 2 // 3 AS q, least(greatest(i - (n * 2 // 3) // 2, 0), n - n * 2 // 3) AS f FROM kn),
+nb AS (SELECT a.unique_id, a.ds, a.i, b.i - a.i AS x, b.y, pow(1 - pow(abs(b.i - a.i) / greatest(a.i - a.f, a.f + a.q - 1 - a.i)::DOUBLE, 3), 3) AS w FROM fr a JOIN fr b ON b.unique_id = a.unique_id AND b.i BETWEEN a.f AND a.f + a.q - 1)
+SELECT unique_id, ds, round((sum(w * y) * sum(w * x * x) - sum(w * x) * sum(w * x * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2), 4) AS fit FROM nb GROUP BY unique_id, ds""")
+def lowess_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tsforge.functions.eda import lowess_fit as fit
+
+    return rounded(fit(daily_shipments(spark, sf_dir).df.where("ds >= '2000-01-01'")), 4)
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS model_id, month(o_orderdate)::SMALLINT AS window_id, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status, o_orderkey % 3 = 0 AS refit, o_totalprice / 1000 AS s FROM orders)
+SELECT model_id, NULL::BIGINT AS n_params, round(sum(s), 2) AS fit_seconds_total, round(avg(s) FILTER (WHERE refit), 2) AS fit_seconds_mean, round(sum(s / 2), 2) AS predict_seconds_total, round(avg(s / 2) FILTER (WHERE status = 'ok'), 2) AS predict_seconds_mean,
+  count(*) FILTER (WHERE refit)::BIGINT AS n_refits, count(*) FILTER (WHERE status = 'ok')::BIGINT AS n_windows_ok, count(*) FILTER (WHERE status = 'failed')::BIGINT AS n_windows_failed, count(*) FILTER (WHERE status = 'skipped')::BIGINT AS n_windows_skipped,
+  false AS is_zero_shot, 'fitted' AS training_regime FROM r WHERE window_id > 6 GROUP BY model_id""")
+def run_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for runs: priorities for models, months for windows, prices for seconds."""
+    from tsforge.operators.runs import timings
+
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")
+    seconds = F.col("o_totalprice") / 1000
+    runs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("model_id"), F.month("o_orderdate").cast("short").alias("window_id"), status.alias("status"), (F.col("o_orderkey") % 3 == 0).alias("refit"),
+        seconds.alias("fit_seconds"), (seconds / 2).alias("predict_seconds"), F.lit(None).cast("long").alias("n_params"), F.lit(False).alias("is_zero_shot"),
+    )
+    windows = spark.range(1, 13).select(F.col("id").cast("short").alias("window_id"), F.when(F.col("id") > 6, "holdout").otherwise("dev").alias("stage"))
+    return rounded(timings(runs, windows, stage="holdout"), 2)
