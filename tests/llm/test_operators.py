@@ -342,6 +342,28 @@ def test_long_lines_count_alone(spark):
         assert got[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
 
 
+@pytest.mark.parametrize(("window", "words"), [(2, None), (3, 4), (4, None)])
+def test_runs_of_any_window_equal_brute_force(spark, window, words):
+    rng = random.Random(window)
+    texts = ["\n".join(rng.choice(["a", "b", "c", "d e", "one two three four", " ", "f"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs(spark, texts), window=window, words=words).collect()}
+    seen = {}
+    for i, text in enumerate(texts):
+        full = [(k, x.strip()) for k, x in enumerate(text.split("\n")) if x.strip()]
+        runs = [*(full[k : k + window] for k in range(len(full) - window + 1)), *([x] for x in full if words and len(x[1].split()) >= words)]
+        gone = {k for run in runs if seen.setdefault(tuple(x for _, x in run), (i, run[0][0])) != (i, run[0][0]) for k, _ in run}
+        assert got[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+
+
+def test_line_dedup_takes_any_column_names(spark):
+    names = ("__id", "__gone", "__key", "id", "key", "gone", "row", "lines", "line_dedup", "a.b")
+    frame = docs(spark, ["x\ny", "x\ny\nz"]).select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    got = line_dedup.drop_repeated_lines(frame)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert got.columns == ["doc_id", "text", *(n for n in names if n != "line_dedup"), "line_dedup"]
+    assert rows[1]["text"] == "z" and rows[1]["a.b"] == "a.b" and rows[1]["__gone"] == "__gone" and rows[1]["line_dedup"]["n_removed"] == 2
+
+
 def test_lines_of_one_id_with_different_texts(spark):
     rows = [(1, "a\nb"), (5, "a\nb\nc"), (5, "own one\nown two\nown three"), (5, "own one\nown two\nown three"), (7, "own one\nown two\nend")]
     got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
@@ -366,7 +388,7 @@ def test_nearest(spark):
     rows += [rows[5], (900, None, 1), (920, [0.0] * 16, 1), (940, [float("nan")] * 16, 1), (960, [1.0] * 3, 1), (980, [None] * 16, 1), (None, [1.0] * 16, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, entry int")
     got = defaultdict(list)
-    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, block_rows=128).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, window_rows=256, share=0.4, rows_together=64).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     x, hits, total = np.array(vectors), 0, 0
     for q in range(0, len(vectors), 20):
@@ -385,7 +407,7 @@ def test_nearest_ties_go_to_smaller_ids(spark):
     rng = np.random.default_rng(5)
     vectors = [[1.0, 0.0, 0.0], *([1.0, *v] for v in rng.permutation([[a, b] for a in range(20) for b in range(20)][1:]).astype(float).tolist())]
     table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
-    got = ann.nearest(table, F.col("vec_id") == 0, block_rows=1 << 20).orderBy("rank").collect()
+    got = ann.nearest(table, F.col("vec_id") == 0, window_rows=1 << 20).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(1, 21)) and all(r["score"] == 1.0 for r in got)
 
 
@@ -395,7 +417,7 @@ def test_recall_over_many_blocks(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
     got = defaultdict(dict)
-    for r in ann.nearest(table, F.col("vec_id") % 100 == 0, block_rows=128, share=0.1).collect():
+    for r in ann.nearest(table, F.col("vec_id") % 100 == 0, window_rows=128, share=0.12).collect():
         got[r["query_id"]][r["vec_id"]] = r["score"]
     y, hits = x.astype(float), 0
     for q in range(0, 6000, 100):
