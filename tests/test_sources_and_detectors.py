@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsforge.operators import detectors, models
+from tsforge.operators import detectors, models, quality
+from tsforge.panel import Panel
 from tsforge.sources import readers
-from tsforge.spec import VintageError
+from tsforge.spec import BacktestPlan, PanelSpec, VintageError
 from tsforge.streaming import online
 
 T0 = datetime(2024, 1, 1)
@@ -62,6 +63,93 @@ def test_detectors_find_what_stands_out(spark):
     assert 193 <= errors.argmax() <= 200
 
 
+def test_discords_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=150).cumsum()
+    y[60] = np.nan
+    m, best = 8, {}
+    z = {}
+    for i in range(150 - m + 1):
+        w = y[i : i + m]
+        if np.isfinite(w).all():
+            z[i] = (w - w.mean()) / w.std()
+    for i in z:
+        best[i] = min(np.sqrt(((z[i] - z[j]) ** 2).sum()) for j in z if abs(i - j) >= m // 2 + 1)
+    for block in (512, 16):
+        got = detectors.discords(series(spark, y).withColumn("y", F.nanvl("y", F.lit(None))), m=m, block=block).toPandas().sort_values("ds").reset_index(drop=True)
+        want = {i + m - 1: -np.log10((1 + sum(d >= best[i] - 1e-9 for d in best.values())) / (len(best) + 1)) for i in best}
+        assert set(got.index[got["scorable"]]) == set(want) and set(got["calib_n"]) == {len(best)}
+        assert all(abs(float(got["score"][k]) - s) < 1e-6 for k, s in want.items())
+    assert not detectors.discords(series(spark, [1.0] * 10), m=8).where("scorable").count()
+
+
+def test_projection_errors_equal_a_dense_one(spark):
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=80).cumsum()
+    got = detectors.pca_reconstruction(series(spark, y), length=6, parts=2).toPandas().sort_values("ds")["error"].to_numpy()
+    x = (y - y.mean()) / y.std()
+    w = np.lib.stride_tricks.sliding_window_view(x, 6)
+    axes = np.linalg.eigh(np.cov(w.T))[1][:, -2:]
+    np.testing.assert_allclose(got, ((w - w @ axes @ axes.T) ** 2).mean(axis=1), atol=1e-9)
+
+
+def test_tails_bridge_frames_and_severity(spark):
+    rows = series(spark, range(40))
+    early, late = rows.where(F.col("y") < 30), rows.where(F.col("y") >= 30)
+    both = detectors.bridged(late, detectors.tails(rows.where(F.col("y") < 32), 7))
+    assert sorted((r["y"], r["borrowed"]) for r in both.collect()) == [(float(v), v < 30) for v in range(25, 40)]
+    whole = {r["ds"]: r["zscore"] for r in detectors.window_features(rows, window=6).where("usable").collect()}
+    parts = detectors.window_features(detectors.bridged(late, detectors.tails(early, 8)).drop("borrowed"), window=6).where("usable").collect()
+    assert len([r for r in parts if r["ds"] in whole]) >= 10 and all(whole[r["ds"]] == r["zscore"] for r in parts)
+    pool = spark.createDataFrame([(float(v),) for v in range(21)], "value double")
+    got = [r["severity"] for r in detectors.pool_severity(spark.createDataFrame([(19.0,), (26.413,), (None,)], "value double"), pool).collect()]
+    assert got[0] == 0.0 and abs(got[1] - 1.0) < 1e-9 and got[2] is None
+
+
+def test_series_models_by_window(spark):
+    rng = np.random.default_rng(10)
+    y = 20 + np.tile([0, 3, 1, 5, 2, 4, 6], 12) + rng.normal(size=84)
+    days = spark.createDataFrame([("a", T0 + timedelta(days=i), float(v)) for i, v in enumerate(y)], "unique_id string, ds timestamp_ntz, y double")
+    plan = BacktestPlan(h=5, n_windows=2)
+    got = {(r["model_id"], r["window_id"], r["h_step"]): (r["y_hat"], r["ds"]) for r in models.backtest_series(Panel(days, PanelSpec("t", "D", (7,))), plan).collect()}
+    for w, end in enumerate((74, 79)):
+        for name, model in models.MODELS.items():
+            want = model(y[:end], 5, 7)
+            assert all(got[name, w, k + 1] == (want[k], T0 + timedelta(days=end + k)) for k in range(5))
+
+
+def test_tuning_uses_development_windows_alone(spark, tmp_path):
+    y = [float(i % 5) for i in range(40)] + [500.0] * 10
+    days = spark.createDataFrame([("a", T0 + timedelta(days=i), v) for i, v in enumerate(y)], "unique_id string, ds timestamp_ntz, y double")
+    panel = Panel(days, PanelSpec("t", "D", (5,)))
+
+    def constant(level):
+        def forecast(train, window, ahead):
+            assert train.df.agg(F.max("y")).first()[0] < 500
+            return ahead.select("unique_id", "ds", F.lit(level).alias("y_hat"))
+
+        return forecast
+
+    def nothing(train, window, ahead):
+        return ahead.limit(0).select("unique_id", "ds", F.lit(0.0).alias("y_hat"))
+
+    plan = BacktestPlan(h=5, n_windows=4, holdout_windows=2)
+    got = models.tune(panel, plan, {"two": constant(2.0), "nine": constant(9.0), "none": nothing}, str(tmp_path), metric="mae")
+    assert got.best == "two" and got.n_windows == 2 and [r["model_id"] for r in got.table.collect()] == ["two", "nine", "none"]
+
+
+def test_closed_schema(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", "5"), ("a", "2024-01-01 00:00:00", "-1"), (None, "later", "x"), ("b", "2024-01-02 00:00:00", None)], "unique_id string, ds string, y string")
+    cast, broken = quality.raw_schema(rows, {"y": (0.0, 100.0)})
+    assert dict(cast.dtypes) == {"unique_id": "string", "ds": "timestamp_ntz", "y": "double"}
+    assert {r["rule"]: r["n_violations"] for r in broken.collect()} == {
+        "unique_id is known": 1, "ds is timestamp_ntz": 1, "ds is known": 1, "y is double": 1, "one row for each series and ds": 1, "y lies within its bounds": 1,
+    }
+    assert quality.raw_schema(rows.withColumn("z", F.lit(1)), {"y": (None, None)})[1].count() == 1
+    assert quality.raw_schema(cast, {"y": (-5.0, None)}, coerce=False)[1].where("rule like '%is double'").count() == 0
+    assert quality.hourly_step(series(spark, [1, 2, 3])) == 1.0 and quality.hourly_step(series(spark, [1])) == 1.0
+
+
 def test_forest_pool_is_every_later_row(spark):
     y = np.random.default_rng(3).normal(size=400)
     y[100] = 40

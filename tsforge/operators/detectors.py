@@ -1,11 +1,12 @@
 """Anomaly detectors beyond conformal scores: discords, isolation forest, PCA.
 
-All but the forest, whose trees grow on a bounded sample, and the projection work on one series at
-a time: Spark deals series out, and a group is one series' rows.
+Windows run along one series at a time; the forest's trees grow on a bounded sample, and discords
+compare blocks of a series in tasks of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,41 +18,84 @@ from pyspark.sql import functions as F
 from tsforge.operators.adaptive import adaptive_scores
 from tsforge.panel import by_series, missing
 
-SCORES = "unique_id string, ds timestamp_ntz, score double, scorable boolean, calib_n int"
-
-
 def online_conformal(rows: DataFrame, **how) -> DataFrame:
     """Adaptive scores from an empty state; see ``adaptive.adaptive_scores``."""
     return adaptive_scores(rows, **how)
 
 
-def discords(df: DataFrame, *, m: int = 24, value: str = "y") -> DataFrame:
+def tails(rows: DataFrame, length: int) -> DataFrame:
+    """The last ``length`` rows of each series: what windows of a later frame reach back to."""
+    back = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
+    return rows.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= length).drop("_n")
+
+
+def bridged(rows: DataFrame, tail: DataFrame) -> DataFrame:
+    """A later frame with its series' tails before it, which ``borrowed`` tells apart. Rows that a
+    tail and the frame share, or that don't lie before the frame's first, aren't borrowed."""
+    first = rows.groupBy("unique_id").agg(F.min("ds").alias("_first"))
+    kept = tail.join(first, "unique_id").where(F.col("ds") < F.col("_first")).drop("_first")
+    return rows.withColumn("borrowed", F.lit(False)).unionByName(kept.withColumn("borrowed", F.lit(True)))
+
+
+def pool_severity(rows: DataFrame, pool: DataFrame, *, value: str = "value", alpha: float = 0.05) -> DataFrame:
+    """rows with severity: how many robust spreads of the pool the value lies beyond the pool's
+    upper ``alpha``; zero on that edge. Null without a pool."""
+    known = pool.select(missing(value).alias("v")).where("v IS NOT NULL")
+    n = known.count()
+    if not n:
+        return rows.withColumn("severity", F.lit(None).cast("double"))
+    # The value of a whole rank, so nothing is interpolated.
+    rank = min(n - 1, math.ceil((n - 1) * (1 - alpha) - 1e-12))
+    edge, middle = known.agg(F.percentile("v", F.lit(rank / max(1, n - 1))), F.median("v")).first()
+    spread = known.agg(F.median(F.abs(F.col("v") - middle))).first()[0]
+    return rows.withColumn("severity", (missing(value) - edge) / max(1.4826 * spread, 1e-8))
+
+
+def discords(df: DataFrame, *, m: int = 24, value: str = "y", block: int = 512) -> DataFrame:
     """The distance of each z-normalised stretch of ``m`` rows to its nearest other one (stretches
-    within m / 2 rows don't count), at the stretch's last row, scored against all of its series."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ds")
-        y, n = rows["v"].to_numpy(float), len(rows)
-        best = np.full(n, np.nan)
-        if n >= 2 * m + 1:
-            w = np.lib.stride_tricks.sliding_window_view(y, m)
-            ok = np.isfinite(w).all(axis=1)
-            z = np.where(ok[:, None], w, 0)
-            sd = z.std(axis=1, keepdims=True)
-            z = np.where(sd > 1e-12, (z - z.mean(axis=1, keepdims=True)) / np.maximum(sd, 1e-12), 0)
-            at = np.arange(len(z))
-            for start in range(0, len(z), 256):  # a block of distances at a time
-                part = z[start : start + 256]
-                d = np.maximum(2 * m - 2 * part @ z.T, 0)
-                d[(np.abs(at[start : start + 256, None] - at) < m // 2 + 1) | ~ok] = np.inf
-                best[start + m - 1 : start + m - 1 + len(part)] = np.where(ok[start : start + 256], np.sqrt(d.min(axis=1)), np.nan)
-        best[~np.isfinite(best)] = np.nan
-        pool = np.sort(best[np.isfinite(best)])
-        p = (1 + len(pool) - np.searchsorted(pool, best, "left")) / (len(pool) + 1)
-        fit = np.isfinite(best)
-        return pd.DataFrame({"unique_id": rows["unique_id"], "ds": rows["ds"], "score": np.where(fit, -np.log10(p), None), "scorable": fit, "calib_n": len(pool)})
-
-    return df.select("unique_id", "ds", missing(value).alias("v")).groupBy("unique_id").applyInPandas(run, SCORES)
+    within m / 2 rows don't count), at the stretch's last row, scored against all of its series.
+    A series is cut into blocks of ``block`` stretches, and a task compares two blocks, so that
+    the squares of a long series are dealt out."""
+    block = max(block, m)
+    row = (F.row_number().over(by_series()) - 1).alias("pos")
+    placed = df.select("unique_id", "ds", missing(value).alias("v"), row)
+    home = F.floor(F.col("pos") / block).cast("int")
+    before = F.floor((F.col("pos") - m + 1) / block).cast("int")
+    homes = F.array_distinct(F.array(home, F.greatest(before, F.lit(0))))
+    dealt = placed.select("unique_id", F.explode(homes).alias("b"), F.struct("pos", F.coalesce("v", F.lit(float("nan"))).alias("v")).alias("x"))
+    blocks = dealt.groupBy("unique_id", "b").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("w")).where(F.size("w") >= m)
+    count = blocks.groupBy("unique_id").agg(F.max("b").alias("last"))
+    left = blocks.join(count, "unique_id").select("unique_id", "b", "w", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("c"))
+    pairs = left.join(blocks.select("unique_id", F.col("b").alias("c"), F.col("w").alias("other")), ["unique_id", "c"])
+
+    def stretches(values) -> tuple[np.ndarray, np.ndarray]:
+        w = np.lib.stride_tricks.sliding_window_view(np.array(values, float), m)
+        known = np.isfinite(w).all(axis=1)
+        z = np.where(known[:, None], w, 0)
+        sd = z.std(axis=1, keepdims=True)
+        return np.where(sd > 1e-12, (z - z.mean(axis=1, keepdims=True)) / np.maximum(sd, 1e-12), 0), known
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for x in df.itertuples():
+                (one, known), (two, held) = stretches(x.w), stretches(x.other)
+                at, to = x.b * block + np.arange(len(one)), x.c * block + np.arange(len(two))
+                d = np.maximum(2 * m - 2 * one @ two.T, 0)
+                d[(np.abs(at[:, None] - to) < m // 2 + 1) | ~held] = np.inf
+                least = np.where(known, d.min(axis=1), np.inf)
+                fit = np.isfinite(least)
+                yield pd.DataFrame({"unique_id": x.unique_id, "pos": at[fit] + m - 1, "d": np.sqrt(least[fit])})
+
+    nearest = pairs.select("unique_id", "b", "w", "c", "other").mapInPandas(run, "unique_id string, pos int, d double")
+    # Series shorter than two stretches have none that stands apart.
+    long_enough = placed.groupBy("unique_id").count().where(F.col("count") >= 2 * m + 1)
+    best = nearest.groupBy("unique_id", "pos").agg(F.min("d").alias("d")).join(long_enough.select("unique_id"), "unique_id", "left_semi")
+    down = Window.partitionBy("unique_id").orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, 0)
+    n = F.count("*").over(Window.partitionBy("unique_id"))
+    ranked = best.select("unique_id", "pos", (-F.log10((1 + F.count("*").over(down)) / (n + 1))).alias("score"), n.cast("int").alias("calib_n"))
+    scored = placed.join(ranked, ["unique_id", "pos"], "left")
+    pool = F.coalesce(F.max("calib_n").over(Window.partitionBy("unique_id")), F.lit(0))
+    return scored.select("unique_id", "ds", "score", F.col("score").isNotNull().alias("scorable"), pool.alias("calib_n"))
 
 
 FEATURES = ("value", "zscore", "diff1", "diff2", "energy", "hour")

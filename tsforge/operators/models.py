@@ -4,6 +4,7 @@ gradient-boosted trees over the feature frame of all series at once."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,10 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsforge.functions import metrics
 from tsforge.operators import features
+from tsforge.operators.runs import Forecaster, run_forecasters
+from tsforge.operators.split import dev_only
 from tsforge.operators.split import windows as make_windows
 from tsforge.panel import Panel, at_seconds, by_series, missing, seconds
 from tsforge.spec import BacktestPlan
@@ -123,6 +127,37 @@ def without_forecast(panel: Panel, forecasts: DataFrame, windows: DataFrame) ->
     return every.join(forecasts.select("unique_id", "window_id").distinct(), ["unique_id", "window_id"], "left_anti")
 
 
+@dataclass(frozen=True)
+class TuningResult:
+    """``table``: (model_id, value) of every candidate, the best first; a candidate without a
+    finite value stands last with the worst."""
+
+    best: str
+    table: DataFrame
+    plan: BacktestPlan
+    n_windows: int
+
+
+def tune(panel: Panel, plan: BacktestPlan, candidates: dict[str, Forecaster], folder: str, *, metric: str = "mase", direction: str = "minimize") -> TuningResult:
+    """The candidates (models with their settings) on the development windows alone, of a panel
+    that ends with the last of them, by a column of the leaderboard."""
+    if direction not in ("minimize", "maximize"):
+        raise ValueError("direction is minimize or maximize")
+    dev = dev_only(panel, make_windows(panel, plan))
+    dev_plan = replace(plan, n_windows=plan.n_windows - plan.holdout_windows, holdout_windows=0)
+    run = run_forecasters(dev, dev_plan, candidates, folder)
+    scored = metrics.scored(run.forecasts, metrics.mase_denominators(dev, run.windows))
+    board = metrics.leaderboard(scored, quantiles=plan.quantiles).where("overall")
+    if metric not in board.columns:
+        raise ValueError(f"the leaderboard has no {metric}")
+    worst = float("inf") if direction == "minimize" else float("-inf")
+    every = panel.df.sparkSession.createDataFrame([(c,) for c in candidates], "model_id string")
+    value = F.coalesce(missing(metric), F.lit(worst))
+    found = every.join(board.select("model_id", metric), "model_id", "left").select("model_id", value.alias("value"))
+    table = found.orderBy("value" if direction == "minimize" else F.desc("value"), "model_id")
+    return TuningResult(table.first()["model_id"], table, dev_plan, run.windows.count())
+
+
 def tune_window_average(panel: Panel, plan: BacktestPlan, candidates: tuple[int, ...] = (3, 7, 14, 28)) -> DataFrame:
     """(average, mae) of every candidate on the development windows, in one plan."""
     table = make_windows(panel, plan).where("stage = 'dev'")

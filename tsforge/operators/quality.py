@@ -40,6 +40,41 @@ def coverage(raw: DataFrame, aligned: DataFrame, *, step_seconds: int, value: st
     return out.withColumn("n_expected", expected).withColumn("coverage", (F.col("n_aligned") - F.col("n_gaps")) / F.col("n_expected"))
 
 
+def hourly_step(aligned: DataFrame) -> float:
+    """The median distance in hours between a row and the next of its series, over the first
+    series; 1.0 where there is none."""
+    first = aligned.agg(F.min("unique_id")).first()[0]
+    gap = F.timestamp_diff("SECOND", F.lag("ds").over(Window.partitionBy("unique_id").orderBy("ds")), "ds") / 3600
+    found = aligned.where(F.col("unique_id") == first).select(gap.alias("gap")).agg(F.median("gap")).first()[0]
+    return 1.0 if found is None else float(found)
+
+
+def raw_schema(df: DataFrame, values: dict[str, tuple[float | None, float | None]], *, coerce: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A closed schema: unique_id, ds and ``values`` with their bounds, nothing else. Returns the
+    rows in it (what can't be read as its type is null) and (rule, n_violations), one row for each
+    rule that is broken; columns that lack or are too many make the only rule then."""
+    wanted = {"unique_id": "string", "ds": "timestamp_ntz", **dict.fromkeys(values, "double")}
+    if odd := set(df.columns) ^ set(wanted):
+        return df, df.sparkSession.createDataFrame([(f"columns: {', '.join(sorted(odd))}", len(odd))], "rule string, n_violations long")
+    kinds = dict(df.dtypes)
+    cast = df.select(*(F.col(c).try_cast(k).alias(c) if coerce else F.col(c) for c, k in wanted.items()))
+    both = df.select(*(F.col(c).isNotNull().alias(f"_{c}") for c in wanted), *(F.col(c).try_cast(k).alias(c) for c, k in wanted.items()))
+    order = Window.partitionBy("unique_id").orderBy("ds")
+    both = both.withColumn("_again", F.lag("ds").over(order) == F.col("ds"))
+    rules = {f"{c} is {k}": ~F.col(f"_{c}") | F.col(c).isNotNull() for c, k in wanted.items()}
+    rules |= {"unique_id is known": F.col("unique_id").isNotNull(), "ds is known": F.col("ds").isNotNull(), "one row for each series and ds": ~F.coalesce("_again", F.lit(False))}
+    for c, (low, high) in values.items():
+        inside = F.lit(True)
+        for bound, holds in ((low, F.col(c) >= low if low is not None else None), (high, F.col(c) <= high if high is not None else None)):
+            inside = inside if bound is None else inside & holds
+        rules[f"{c} lies within its bounds"] = F.col(c).isNull() | inside
+    found = rule_violations(both, rules).where("n_violations > 0")
+    if not coerce:
+        wrong = [(f"{c} is {k}", 1) for c, k in wanted.items() if kinds[c] != k]
+        found = found.unionByName(df.sparkSession.createDataFrame(wrong, "rule string, n_violations long")).groupBy("rule").agg(F.max("n_violations").alias("n_violations"))
+    return cast, found
+
+
 def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One pass over the rows: how many break each rule (a condition that should hold)."""
     wide = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))

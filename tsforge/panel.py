@@ -64,6 +64,17 @@ class Panel:
         """What is known ahead over a window: keys and future columns, nothing else."""
         return self.slice(start, end).df.select(*KEYS, *self.spec.futr_exog)
 
+    def futr_of(self, window, ids: list[str], h: int) -> DataFrame:
+        """The same for some series and a row of the windows table; all their steps must be there."""
+        rows = self.select_ids(ids).futr(window["first_pred"], window["last_pred"])
+        if (n := rows.count()) != len(ids) * h:
+            raise PanelError(f"{n} rows, not {len(ids)} series of {h} steps")
+        return rows
+
+    def long(self) -> DataFrame:
+        """The columns of the spec in their order."""
+        return self.df.select(*self.spec.columns)
+
 
 def violations(df: DataFrame, spec: PanelSpec, static: DataFrame | None = None) -> DataFrame:
     """One row for each broken invariant, with how many series or rows break it."""
