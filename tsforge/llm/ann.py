@@ -1,19 +1,19 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of ``curves`` curves projects the vectors by its own random rotation onto a few axes, shifts
-them, and orders them by their Hilbert keys. Spark range-partitions the keys of all curves into
-blocks of about ``block_rows`` vectors; the blocks' bounds (8 bytes for each block and curve) are
-all that driver and tasks hold of them. A query looks, on each curve, at the blocks around its own
-key, ``share`` of the curve in all; a block and its queries meet in one task, which ranks by matrix
-products. The best of all windows are merged and ranked again by their exact inner products. Where
+them, and orders them by their Hilbert keys. A curve is cut into ranges of equally many keys; a
+query looks at the range of its own key and those on either side: a window of ``share`` of the
+rows, ``window_rows`` at least. A range and its queries meet in one task, which ranks by matrix
+products; ranges of more than ``rows_together`` vectors are dealt over several tasks, and so are
+queries. The best of all windows are merged and ranked again by their exact inner products. Where
 lengths differ, vectors get one more component that makes them equal, so that the largest inner
 product becomes the nearest direction.
 
 Many short windows find more than few long ones. In directions without structure (the test vectors
 spread evenly over 64 dimensions) the defaults look at about as many vectors as an exact search
-would (0.84 tables for each query; some of them several times) for a recall over 0.9, and the work
-grows with queries times rows; vectors in clusters need a far smaller ``share``. A table of one
-block is searched whole.
+would (0.84 tables for each query, some vectors several times) for a recall over 0.9, and the work
+grows with queries times rows; vectors in clusters need a far smaller ``share``. A table of up to
+``window_rows`` vectors is searched whole.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids (more can't be in a result), so a
 vector that a third of the rows share costs no more than others, and queries that share a vector
@@ -102,8 +102,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14, share: float = 0.06, block_rows: int = 1024,
-            queries_together: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14, share: float = 0.06, window_rows: int = 1024,
+            rows_together: int = 32768, queries_together: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found for each row of
     ``table`` for which ``is_query`` holds."""
     schema = "query_id long, rank int, vec_id long, score double"
@@ -130,43 +130,63 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14
     n_asked = asked.count()
     lines = Curves(dims, curves, longest)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A window is three ranges, so a curve has few of them, however many rows there are.
+    blocks = max(1, round(3 * size / max(window_rows, share * size)))
+    width = min(blocks, 3)
+
+    def keys_of(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
         for batch in sliced(batches, 4096):
             if batch.num_rows:
-                for curve, found in enumerate(lines.keys(matrix(batch.column("v")), False)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), curve, np.int32)), pa.array(found)], names=["curve", "key"])
+                for curve, found in enumerate(lines.keys(matrix(batch.column("v")), query)):
+                    yield batch, curve, found
 
-    blocks = max(1, -(-size // block_rows))
-    ranged = entries.select("v").mapInArrow(keys, "curve int, key long").repartitionByRange(curves * blocks, "curve", "key")
-    lowest = ranged.groupBy(F.spark_partition_id().alias("block"), "curve").agg(F.min("key").alias("key")).collect()
-    bounds = [np.sort(np.array([r["key"] for r in lowest if r["curve"] == c], np.int64)) for c in range(curves)]
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, curve, found in keys_of(batches, False):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), curve, np.int32)), pa.array(found)], names=["curve", "key"])
+
+    bounds = [np.empty(0, np.int64)] * curves
+    if blocks > 1:
+        cuts = F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20000)
+        for r in entries.select("v").mapInArrow(keys, "curve int, key long").groupBy("curve").agg(cuts.alias("cuts")).collect():
+            bounds[r["curve"]] = np.array(r["cuts"], np.int64)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, curve, found in keys_of(batches, False):
+            block, count = np.unique(np.searchsorted(bounds[curve], found, "left"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), curve, np.int32)), pa.array(block.astype(np.int32)), pa.array(count)], names=["curve", "block", "n"])
+
+    # Where one key has very many vectors its range is larger than planned.
+    sizes = entries.select("v").mapInArrow(held, "curve int, block int, n long").groupBy("curve", "block").agg(F.sum("n").alias("n")).collect()
+    parts = np.ones((curves, blocks), np.int64)
+    for r in sizes:
+        parts[r["curve"], r["block"]] = -(-r["n"] // rows_together)
     shares = max(1, -(-n_asked // queries_together))
 
     def placed(source: DataFrame, query: bool) -> DataFrame:
-        """(curve, block, hand, entry, v): a vector goes to its block, for each share of the
-        queries; a query, to the blocks around its own."""
+        """(curve, block, part, hand, entry, v): a vector goes to a part of its range, for each
+        share of the queries; a query, to all parts of the ranges around its key."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, 4096):
-                if not batch.num_rows:
-                    continue
-                for curve, found in enumerate(lines.keys(matrix(batch.column("v")), query)):
-                    held = len(bounds[curve])
-                    own = np.maximum(np.searchsorted(bounds[curve], found, "right") - 1, 0)
-                    if query:
-                        width = max(1, int(np.ceil(share * held)))
-                        first = np.clip(own - (width - 1) // 2, 0, held - width)
-                        row, block = np.repeat(np.arange(len(own)), width), (first[:, None] + np.arange(width)).ravel()
-                        hand = mixed(batch.column("entry").to_numpy().view(np.uint64)[row]) % np.uint64(shares)
-                    else:
-                        row, block, hand = np.repeat(np.arange(len(own)), shares), np.repeat(own, shares), np.tile(np.arange(shares), len(own))
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), curve, np.int32)), pa.array(block.astype(np.int32)), pa.array(hand.astype(np.int32)), batch.column("entry").take(at), batch.column("v").take(at)],
-                        names=["curve", "block", "hand", "entry", "v"],
-                    )
-
-        return source.select("entry", "v").mapInArrow(run, f"curve int, block int, hand int, entry long, v {kind}")
+            for batch, curve, found in keys_of(batches, query):
+                block = np.searchsorted(bounds[curve], found, "left")
+                mix = mixed(batch.column("entry").to_numpy().view(np.uint64))
+                row = np.arange(len(found))
+                if query:
+                    block = (np.clip(block - width // 2, 0, blocks - width)[:, None] + np.arange(width)).ravel()
+                    row = np.repeat(row, width)
+                    times = parts[curve, block]
+                    row, block, part = np.repeat(row, times), np.repeat(block, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    hand = mix[row] % np.uint64(shares)
+                else:
+                    part = mix % parts[curve, block].astype(np.uint64)
+                    row, block, part, hand = np.repeat(row, shares), np.repeat(block, shares), np.repeat(part, shares), np.tile(np.arange(shares), len(row))
+                at = pa.array(row)
+                numbers = [pa.array(x.astype(np.int32)) for x in (np.full(len(row), curve), block, part, hand)]
+                yield pa.RecordBatch.from_arrays([*numbers, batch.column("entry").take(at), batch.column("v").take(at)], names=[*by, "entry", "v"])
+
+        return source.select("entry", "v").mapInArrow(run, f"curve int, block int, part int, hand int, entry long, v {kind}")
+
+    by = ("curve", "block", "part", "hand")
 
     def rank(asked: pa.Table, block: pa.Table) -> pa.Table:
         parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -176,10 +196,10 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14
             most = min(k + 1, len(v))
             # Products of matrices round differently from sums of one row: what comes so near to the last place stays.
             margin = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
-            for part in range(0, len(q), 256):
-                near = q[part : part + 256] @ v.T
+            for part in range(0, len(q), 128):
+                near = q[part : part + 128] @ v.T
                 last = np.partition(near, len(v) - most, axis=1)[:, len(v) - most]
-                row, at = np.nonzero(near >= (last - margin[part : part + 256])[:, None])
+                row, at = np.nonzero(near >= (last - margin[part : part + 128])[:, None])
                 exact = (v[at] * q[part + row]).sum(axis=1)
                 order = np.lexsort((names[at], -exact, row))
                 row, at, exact = row[order], at[order], exact[order]
@@ -189,7 +209,6 @@ def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14
         query, entry, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table({"query": query, "entry": entry, "score": score})
 
-    by = ("curve", "block", "hand")
     ranked = placed(asked, True).groupBy(*by).cogroup(placed(entries, False).groupBy(*by)).applyInArrow(rank, "query long, entry long, score double")
     merged = ranked.groupBy("query", "entry").agg(F.max("score").alias("score"))
     nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
