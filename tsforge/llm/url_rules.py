@@ -8,7 +8,8 @@ key; one sweep merges them and keeps a stack of the rules whose intervals are op
 stack fits if the URL's path starts with its path; the longest fitting rule wins.
 
 URLs are range-partitioned by (key, path, id), so a host with a third of all rows is dealt over
-many tasks. Rules come in blocks of ``block_bytes`` at most; each block takes one sweep and the
+many tasks. Rules come in blocks of ``block_bytes`` at most; each block takes one sort and sweep of
+its own (one block holds tens of thousands of rules), and the
 longest winner over all blocks holds.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and takes the
