@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tsforge.plans.base import SHIP, query, rounded
 from tsforge.plans.forecast_queries import PLAN, WINDOWS
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan
+from tsforge.streaming import online
 
 
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +114,30 @@ def series_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsforge.functions.eda import difficulty
 
     return difficulty(split(hourly_events(spark, sf_dir).df))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files: whatever lies at the table's path."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return rows.select(F.col("event_type").alias("unique_id"), F.col("ts").cast("timestamp").alias("ds"), F.col("value").alias("y"))
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder for one run, below the shared one; a session without one runs in one process."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-tsforge-')}/streams/{uuid.uuid4().hex}"
+
+
+@query("""SELECT * FROM (SELECT event_type AS unique_id, date_trunc('hour', ts)::TIMESTAMP AS ds, round(sum(value), 4) AS y, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+WHERE ds + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that the watermark, two hours behind the latest event, has closed."""
+    hours = online.drained(online.hourly(_event_stream(spark, sf_dir)), _stream_folder(spark), "hours")
+    return rounded(hours.withColumn("ds", F.col("ds").cast("timestamp_ntz")), 4)
+
+
+@query("SELECT event_type AS unique_id, ts::TIMESTAMP AS ds, value AS y FROM events")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event passes the stateful scorer once; its score follows from the order of arrival."""
+    scored = online.drained(online.running_z(_event_stream(spark, sf_dir)), _stream_folder(spark), "scores")
+    return scored.select("unique_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y")

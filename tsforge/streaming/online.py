@@ -38,3 +38,12 @@ def running_z(stream: DataFrame, *, half_life: float = 48.0) -> DataFrame:
         state.update((weight, mean, square))
 
     return stream.groupBy("unique_id").applyInPandasWithState(score, SCORED, "weight double, mean double, square double", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, folder: str, name: str) -> DataFrame:
+    """Runs a stream over all that its source holds now, into Parquet below ``folder``, and reads
+    it. A second run with the same folder carries on from where the first one stopped."""
+    place = f"{folder.rstrip('/')}/{name}"
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
