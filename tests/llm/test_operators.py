@@ -265,7 +265,8 @@ def test_segments_are_known_by_their_bytes():
     assert len(np.intersect1d(one, repeats.segments(twice, 50)[1])) >= len(one) - 2
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 8])
+def test_repeats_equal_brute_force(spark, hot):
     rng = random.Random(2)
     texts = [*corpus(9), "é" * 60, "x" * 400, "x" * 90 + "é" * 60]
     passage = "".join(rng.choice("abcdefg hij") for _ in range(120))
@@ -275,8 +276,9 @@ def test_repeats_equal_brute_force(spark):
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
     frame = docs(spark, texts, ids).union(docs(spark, texts[:3], ids[:3])).union(docs(spark, [texts[0]], [None]))
+    assert (len(repeats.hot_anchors(repeats.keyed(frame, "doc_id", "text"), 50, hot)) > 0) == (hot == 8)
     got = defaultdict(set)
-    for r in repeats.remove_repeats(frame).collect():
+    for r in repeats.remove_repeats(frame, hot=hot).collect():
         got[r["doc_id"]].add((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
         assert r["n_removed"] == sum(b - a for a, b in r["spans"]) and len(r["spans"]) == r["n_spans"]
     seen = set()

@@ -19,9 +19,9 @@ falls into segments (the strings of one anchor in a row, about 67 bytes at size
    merged and cut out.
 
 Shards grow in number with the input, and equal segments meet as one row for each million segments
-that a task read. What has no such bound is the number of distinct segments of one anchor: a
-passage that very many documents hold between different neighbours brings its shard two segments
-for each of them.
+that a task read. A passage that very many documents hold between different neighbours has as many
+different segments of one anchor; beyond about HOT of them (estimated on a share of the documents)
+each string of that anchor is a segment of its own, dealt by its own hash, and settled in step 1.
 
 Defined results: null and empty texts have nothing removed; a row without id takes no part and
 keeps its text; rows of one id are one document, so that neither repeats the other, and what it
@@ -54,6 +54,13 @@ TOGETHER = 1_000_000
 STEP = 0x9E3779B97F4A7C15
 
 
+#: Different segments of one anchor beyond which each of its strings is dealt by itself.
+HOT = 1 << 15
+#: Hot anchors that a task knows. Others have a smaller share of all segments than one in so many.
+MOST_HOT = 100_000
+NONE = np.empty(0, np.uint64)
+
+
 class Powers:
     """Powers of STEP modulo 2**64, and of its inverse, as far as a text needs them."""
 
@@ -82,9 +89,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, size: int, hot: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, hash of the bytes, first start, last start) of the runs of starts whose strings
-    share an anchor."""
+    share an anchor. Of a ``hot`` anchor each string is a segment, with its own hash as anchor."""
     count = len(data) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -98,12 +105,39 @@ def segments(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     np.not_equal(least[1:], least[:-1], out=fresh[1:])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], count) - 1
+    anchor = least[first]
+    split = np.isin(anchor, hot) if len(hot) else None
+    if split is not None and split.any():
+        times = np.where(split, last - first + 1, 1)
+        run = np.repeat(np.arange(len(first)), times)
+        first = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+        split, anchor = split[run], anchor[run]
+        last = np.where(split, first, last[run])
     # The segment's 16-byte strings weighted by powers of their places, summed; the powers' start
     # at the document's begin is divided out, so that only the segment's own bytes count.
     POWERS.reach(len(grams))
     sums = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(grams * POWERS.up[: len(grams)], out=sums[1:])
-    return least[first], mixed((sums[last + width] - sums[first]) * POWERS.down[first] + (last - first).astype(np.uint64)), first, last
+    hashes = mixed((sums[last + width] - sums[first]) * POWERS.down[first] + (last - first).astype(np.uint64))
+    return anchor if split is None else np.where(split, hashes, anchor), hashes, first, last
+
+
+def hot_anchors(source: DataFrame, size: int, hot: int) -> np.ndarray:
+    """Anchors with about ``hot`` different segments and more, by a share of the documents in
+    which such a one shows 64 of them; the MOST_HOT hottest. They decide only where strings meet."""
+    parts = max(1, min(64, hot // 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [segments(np.frombuffer(text_bytes(t), np.uint8), size)[:2] for t in batch.column("text")]
+            anchor, hashes = (np.concatenate([f[k] for f in found] or [NONE]) for k in (0, 1))
+            one = np.unique(hashes, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[one].view(np.int64)), pa.array(hashes[one].view(np.int64))], names=["anchor", "hash"])
+
+    share = source.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("text")
+    counts = share.mapInArrow(run, "anchor long, hash long").groupBy("anchor").agg(F.count_distinct("hash").alias("n"))
+    found = counts.where(F.col("n") >= hot / parts).orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -164,7 +198,7 @@ def _by_shard(shard: np.ndarray, ids: np.ndarray, rest: np.ndarray | None, hashe
     return rows
 
 
-def _send_hashes(source: DataFrame, size: int, shards: int) -> DataFrame:
+def _send_hashes(source: DataFrame, size: int, shards: int, hot: np.ndarray) -> DataFrame:
     """By shard: owners of segments so far (rest of the anchor, hash), and, with a null rest,
     segments that are repeats already, dealt by id."""
 
@@ -191,7 +225,7 @@ def _send_hashes(source: DataFrame, size: int, shards: int) -> DataFrame:
 
         for batch in sliced(batches):
             for name, text in zip(batch.column("id"), batch.column("text"), strict=True):
-                anchor, found, _, _ = segments(np.frombuffer(text_bytes(text), np.uint8), size)
+                anchor, found, _, _ = segments(np.frombuffer(text_bytes(text), np.uint8), size, hot)
                 if len(found):
                     anchors.append(anchor)
                     hashes.append(found)
@@ -241,7 +275,7 @@ def _settle(rows: pa.Table) -> pa.Table:
 PIECES = [("shard", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary()), ("data", pa.binary())]
 
 
-def _send_pieces(wanted: DataFrame, size: int, shards: int) -> DataFrame:
+def _send_pieces(wanted: DataFrame, size: int, shards: int, hot: np.ndarray) -> DataFrame:
     """wanted: id, text and sends, the hashes of the segments whose bytes go to their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +295,7 @@ def _send_pieces(wanted: DataFrame, size: int, shards: int) -> DataFrame:
         for batch in sliced(batches):
             for name, text, sends in zip(batch.column("id"), batch.column("text"), batch.column("sends"), strict=True):
                 data = text_bytes(text)
-                anchor, hashes, first, last = segments(np.frombuffer(data, np.uint8), size)
+                anchor, hashes, first, last = segments(np.frombuffer(data, np.uint8), size, hot)
                 at = np.flatnonzero(np.isin(hashes, packed(sends.values, np.uint64)))
                 held.append((shard_and_rest(anchor[at], shards)[0], np.full(len(at), name.as_py(), np.int64), last[at] - first[at] + size, hashes[at]))
                 pieces += [data[a : b + size] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
@@ -335,9 +369,9 @@ def _parts_of(size: int):
     return parts
 
 
-def _removed(data: np.ndarray, size: int, whole: np.ndarray, parts: np.ndarray) -> np.ndarray:
+def _removed(data: np.ndarray, size: int, hot: np.ndarray, whole: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """Which bytes go: those of the whole segments and of the parts listed."""
-    _, hashes, first, last = segments(data, size)
+    _, hashes, first, last = segments(data, size, hot)
     at = np.flatnonzero(np.isin(hashes, whole))
     begins, ends = [first[at]], [last[at] + size]
     if len(parts):
@@ -356,27 +390,28 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def repeated_segments(source: DataFrame, *, size: int = 50, shards: int | None = None) -> DataFrame:
+def repeated_segments(source: DataFrame, hot: np.ndarray, *, size: int, shards: int | None = None) -> DataFrame:
     """(id, whole, parts) of keyed documents that repeat something: packed hashes of segments, and
     packed PARTs."""
-    if size < GRAM:
-        raise ValueError(f"strings need {GRAM} bytes at least")
     if shards is None:
         shards = max(8, int((source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
-    sent = _send_hashes(source.where("id is not null"), size, shards).repartition(shards, "shard")
+    sent = _send_hashes(source.where("id is not null"), size, shards, hot).repartition(shards, "shard")
     settled = materialize(sent.groupBy("shard").applyInArrow(_settle, "id long, whole binary, sends binary"), "settled")
     wanted = settled.where("sends is not null").groupBy("id").agg(F.collect_list("sends").alias("sends"))
-    pieces = _send_pieces(source.join(wanted, "id"), size, shards).repartition(shards, "shard")
+    pieces = _send_pieces(source.join(wanted, "id"), size, shards, hot).repartition(shards, "shard")
     parts = pieces.groupBy("shard").applyInArrow(_parts_of(size), "id long, parts binary")
     every = settled.where("whole is not null").select("id", "whole", F.lit(None).cast("binary").alias("parts")).union(parts.select("id", F.lit(None).cast("binary"), "parts"))
     return every.groupBy("id").agg(F.collect_list("whole").alias("whole"), F.collect_list("parts").alias("parts"))
 
 
-def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None, hot: int = HOT, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``with_text`` is off, the
     bytes that are kept and the removed spans (a, b), for every row."""
+    if size < GRAM:
+        raise ValueError(f"strings need {GRAM} bytes at least")
     source = keyed(docs, id_col, text_col)
-    found = repeated_segments(source, size=size, shards=shards)
+    split = hot_anchors(source.where("id is not null"), size, hot)
+    found = repeated_segments(source, split, size=size, shards=shards)
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
@@ -391,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 50, shards: int | None = None
                 kept = data
                 if whole.is_valid:
                     array = np.frombuffer(data, np.uint8)
-                    gone = _removed(array, size, packed(whole.values, np.uint64), packed(parts.values, PART))
+                    gone = _removed(array, size, split, packed(whole.values, np.uint64), packed(parts.values, PART))
                     spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                     kept = array[~gone].tobytes()
                 row = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
