@@ -44,6 +44,27 @@ def test_cache_and_bounds(spark, tmp_path):
     assert readers.out_of_bounds(spark.createDataFrame([(-1.0,), (1.0,), (None,)], "y double"), "meters").count() == 1
 
 
+def test_old_tables_are_renewed_or_served(spark, tmp_path):
+    def gone():
+        raise readers.SourceUnavailable
+
+    with pytest.raises(readers.SourceUnavailable):
+        readers.cached(spark, str(tmp_path), "k", gone)
+    assert readers.cached(spark, str(tmp_path), "k", lambda: spark.range(3), max_age=timedelta(0)).count() == 3
+    with pytest.warns(readers.StaleWarning):
+        assert readers.cached(spark, str(tmp_path), "k", gone, max_age=timedelta(0)).count() == 3
+    assert readers.cached(spark, str(tmp_path), "k", gone).count() == 3
+    assert readers.cached(spark, str(tmp_path), "k", lambda: spark.range(5), max_age=timedelta(0)).count() == 5
+
+
+def test_vintages_are_read_as_of_a_time(spark):
+    rows = [("a", T0, T0 + timedelta(days=k), float(k)) for k in range(3)] + [("b", T0, T0, 9.0), ("a", T0 + timedelta(days=5), T0, 7.0)]
+    df = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, as_of timestamp_ntz, y double")
+    spec, when = readers.SourceSpec("s", vintage_aware=True), {"start": T0, "end": T0 + timedelta(days=1)}
+    assert sorted(r["y"] for r in readers.fetched(df, spec, as_of=T0 + timedelta(days=1), **when).collect()) == [1.0, 9.0]
+    assert [r["y"] for r in readers.fetched(df, spec, ids=["a"], **when).collect()] == [2.0]
+
+
 def series(spark, values):
     return spark.createDataFrame([("a", T0 + timedelta(hours=i), float(v)) for i, v in enumerate(values)], "unique_id string, ds timestamp_ntz, y double")
 

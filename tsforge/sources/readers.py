@@ -7,6 +7,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
+import warnings
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -105,17 +108,51 @@ def cache_key(source_id: str, start: datetime, end: datetime, ids: list[str] | N
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()[:16]
 
 
-def cached(spark: SparkSession, folder: str, key: str, fetch) -> DataFrame:
-    """The table under ``folder``, fetched and written the first time. A write shows up as a whole
-    or not at all: Spark's committer moves it into place, and _SUCCESS comes last."""
-    path = f"{folder}/{key}.parquet"
-    jvm = spark._jvm.org.apache.hadoop.fs
-    done = jvm.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        fetch().write.mode("overwrite").parquet(path)
+class SourceUnavailable(RuntimeError):
+    """A source can't be reached now."""
+
+
+class StaleWarning(UserWarning):
+    """What is served is older than asked for."""
+
+
+def cached(spark: SparkSession, folder: str, key: str, fetch, *, max_age: timedelta | None = None) -> DataFrame:
+    """The newest table under ``folder``/``key``, fetched and written where there is none or it is
+    older than ``max_age``. A table counts once Spark's committer has put _SUCCESS beside it, and
+    a new one stands beside the old, so readers never see half of one. Where the source is
+    unavailable the old one is served with a warning."""
+    fs, root = spark._jvm.org.apache.hadoop.fs, f"{folder}/{key}"
+    place = fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = []
+    for status in system.listStatus(place) if system.exists(place) else []:
+        done = fs.Path(status.getPath(), "_SUCCESS")
+        if system.exists(done):
+            held.append((system.getFileStatus(done).getModificationTime() / 1000, status.getPath().toString()))
+    if held and (max_age is None or time.time() - max(held)[0] <= max_age.total_seconds()):
+        return spark.read.parquet(max(held)[1])
+    path = f"{root}/{uuid.uuid4().hex}"
+    try:
+        fetch().write.parquet(path)
+    except SourceUnavailable:
+        if not held:
+            raise
+        warnings.warn(f"source of {key} is unavailable, an older table is served", StaleWarning, stacklevel=2)
+        return spark.read.parquet(max(held)[1])
     return spark.read.parquet(path)
 
 
+def fetched(df: DataFrame, spec: SourceSpec, *, start: datetime, end: datetime, ids: list[str] | None = None, as_of: datetime | None = None) -> DataFrame:
+    """A source's rows of [start, end) as they were known at ``as_of`` (latest, if None). Sources
+    with vintages have a column as_of: of each instant the last vintage that isn't later holds."""
+    require_no_vintage(spec, as_of)
+    rows = ranged(df, start, end, ids)
+    if not spec.vintage_aware:
+        return rows
+    known = rows if as_of is None else rows.where(F.col("as_of") <= F.lit(as_of).cast("timestamp_ntz"))
+    return _last_of_each(known, F.col("as_of"))
+
+
 def write_run(tables: dict[str, DataFrame], folder: str, *, by: str = "model_id") -> None:
     """A run's tables, hive-partitioned by model or detector and sorted within files."""
     for name, df in tables.items():
