@@ -49,7 +49,7 @@ def test_fusion_equals_a_dense_computation(spark):
         if d and r[1] is not None:
             np.add.at(counts[:, names.index(d)], language_id.trigrams(r[1]), 1)
     every = (counts.sum(1) + 0.05) / (counts.sum() + 0.05 * language_id.BUCKETS)
-    table = np.log((counts + 2000 * every[:, None]) / (counts.sum(0) + 2000))
+    table = np.log((counts + 2000 * every[:, None] + 0.05) / (counts.sum(0) + 2000 + 0.05 * language_id.BUCKETS))
     weight, fits = [], []
     for r in rows:
         found = language_id.trigrams(r[1])

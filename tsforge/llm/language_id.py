@@ -9,7 +9,7 @@ them, like the tables of declared and suffix, are grouped sums of the text poste
 The trigram model is fitted on about ``train_rows`` rows for each declared language (a share of the
 range of hashes of id and text that holds so many); everything else covers all rows. Trigrams are
 hashed into a table of fixed size. A language's rates are smoothed with ``common`` trigrams spread
-as all languages' together, so that a language of few rows is known as well and yet doesn't draw
+as all languages' together and a twentieth of one in every place, so that a language of few rows is known as well and yet doesn't draw
 texts that another explains better. A text's log-likelihood counts as that of ``full_weight``
 trigrams at most, so that neighbouring trigrams, which aren't independent, don't drown the other
 evidence. The model holds the ``most_languages`` commonest declared languages.
@@ -99,7 +99,7 @@ def fit(rows: DataFrame, train_rows: int, common: float, most_languages: int) ->
     for r in counts.toLocalIterator():
         table[r["bucket"], r["k"]] = r["n"]
     every = (table.sum(axis=1, keepdims=True) + 0.05) / (table.sum() + 0.05 * BUCKETS)
-    return languages, np.log((table + common * every) / (table.sum(axis=0) + common))
+    return languages, np.log((table + common * every + 0.05) / (table.sum(axis=0) + common + 0.05 * BUCKETS))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, suffix: Column | None = None,
