@@ -11,7 +11,7 @@ product becomes the nearest direction.
 
 Many short windows find more than few long ones. In directions without structure (the test vectors
 spread evenly over 64 dimensions) the defaults look at about as many vectors as an exact search
-would (0.84 tables for each query, some vectors several times) for a recall over 0.9, and the work
+would (0.96 tables for each query, some vectors several times) for a recall over 0.9, and the work
 grows with queries times rows; vectors in clusters need a far smaller ``share``. A table of up to
 ``window_rows`` vectors is searched whole.
 
@@ -102,7 +102,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 14, share: float = 0.06, window_rows: int = 1024,
+def nearest(table: DataFrame, is_query: Column, *, k: int = 20, curves: int = 16, share: float = 0.06, window_rows: int = 1024,
             rows_together: int = 32768, queries_together: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found for each row of
     ``table`` for which ``is_query`` holds."""
