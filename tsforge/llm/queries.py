@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import ann, bpe, decontaminate, html_text, language_id, line_dedup, minhash, repeats, toxicity, url_rules
+from tsforge.llm import ann, bpe, decontaminate, divergence, exact_dedup, html_text, language_id, line_dedup, minhash, repeats, token_alignment, toxicity, url_rules
 from tsforge.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -56,9 +56,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_byte_bpe, op3_decontamination, op4_nearest, op5_language_id, op6_minhash, op7_suffix_array, op8_line_dedup, op9_toxicity, op10_url_filters,
+        op11_exact_dedup, op12_source_divergence, op13_token_alignment,
     )
 }
 
@@ -93,5 +106,40 @@ fitting AS (
       ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
     GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fitting
+""",
+    "op11_exact_dedup": r"""
+WITH plain AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM plain WINDOW w AS (PARTITION BY norm)
+""",
+    "op12_source_divergence": r"""
+WITH plain AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS terms,
+           row_number() OVER () AS doc
+    FROM documents),
+in_doc AS (SELECT lang, source, doc, term, count(*) AS n FROM (SELECT lang, source, doc, unnest(terms) AS term FROM plain) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS lang_n FROM in_doc GROUP BY lang, term HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n)::HUGEINT AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM plain),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n
+          FROM groups g JOIN kept k ON g.lang = k.lang
+          LEFT JOIN (SELECT lang, source, term, sum(n)::BIGINT AS n FROM in_doc GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+    SELECT c.lang, source, term, n,
+           1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY c.lang, source)::HUGEINT + 5 * v) AS p,
+           1 + (1000000000::HUGEINT * (lang_n + 5)) // (total + 5 * v) AS q
+    FROM cells c JOIN sizes s ON c.lang = s.lang),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
 """,
 }
