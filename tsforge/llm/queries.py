@@ -116,7 +116,7 @@ FROM plain WINDOW w AS (PARTITION BY norm)
     "op12_source_divergence": r"""
 WITH plain AS (
     SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+') AS terms,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms,
            row_number() OVER () AS doc
     FROM documents),
 in_doc AS (SELECT lang, source, doc, term, count(*) AS n FROM (SELECT lang, source, doc, unnest(terms) AS term FROM plain) GROUP BY ALL),
