@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tsforge.functions import arima, ets
 from tsforge.functions.optimise import least_squares, minimise
 from tsforge.operators import automodels
-from tsforge.operators.runs import run_forecasters
+from tsforge.operators.runs import Stateful, run_forecasters
 from tsforge.panel import Panel
 from tsforge.spec import BacktestPlan, PanelSpec
 
@@ -252,3 +252,27 @@ def test_specs_stay_within_their_bounds():
     specs = automodels.AutoArima(2, 2, 1, 1, 3).specs()
     orders = [tuple(map(int, s.split(","))) for s in specs]
     assert len(set(orders)) == len(orders) == 2 * sum(1 for o in itertools.product(range(3), range(3), range(2), range(2)) if sum(o) <= 3)
+
+
+def test_stateful_forecasters_refit_by_the_plan(spark, tmp_path):
+    panel, model = season_panel(spark), automodels.AutoEts("AAN")
+    plan = BacktestPlan(h=3, n_windows=4, refit_every=2)
+    fits = []
+
+    def broken(train, window):
+        fits.append(window["window_id"])
+        if window["window_id"] == 0:
+            raise RuntimeError("no fit")
+        return train.df.groupBy("unique_id").agg(F.max_by("y", "ds").alias("y_hat"))
+
+    flaky = Stateful(broken, lambda state, window, ahead: ahead.select("unique_id", "ds").join(state, "unique_id"))
+    run = run_forecasters(panel, plan, {"ets": automodels.stateful(model, panel, plan), "flaky": flaky}, str(tmp_path))
+    whole = automodels.auto_backtest(panel, plan, model, calibration=0)
+    key = ["unique_id", "window_id", "h_step"]
+    got, want = (f.where("model_id <> 'flaky'").select(*key, "y_hat").toPandas().set_index(key).sort_index() for f in (run.forecasts, whole.forecasts))
+    assert len(got) == 24 and got["y_hat"].to_numpy() == pytest.approx(want["y_hat"].to_numpy())
+    runs = {(r["model_id"], r["window_id"]): (r["status"], r["refit"], r["refit_every"]) for r in run.model_runs.collect()}
+    assert [runs["ets", k] for k in range(4)] == [("ok", True, 2), ("ok", False, 2), ("ok", True, 2), ("ok", False, 2)]
+    # Without a state the next window fits, and from there on every other one.
+    assert fits == [0, 1, 3] and [runs["flaky", k] for k in range(4)] == [("failed", True, 2), ("ok", True, 2), ("ok", False, 2), ("ok", True, 2)]
+    assert BacktestPlan(h=1, n_windows=5).refit_every is None and automodels.stateful(model, panel, plan).refit_every(BacktestPlan(h=1, n_windows=5), 5) == 5

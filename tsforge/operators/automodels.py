@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tsforge.functions import arima, ets
 from tsforge.operators.backtest import Backtest
+from tsforge.operators.runs import Stateful
 from tsforge.operators.split import require_windows
 from tsforge.operators.split import windows as make_windows
 from tsforge.panel import Panel, at_seconds, missing, seconds
@@ -260,6 +261,23 @@ def auto_backtest(panel: Panel, plan: BacktestPlan, model: AutoModel, *, season:
     return Backtest(forecasts, table, runs)
 
 
+def stateful(model: AutoModel, panel: Panel, plan: BacktestPlan, *, season: int | None = None) -> Stateful:
+    """The model for ``run_forecasters``, without intervals."""
+    m, step = season or panel.spec.mase_season, panel.spec.step
+
+    def fit(train: Panel, window) -> DataFrame:
+        origin = train.df.sparkSession.createDataFrame([(window["window_id"], 0, window["train_start"], window["cutoff"])], "window_id short, inner int, train_start timestamp_ntz, cutoff timestamp_ntz")
+        states = fitted_states(model, slices(train, origin), m, min_context=2 * m)
+        return states.withColumn("fit_cutoff", F.lit(window["cutoff"]).cast("timestamp_ntz"))
+
+    def predict(states: DataFrame, window, ahead: DataFrame) -> DataFrame:
+        now = [F.lit(window[c]).cast("timestamp_ntz").alias(c) for c in ("cutoff", "first_pred")]
+        targets = states.select(F.lit(window["window_id"]).cast("short").alias("window_id"), "inner", *now, F.col("window_id").alias("fit_window"), "fit_cutoff").distinct()
+        return predicted(model, states.drop("fit_cutoff"), targets, h=plan.h, step=step).select("unique_id", "ds", "y_hat")
+
+    return Stateful(fit, predict, expensive=True)
+
+
 def calibrated(forecast, *, h: int, windows: int = 2, levels: Sequence[int] = (80, 95), quantiles: Sequence[float], gap: int = 0):
     """Any forecaster of ``run_forecasters``, with intervals: it runs on ``windows`` inner origins of
     the slice it is given, and its errors there by step give the quantiles."""

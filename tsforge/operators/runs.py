@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,22 @@ from tsforge.spec import BacktestPlan, LeakError, PanelError, PanelSpec, quantil
 #: unique_id, ds, y_hat and any quantile columns.
 Forecaster = Callable[[Panel, Row, DataFrame], DataFrame]
 
+
+@dataclass(frozen=True)
+class Stateful:
+    """A forecaster in two parts: ``fit`` gives its fitted state as a frame, of the panel up to the
+    cutoff and the window's row; ``predict`` gives forecasts from that state, the row of this or a
+    later window and what is known ahead there. The state is written where it is made, and later
+    windows read it until the next fit. ``expensive`` ones fit once unless the plan says otherwise."""
+
+    fit: Callable[[Panel, Row], DataFrame]
+    predict: Callable[[DataFrame, Row, DataFrame], DataFrame]
+    expensive: bool = False
+
+    def refit_every(self, plan: BacktestPlan, n_windows: int) -> int:
+        return plan.refit_every or (n_windows if self.expensive else 1)
+
+
 RUN_SCHEMA = (
     "model_id string, window_id short, status string, error string, refit boolean, refit_every short, fit_seconds float, predict_seconds float,"
     " n_params long, is_zero_shot boolean, quantile_crossings int"
@@ -57,15 +74,17 @@ def require_future(frame: DataFrame, window: Row, spec: PanelSpec, ids: DataFram
     return frame
 
 
-def run_forecasters(panel: Panel, plan: BacktestPlan, forecasters: dict[str, Forecaster], folder: str) -> Backtest:
-    """Every forecaster on every window. A forecast that looks behind the cutoff stops the run;
+def run_forecasters(panel: Panel, plan: BacktestPlan, forecasters: dict[str, Forecaster | Stateful], folder: str) -> Backtest:
+    """Every forecaster on every window. Stateful ones fit on every ``refit_every``-th window (and on
+    the one behind a failed fit) and predict the others from the latest state. A forecast that looks behind the cutoff stops the run;
     any other fault fails its (model, window) alone, which the runs table says. Crossing quantiles
     are put in order and counted. Windows and models are a handful, each one Spark's work."""
     spark = panel.df.sparkSession
     table = require_windows(make_windows(panel, plan))
     quantiles = [quantile_column(q) for q in plan.quantiles]
-    paths, runs = [], []
-    for window in table.orderBy("window_id").collect():
+    paths, runs, states = [], [], {}
+    windows = table.orderBy("window_id").collect()
+    for window in windows:
         train = Panel(panel.df.where(F.col("ds").between(F.lit(window["train_start"]), F.lit(window["cutoff"]))), panel.spec, panel.static)
         ahead = panel.futr(window["first_pred"], window["last_pred"])
         if panel.spec.futr_exog:
@@ -74,9 +93,22 @@ def run_forecasters(panel: Panel, plan: BacktestPlan, forecasters: dict[str, For
         for name, forecast in forecasters.items():
             path = f"{folder.rstrip('/')}/model_id={name}/window_id={window['window_id']}"
             start, fitted, error, crossings = time.monotonic(), None, None, 0
+            every = forecast.refit_every(plan, len(windows)) if isinstance(forecast, Stateful) else 1
+            state, used = states.get(name, (None, every))
+            refit = used >= every
             try:
-                made = normalise_prediction(forecast(train, window, ahead), plan)
-                fitted = time.monotonic()
+                if isinstance(forecast, Stateful):
+                    if refit:
+                        states.pop(name, None)
+                        state = f"{folder.rstrip('/')}/states/model_id={name}/window_id={window['window_id']}"
+                        forecast.fit(train, window).write.mode("overwrite").parquet(state)
+                        fitted = time.monotonic()
+                    states[name] = state, 1 if refit else used + 1
+                    given = forecast.predict(spark.read.parquet(state), window, ahead)
+                else:
+                    given = forecast(train, window, ahead)
+                made = normalise_prediction(given, plan)
+                fitted = fitted or (time.monotonic() if refit else start)
                 repair_quantiles(made, quantiles).write.mode("overwrite").parquet(path)
                 written = spark.read.parquet(path)
                 faults = prediction_faults(written.withColumn("window_id", F.lit(window["window_id"]).cast("short")), here, panel.ids(), h=plan.h)
@@ -90,7 +122,7 @@ def run_forecasters(panel: Panel, plan: BacktestPlan, forecasters: dict[str, For
             except Exception as e:  # a model's fault is its own
                 error = f"{type(e).__name__}: {e}"
             done = time.monotonic()
-            runs.append((name, window["window_id"], "failed" if error else "ok", error, True, 1, (fitted or done) - start, done - (fitted or done), None, False, crossings))
+            runs.append((name, window["window_id"], "failed" if error else "ok", error, refit, every, (fitted or done) - start, done - (fitted or done), None, False, crossings))
             if not error:
                 paths.append((name, window, path))
     parts = [
