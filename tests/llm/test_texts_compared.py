@@ -241,9 +241,18 @@ def test_chunks_are_tokenized_like_whole_texts():
 
 
 def test_worker_forgets_and_still_aligns(monkeypatch):
-    own = token_alignment.Aligner(A, B)
-    monkeypatch.setattr(token_alignment, "CHUNKS_KEPT", 5)
-    for k in range(20):
-        slots = own.placed([f"some words {k}", "", "b" * 100])
-        assert [len(s) for s in slots] == [3, 0, 1] and len(own.strings) < 16
-        assert " " + "b" * 100 not in own.slots
+    own, fresh = token_alignment.Aligner(A, B), token_alignment.Aligner(A, B)
+    monkeypatch.setattr(token_alignment, "CHUNKS_KEPT", 12)
+    for k in range(60):
+        texts = [f"some words {k} été", "", "b" * 100, "words▁mark x"]
+        slots = own.placed(texts)
+        own.uses.values[:] += np.bincount([s for of in slots for s in of], minlength=own.uses.n)
+        assert [len(s) for s in slots] == [4, 0, 1, 2] and len(own.strings) < 20 and " " + "b" * 100 not in own.slots
+        fresh.forget()
+        for mine, want in zip(slots, fresh.placed(texts), strict=True):
+            for i, j in zip(mine, want, strict=True):
+                for one, at in ((own, i), (fresh, j)):
+                    assert one.strings[at].count(b";") + bool(one.strings[at]) == one.sizes.values.reshape(-1, 4)[at, 2]
+                assert own.strings[i] == fresh.strings[j] and (own.sizes.values.reshape(-1, 4)[i] == fresh.sizes.values.reshape(-1, 4)[j]).all()
+                assert own.links.values[own.ends.values[i] : own.ends.values[i + 1]].tolist() == fresh.links.values[fresh.ends.values[j] : fresh.ends.values[j + 1]].tolist()
+    assert " some" in own.slots and " words" in own.slots

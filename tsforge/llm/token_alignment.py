@@ -3,7 +3,8 @@
 Both tokenizers cut every text; two tokens are linked where their bytes overlap, and the offsets at
 which both cut divide a text into groups. Neither tokenizer joins what stands before a run of white
 space with that run, so a text is the sequence of its chunks (white space, then what follows), each
-of which is tokenized and aligned on its own, once for as long as a worker remembers it. Texts with
+of which is tokenized and aligned on its own, once for as long as a worker remembers it (when its table is
+full, it keeps the chunks that were used again). Texts with
 other white space than space, line feed and tab are one chunk.
 
 A batch of documents leaves its links as packed columns, one row for each stripe of A ids, and each
@@ -24,9 +25,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from tsforge.llm.common import materialize, sliced
 CHUNK, OTHER_SPACE = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+"), re.compile(r"[^\S \n\t]")
 #: A worker forgets its chunks beyond so many of them or so many links; longer ones aren't found again.
 CHUNKS_KEPT, LINKS_KEPT, CHUNK_CHARS = 300_000, 2_000_000, 48
+#: Uses (half of the earlier ones) with which a chunk is kept then, if those fill half at most.
+USES_KEPT = 3
 #: A ids of a stripe; pairs that a task sums before it sends them; bytes of packed links of a partition.
 STRIPE, PAIRS_HELD, PART_BYTES = 512, 1_000_000, 1 << 26
 #: Documents, and bytes of text, of a batch.
@@ -54,6 +57,24 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
+class Grown:
+    """Numbers that are added at the end, in one array that doubles when it is full."""
+
+    def __init__(self, first: np.ndarray):
+        self.held, self.n = np.array(first, np.int64), len(first)
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], values, np.zeros(self.n + len(values), np.int64)])
+        else:
+            self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,19 +85,36 @@ class Aligner:
         self.a.encode_special_tokens = True
         byte = byte_level()
         vocabulary = self.a.get_vocab()
-        self.bytes_a = {i: bytes(byte[c] for c in token) for token, i in vocabulary.items() if all(c in byte for c in token)}
+        tokens = {i: bytes(byte[c] for c in token) if all(c in byte for c in token) else b"" for token, i in vocabulary.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.n_a, self.n_b, self.space = max(tokens) + 1, len(pieces), self.b.piece_to_id(WORD)
+        self.bytes_a = [tokens.get(i, b"") for i in range(self.n_a)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(WORD, " ").encode() for i, p in enumerate(pieces)]
-        self.n_b, self.space = len(pieces), self.b.piece_to_id(WORD)
+        self.long_a, self.long_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
+        #: How an id is written inside its side of a group, and at the end of that side.
+        self.written = [b"%d%s" % (i, end) for n, ends in ((self.n_a, (b",", b"|")), (self.n_b, (b",", b";"))) for end in ends for i in range(n)]
+        self.long_written = np.array([len(w) for w in self.written])
         #: Whether no piece of B joins a character with white space behind it.
         self.cuts = not any(re.search(rf"[^{WORD}\n\t][{WORD}\n\t]|{WORD}[\n\t]", p) for p in pieces)
         self.forget()
 
-    def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.sizes = array("q")  # A tokens, B tokens, groups and whether all is well, for each chunk
-        self.strings: list[bytes] = []
-        self.links, self.ends = array("q"), array("q", [0])
+    def forget(self, least: int | None = None) -> None:
+        """All chunks but those used ``least`` times."""
+        kept = np.flatnonzero(self.uses.values >= least) if least else np.empty(0, np.int64)
+        if len(kept):
+            ends = self.ends.values
+            n = ends[kept + 1] - ends[kept]
+            self.links, self.ends = Grown(self.links.values[ragged(ends[kept], n)]), Grown(np.r_[0, np.cumsum(n)])
+            self.sizes, self.uses = Grown(self.sizes.values.reshape(-1, 4)[kept].reshape(-1)), Grown(self.uses.values[kept] // 2)
+            self.strings = [self.strings[k] for k in kept.tolist()]
+            moved = np.full(int(kept[-1]) + 1, -1)
+            moved[kept] = np.arange(len(kept))
+            self.slots = {c: int(moved[s]) for c, s in self.slots.items() if s < len(moved) and moved[s] >= 0}
+        else:
+            self.slots: dict[str, int] = {}
+            self.strings: list[bytes] = []
+            self.links, self.ends = Grown(np.empty(0)), Grown(np.zeros(1))
+            self.sizes, self.uses = Grown(np.empty(0)), Grown(np.empty(0))
 
     def chunks(self, text: str) -> list[str]:
         whole = " " + text
@@ -87,42 +125,56 @@ class Aligner:
         found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [[self.space] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found, strict=True)]
 
-    def align(self, chunk: str, a: list[int], b: list[int]) -> None:
-        """Adds a chunk. A step of the walk is one link: the A token and the B token it stands in."""
-        data = chunk.encode()
-        well = b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
-        groups: list[str] = []
-        if well:
-            i = j = first_a = first_b = 0
-            end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-            while True:
-                self.links.append(a[i] * self.n_b + b[j])
-                ended_a, ended_b = end_a <= end_b, end_b <= end_a
-                i, j = i + ended_a, j + ended_b
-                if ended_a and ended_b:
-                    groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                    first_a, first_b = i, j
-                    if i == len(a):
-                        break
-                if ended_a:
-                    end_a += len(self.bytes_a[a[i]])
-                if ended_b:
-                    end_b += len(self.bytes_b[b[j]])
-        self.sizes.extend((len(a), len(b), len(groups), well))
-        self.strings.append(";".join(groups).encode())
-        self.ends.append(len(self.links))
+    def align(self, chunks: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
+        """Adds chunks, laid out one behind the other: all offsets at which a side cuts are ends of links,
+        those at which both do are ends of groups, and a link's tokens are those that end there next."""
+        data = [c.encode() for c in chunks]
+        sizes = np.array([len(d) for d in data])
+        well = np.ones(len(data), bool)
+        for _ in range(2):
+            counts_a, counts_b = (np.array([len(x) for x in side]) for side in (ids_a, ids_b))
+            a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (ids_a, ids_b))
+            # Mostly all is well at once; else the second round goes without what isn't.
+            whole = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, a), (self.bytes_b, b))]
+            long = [np.diff(np.r_[0, np.cumsum(of[ids])][np.r_[0, np.cumsum(n)]]) for of, ids, n in ((self.long_a, a, counts_a), (self.long_b, b, counts_b))]
+            if whole[0] == whole[1] == b"".join(data) and (long[0] == sizes).all() and (long[1] == sizes).all():
+                break
+            given = [[b"".join(map(table.__getitem__, x)) for x in side] for table, side in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+            well = np.array([d == x == y for d, x, y in zip(data, *given, strict=True)])
+            data = [d if ok else b"" for d, ok in zip(data, well, strict=True)]
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(side, well, strict=True)] for side in (ids_a, ids_b))
+            sizes = sizes * well
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
+        stops = np.cumsum(sizes)
+        links, groups = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        codes = a[np.searchsorted(ends_a, links)] * self.n_b + b[np.searchsorted(ends_b, links)]
+        last_link, last_group = np.searchsorted(links, stops, "right"), np.searchsorted(groups, stops, "right")
+        # Each group's A ids, then its B ids.
+        group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        places = np.r_[a + self.n_a * (groups[group_a] == ends_a), 2 * self.n_a + b + self.n_b * (groups[group_b] == ends_b)][order]
+        whole = b"".join(map(self.written.__getitem__, places.tolist()))
+        cuts = np.r_[0, np.cumsum(self.long_written[places])][np.r_[0, np.cumsum(counts_a + counts_b)]].tolist()
+        self.strings += [whole[i : max(i, j - 1)] for i, j in zip(cuts, cuts[1:], strict=False)]
+        self.sizes.add(np.column_stack([counts_a, counts_b, np.diff(last_group, prepend=0), well]).reshape(-1))
+        self.ends.add(last_link + self.links.n)
+        self.links.add(codes)
+        self.uses.add(np.zeros(len(chunks), np.int64))
 
     def placed(self, texts: list[str]) -> list[list[int]]:
         """The slots of each text's chunks; all slots stay as they are until the next call."""
-        if len(self.strings) > CHUNKS_KEPT or len(self.links) > LINKS_KEPT:
-            self.forget()
+        full = lambda part: len(self.strings) > CHUNKS_KEPT * part or self.links.n > LINKS_KEPT * part
+        if full(1):
+            self.forget(USES_KEPT)
+            if full(0.5):
+                self.forget()
         cut = [self.chunks(t) if t else [] for t in texts]
         new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.slots))
         for start in range(0, len(new), 4096):
             part = new[start : start + 4096]
-            for chunk, a, b in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), self.ids_b(part), strict=True):
-                self.slots[chunk] = len(self.strings)
-                self.align(chunk, a.ids, b)
+            found = self.a.encode_batch_fast(part, add_special_tokens=False)
+            self.slots.update(zip(part, range(len(self.strings), len(self.strings) + len(part)), strict=True))
+            self.align(part, [f.ids for f in found], self.ids_b(part))
         out = [list(map(self.slots.__getitem__, chunks)) for chunks in cut]
         for chunk in new:
             if len(chunk) > CHUNK_CHARS:
@@ -225,7 +277,7 @@ def scanned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str, text_col:
             for batch in _batches(whole):
                 own, id_type = aligner(path_a, path_b), batch.schema.field("id").type
                 slots = own.placed(batch.column("text").to_pylist())
-                sizes, ends = np.frombuffer(own.sizes, np.int64).reshape(-1, 4), np.frombuffer(own.ends, np.int64)
+                sizes, ends = own.sizes.values.reshape(-1, 4), own.ends.values
                 flat = np.array([s for of_doc in slots for s in of_doc], np.int64)
                 doc = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
                 bad = np.zeros(len(slots), bool)
@@ -238,13 +290,13 @@ def scanned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str, text_col:
                 rows = batch.column("row")
                 yield out(DOC, batch.num_rows, row=rows, id=batch.column("id"), groups_sha256=pa.array(digest, pa.string()), **{c: pa.array(v) for c, v in zip(NUMBERS, (*totals.T, n_links), strict=True)})
 
+                own.uses.values[:] += np.bincount(flat, minlength=own.uses.n)
                 once, times = np.unique(doc * len(own.strings) + flat, return_counts=True)
                 doc, slot = once // max(1, len(own.strings)), once % max(1, len(own.strings))
                 n = ends[slot + 1] - ends[slot]
-                codes = np.frombuffer(own.links, np.int64)[ragged(ends[slot], n)] if len(slot) else np.empty(0, np.int64)
-                most = len(own.bytes_a) * own.n_b + own.n_b
+                codes = own.links.values[ragged(ends[slot], n)]
+                most = own.n_a * own.n_b
                 keys, times = counted(np.repeat(doc, n) * most + codes, np.repeat(times, n))
-                del sizes, ends  # the arrays below them grow again
                 doc, codes = keys // most, keys % most
                 numbers = np.asarray(rows, np.int64)
                 if len(codes):
