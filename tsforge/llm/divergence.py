@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import io
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,10 @@ from tsforge.llm.common import materialize, sliced
 
 #: Letters A-Z and all characters beyond ASCII, in lower-cased UTF-8.
 TERM, END = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
-#: Bytes of a text that are split at once; (terms, bytes) of a task's table of counts.
-WINDOW, HELD_TERMS, HELD_BYTES = 1 << 20, 400_000, 1 << 26
+#: Bytes of a text that are split at once; terms, bytes and rows of texts after which a task's counts are sent.
+WINDOW, HELD_TERMS, HELD_BYTES, HELD_ROWS = 1 << 20, 600_000, 1 << 28, 1 << 20
+#: A term's number of documents and its occurrences are held as one number.
+ONE_DOC = 1 << 40
 #: Added to each count; the unit of shares.
 PRIOR, UNIT_STEPS = 5, 3
 #: Terms of a stripe and sources of a seat.
@@ -62,36 +64,34 @@ def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
     the group itself, whose documents it counts."""
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
 
-    def emptied(held: dict[tuple[str, str], dict[bytes, list[int]]]) -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), *n) for (lang, source), terms in held.items() for term, n in terms.items()]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
+    def emptied(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            both = np.fromiter(terms.values(), np.int64, len(terms))
+            columns = [pa.repeat(pa.scalar(c, pa.string()), len(terms)) for c in (lang, source)]
+            columns += [pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(both % ONE_DOC), pa.array(both // ONE_DOC)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
-        terms_held = bytes_held = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
+        terms_held = bytes_held = rows = 0
         for batch in sliced(batches):
             for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-                of_group, seen = held[lang.as_py(), source.as_py()], defaultdict(int)
-                for piece in windows(text.as_py().encode().lower()):
-                    for term in TERM.findall(piece):
-                        seen[term] += 1
-                seen[b""] = 0
+                of_group, seen = held[lang.as_py(), source.as_py()], Counter()
+                before, data = len(of_group), text.as_py().encode().lower()
+                for piece in windows(data):
+                    seen.update(TERM.findall(piece))
                 for term, n in seen.items():
-                    known = of_group.get(term)
-                    if known:
-                        known[0] += n
-                        known[1] += 1
-                    else:
-                        of_group[term] = [n, 1]
-                        terms_held += 1
-                        bytes_held += len(term)
-                if terms_held > HELD_TERMS or bytes_held > HELD_BYTES:
-                    yield emptied(held)
+                    of_group[term] = of_group.get(term, 0) + n + ONE_DOC
+                of_group[b""] = of_group.get(b"", 0) + ONE_DOC
+                terms_held += len(of_group) - before
+                bytes_held += len(data)
+                rows += 1
+                # Below these bounds no term's two numbers run into each other.
+                if terms_held > HELD_TERMS or bytes_held > HELD_BYTES or rows > HELD_ROWS:
+                    yield from emptied(held)
                     held.clear()
-                    terms_held = bytes_held = 0
-        yield emptied(held)
+                    terms_held = bytes_held = rows = 0
+        yield from emptied(held)
 
     partial = docs.select(*plain).mapInArrow(count, "lang string, source string, term string, n long, docs long")
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
