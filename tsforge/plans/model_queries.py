@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsforge.functions import trend
 from tsforge.functions.eda import autocorrelation, partial_autocorrelation
-from tsforge.operators import adaptive, backtest, conformal, detectors, models
+from tsforge.operators import adaptive, automodels, backtest, conformal, detectors, models, recursive, trees, trends
+from tsforge.operators.runs import run_forecasters
 from tsforge.plans.base import SHIP, query, rounded
 from tsforge.plans.forecast_queries import PLAN, WINDOWS
+from tsforge.sources.shared import new_folder
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan
 from tsforge.streaming import online
@@ -57,6 +57,48 @@ def series_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.backtest_series(daily_shipments(spark, sf_dir), PLAN)
 
 
+@query()
+def auto_arima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasonal ARIMA of chosen orders on the last week, with intervals from two inner origins."""
+    model = automodels.AutoArima(max_p=2, max_q=2)
+    return automodels.auto_backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=1), model).forecasts
+
+
+@query()
+def auto_ets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponential smoothing of a chosen form on four weeks, fitted on every other one."""
+    return automodels.auto_backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=4, refit_every=2), automodels.AutoEts(), calibration=0).forecasts
+
+
+@query()
+def sparse_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise linear trends with a weekly and a yearly season, refitted every other week."""
+    shape = trend.Shape(seasons=((7.0, 3), (365.25, 10)))
+    return trends.trend_backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=4, refit_every=2), trends.TrendModel(shape)).forecasts
+
+
+#: What the recursive models see of daily series.
+DAILY = recursive.TargetFeatures(lags=(1, 2, 3, 7, 14), windows=(7, 28), stats=("mean", "std"), diffs=(1, 7))
+
+
+@query()
+def recursive_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks of forecasts that feed on themselves, with intervals from inner origins."""
+    panel, plan = daily_shipments(spark, sf_dir), BacktestPlan(h=14, n_windows=1)
+    made = automodels.calibrated(recursive.forecaster(DAILY, new_folder(spark, "trees")), h=plan.h, quantiles=plan.quantiles)
+    return run_forecasters(panel, plan, {"recursive_boosted": made}, new_folder(spark, "runs")).forecasts
+
+
+@query()
+def boosted_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain and mean absolute Shapley value of each input of the recursive model, on 200 rows of its
+    design."""
+    model, design, names = recursive.fit(daily_shipments(spark, sf_dir), DAILY)
+    forest, keys = trees.forest_of(model, new_folder(spark, "trees")), ["unique_id", "ds"]
+    values = trees.shapley_values(trees.sampled(design, keys, rows=200, seed=0), forest, names, keys)
+    return trees.mean_abs_shap(values).join(trees.importance(model, names), "feature")
+
+
 @query()
 def boosted_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.boosted_direct(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=1))
@@ -94,7 +136,8 @@ SELECT l.event_id, round(r.value, 4) AS value, r.ts AS known_at FROM events l AS
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its user's latest value that was known by then, an hour after it happened."""
     from tsforge.operators.asof import asof_join as asof
-    from tsforge.sources.tables import table
+    from tsforge.sources.shared import new_folder
+from tsforge.sources.tables import table
 
     rows = table(spark, sf_dir, "events")
     right = rows.select("user_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz").alias("ts"), "value")
@@ -123,21 +166,16 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("unique_id"), F.col("ts").cast("timestamp").alias("ds"), F.col("value").alias("y"))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder for one run, below the shared one; a session without one runs in one process."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-tsforge-')}/streams/{uuid.uuid4().hex}"
-
-
 @query("""SELECT * FROM (SELECT event_type AS unique_id, date_trunc('hour', ts)::TIMESTAMP AS ds, round(sum(value), 4) AS y, count(*)::BIGINT AS n FROM events GROUP BY ALL)
 WHERE ds + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events)""")
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that the watermark, two hours behind the latest event, has closed."""
-    hours = online.drained(online.hourly(_event_stream(spark, sf_dir)), _stream_folder(spark), "hours")
+    hours = online.drained(online.hourly(_event_stream(spark, sf_dir)), new_folder(spark, "streams"), "hours")
     return rounded(hours.withColumn("ds", F.col("ds").cast("timestamp_ntz")), 4)
 
 
 @query("SELECT event_type AS unique_id, ts::TIMESTAMP AS ds, value AS y FROM events")
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event passes the stateful scorer once; its score follows from the order of arrival."""
-    scored = online.drained(online.running_z(_event_stream(spark, sf_dir)), _stream_folder(spark), "scores")
+    scored = online.drained(online.running_z(_event_stream(spark, sf_dir)), new_folder(spark, "streams"), "scores")
     return scored.select("unique_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y")
