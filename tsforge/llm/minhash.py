@@ -8,10 +8,10 @@ the least number with which a link at exactly the threshold goes unseen once in
 14 at 0.85 (one at 0.9 then goes unseen once in 10 ** 8) and 20 at 0.80.
 
 Before keys are formed, entries that no other set has are struck out, so texts without a
-relative emit next to nothing. Equal sets are one class from the start. Within a table's bucket
-each set is compared with one pivot (the member with most company), never with all others; the
-components of what is confirmed are formed; and only buckets that still hold several components
-go on. For these, sets drop out that provably link with nothing left: a shingle that no other
+relative emit next to nothing. Equal sets are one class from the start. Each set
+is compared with one pivot (the member with most company) of its largest bucket; the components of
+what is confirmed are formed; and only buckets that still hold several components go on, where the
+members of the other components are compared with a pivot of the largest one, never all with all. For these, sets drop out that provably link with nothing left: a shingle that no other
 open set holds can't be shared, and a set with too many such shingles can't reach the threshold.
 Fresh pivots follow, and when the pairs left are few against the sets, or pivots bring no more, the
 sets left are compared block by block inside tasks that give out links alone. So no bucket is
@@ -153,17 +153,17 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
     texts = texts.withColumn("key", text_key(F.col("text"))).join(involved, ["id", "key"], "left_semi").dropDuplicates(["id"])
     sets = materialize(shingle_sets(texts, width=width, id_col="id", text_col="text"), "sets")
 
-    # The member with most company is near the middle of its group: most others link with it.
+    # The member with most company is near the middle of its group: most others link with it. Each
+    # set first meets the pivot of its largest bucket alone, which settles hot groups with one row a
+    # set, however many tables they share.
     company = members.groupBy("id").agg(F.sum("count").alias("company"))
-    ranked = members.join(company, "id")
-    pivots = ranked.groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("pivot"))
+    pivots = members.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("pivot"))
+    first = members.groupBy("id").agg(F.max_by("key", F.struct("count", "key")).alias("key"))
+    met = first.join(pivots, "key").where("id <> pivot")
     links, done, before = None, None, float("inf")
     open_members = members.select("key", "id")
-    for turn in range(rounds + 1):
-        pairs = (
-            open_members.join(pivots, "key").where("id <> pivot")
-            .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        )
+    for turn in range(rounds + 2):
+        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -175,13 +175,16 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
         if state is None:
             return roots
         open_members, left, held = state
-        # Pairs count once for each table they share.
-        if turn == rounds or left <= collections**2 * held or left > before / 2:
+        # Pairs count once for each table they share; the first turn has hardly looked at any.
+        if turn and (turn > rounds or left <= collections**2 * held or left > before / 2):
             break
-        before = left
+        before = left if turn else before
         of = F.xxhash64("id", F.lit(turn))
         by_root = open_members.groupBy("key", "root").agg(F.min_by("id", of).alias("pivot"), F.count("*").alias("size"))
-        pivots = by_root.groupBy("key").agg(F.max_by("pivot", F.struct("size", "pivot")).alias("pivot"))
+        pivots = by_root.groupBy("key").agg(F.max_by(F.struct("pivot", F.col("root").alias("pivot_root")), F.struct("size", "pivot")).alias("best")).select("key", "best.*")
+        # Members of the pivot's own component have nothing to learn from it.
+        others = open_members.select(F.col("key").alias("of_key"), "id", "root")
+        met = others.join(pivots, (F.col("of_key") == F.col("key")) & (F.col("root") != F.col("pivot_root")))
     return components(links.union(_block_links(open_members, reps, sets, percent, collections)))
 
 
