@@ -107,6 +107,21 @@ def test_names_are_weak_evidence(spark, tree):
     assert texts_of(spark, pages, tree) == [f"Head\n\n{LONG}", f"{LONG}\n\n{LONG}", LONG]
 
 
+def test_an_article_outweighs_the_names_around_it(spark, tree):
+    pages = [
+        f'<form id="aspnetForm"><article><h1>Head</h1><p>{LONG}</p></article></form>', f'<div class="with-sidebar"><article><h1>Head</h1><p>{LONG}</p></article></div>',
+        f'<main class="search-page"><h1>Head</h1><p>{LONG}</p></main>', f'<article class="discussion"><h1>Head</h1><p>{LONG}</p></article>',
+        f'<div class="page-header"><h1>Head</h1></div><p>{LONG}</p>', f'<h1>Head</h1><div class="promo-content"><p>{LONG}</p></div>',
+    ]
+    assert texts_of(spark, pages, tree) == [f"Head\n\n{LONG}"] * 6
+    others = [
+        f'<article><p>{LONG}</p></article><section id="comments"><article><p>{LONG}</p></article></section>', f'<article><p>{LONG}</p></article><aside><article><p>{LONG}</p></article></aside>',
+        f"<article><p>{LONG}</p></article><footer><main><p>{LONG}</p></main></footer>", f'<article><p>{LONG}</p><div class="comment-content"><p>{LONG}</p></div></article>',
+        f"<p>{LONG}</p><p>Copyright 2024 House of Words worldwide</p>", f"<article><p>{LONG}</p></article><p>&copy; 2024 House of Words</p>", f"<article><p>{LONG}</p><form><p>your mail please</p></form></article>",
+    ]
+    assert texts_of(spark, others, tree) == [LONG] * 7
+
+
 def test_neighbours_decide(spark, tree):
     used = {html_text.FEATURES[int(x.split("feature ")[1].split()[0])] for x in tree.splitlines() if "feature " in x and "If" in x}
     assert used & {"words_before", "words_after"} and used & {"links_before", "links_after"}

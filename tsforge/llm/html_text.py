@@ -52,6 +52,8 @@ BLOCK = set(
 OPEN_ENDED = set("p li dd dt option tr td th".split())
 ENCLOSING = BLOCK - OPEN_ENDED - {"hr", "body", "html"}
 FURNITURE = set("nav aside footer form menu dialog button fieldset search".split())
+#: Those of them whose inside is never main text.
+FIRM = set("nav aside footer menu dialog button".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that are often said of page furniture. Fixed values.
 SAYS_FURNITURE = set(
@@ -66,43 +68,68 @@ WORDS_OF = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def says_furniture(attrs: str) -> float:
+#: Names of readers' and advertisers' parts, which no article inside outweighs. Fixed values.
+SAYS_OTHERS = set("ad ads advert adverts advertisement advertising comment comments disqus reactions related replies reply respond responses sponsor sponsored".split())
+#: Beginnings and parts of legal lines. Fixed values.
+LEGAL = re.compile(r"[-+\s]*(?:©|\(c\)|copyright\b)", re.I)
+RESERVED = re.compile(r"\ball rights reserved\b", re.I)
+
+
+def says_furniture(attrs: str) -> tuple[float, bool]:
     """How far the names of an element speak of page furniture: 1.0 by a whole name, 0.5 by a part
-    of one beside no name of main text, else 0.0."""
-    whole, part, main = False, False, False
+    of one, 0.25 by a part of one that also has a part of a name of main text, 0.0 by none, or where
+    another name is that of main text; and whether a name is that of readers' or advertisers' parts."""
+    whole = part = mixed = main = others = False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         if name.lower() in ("class", "id", "role"):
             for said in (a or b or c).split():
+                words = set(WORDS_OF.findall(CAMEL.sub(" ", said).lower()))
                 whole = whole or said.lower() in SAYS_FURNITURE
+                others = others or said.lower() in SAYS_OTHERS
                 main = main or said.lower() in SAYS_MAIN
-                part = part or not SAYS_FURNITURE.isdisjoint(WORDS_OF.findall(CAMEL.sub(" ", said).lower()))
-    return 1.0 if whole else 0.5 if part and not main else 0.0
+                if words & SAYS_FURNITURE:
+                    both = words & (SAYS_MAIN | {"page"}) and not words & SAYS_OTHERS
+                    part, mixed = part or not both, mixed or bool(both)
+    return (1.0 if whole else 0.0 if main else 0.5 if part else 0.25 if mixed else 0.0), others
+
+
+LEVELS = (1.0, 0.5, 0.25)
 
 
 class Opened:
-    """The elements that are open, with running counts of what they are."""
+    """The elements that are open, with running counts of what they are. What names say of page
+    furniture counts inside the innermost article only; what asides, footers and readers' parts say
+    counts however deep (``firm``)."""
 
     def __init__(self):
-        self.stack: list[tuple[str, float, bool, bool]] = []  # tag, furniture, main, hidden
+        self.stack: list[tuple[str, float, bool, bool, bool]] = []  # tag, furniture, firm, main, hidden
         self.tags: dict[str, int] = {}
-        self.furniture = {0.0: 0, 0.5: 0, 1.0: 0}
-        self.main = self.hidden = self.headings = 0
+        self.names = [dict.fromkeys((0.0, *LEVELS), 0)]
+        self.firm = self.main = self.hidden = self.headings = 0
+
+    def furniture(self) -> float:
+        return 1.0 if self.firm else next((x for x in LEVELS if self.names[-1][x]), 0.0)
 
-    def _count(self, one: tuple[str, float, bool, bool], by: int) -> None:
-        tag, furniture, main, hidden = one
+    def _count(self, one: tuple[str, float, bool, bool, bool], by: int) -> None:
+        tag, furniture, firm, main, hidden = one
         self.tags[tag] = self.tags.get(tag, 0) + by
-        self.furniture[furniture] += by
+        self.names[-1][furniture] += by
+        self.firm += by * firm
         self.main += by * main
         self.hidden += by * hidden
         self.headings += by * (tag in HEADINGS)
 
     def push(self, *one) -> None:
         self.stack.append(one)
+        if one[3]:
+            self.names.append(dict.fromkeys((0.0, *LEVELS), 0))
         self._count(one, 1)
 
-    def pop(self) -> tuple[str, float, bool, bool]:
+    def pop(self) -> tuple[str, float, bool, bool, bool]:
         one = self.stack.pop()
         self._count(one, -1)
+        if one[3]:
+            self.names.pop()
         return one
 
     def close(self, tag: str) -> None:
@@ -134,7 +161,7 @@ def text_blocks(page: str | None) -> list[dict]:
         if text and not opened.hidden:
             n = len(text.split())
             blocks.append({
-                "text": text, "words": float(n), "links": min(1.0, linked / n), "furniture": 1.0 if opened.furniture[1.0] else 0.5 if opened.furniture[0.5] else 0.0,
+                "text": text, "words": float(n), "links": min(1.0, linked / n), "furniture": opened.furniture(), "legal": float(bool(LEGAL.match(text) or RESERVED.search(text))),
                 "main": float(opened.main > 0), "heading": float(leaf in HEADINGS or opened.headings > 0), "item": float(leaf in ("li", "dt", "dd", "option")),
             })
         parts, linked = [], 0
@@ -170,15 +197,17 @@ def text_blocks(page: str | None) -> list[dict]:
             if closing:
                 opened.close(tag)
             elif tag not in ("html", "body", "hr") and not m["attrs"].endswith("/"):
-                said, hidden = says_furniture(m["attrs"]), bool(HIDDEN.search(m["attrs"]))
+                (said, firm), hidden = says_furniture(m["attrs"]), bool(HIDDEN.search(m["attrs"]))
                 if tag in ENCLOSING or said or hidden:
                     inside = opened.main > 0
                     main = tag in ("article", "main") or 'role="main"' in m["attrs"]
                     if tag in FURNITURE or (tag == "header" and not inside):
+                        said, firm = 1.0, firm or tag in FIRM
+                    elif firm:
                         said = 1.0
-                    elif inside and tag in HEADINGS | {"header"}:
-                        said = 0.0
-                    opened.push(tag, said, main, hidden)
+                    elif main or (inside and tag in HEADINGS | {"header"}):
+                        said = 0.0  # an article's own names are weak beside what it is
+                    opened.push(tag, said, firm, main, hidden)
     rest = page[at:]
     parts.append(rest)
     if in_link:
@@ -192,7 +221,7 @@ def text_blocks(page: str | None) -> list[dict]:
     return blocks
 
 
-FEATURES = ("words", "links", "furniture", "main", "heading", "item", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("words", "links", "furniture", "main", "heading", "item", "legal", "words_before", "links_before", "words_after", "links_after")
 
 #: Pages marked by hand: a block that starts with + is main text, one that starts with - is not.
 LONG = "the council met on tuesday to settle how the bridge over the river should be paid for and by whom after years of delay"
@@ -251,6 +280,20 @@ LABELLED = (
     f"<div class='post tags-list'><p>+{LONG}</p><p>+short one</p></div><div class='site-footer'><p>-{LONG}</p></div><div class='form-group content'><p>+{LONG}</p></div>",
     f"<div class='cookie-box'><p>-{LONG} {LONG}</p></div><article class='story related-news'><p>+{LONG}</p><p>+it is</p></article><div id='page-footer'>-{LONG}</div>",
     f"<div class='top-banner'>-{LONG}</div><p>+{LONG}</p><p>+{LONG}</p><div class='comment-list'><p>-{LONG}</p><p>-{LONG} {LONG}</p></div>",
+    # Names of both kinds: what stands beside a block and its own length and links decide.
+    *(f"<div class='{a}'><h1>+{head}</h1></div><p>+{LONG}</p><p>+{LONG}</p><div class='{b}'><p>-{tail}</p></div>"
+      for a, b in (("page-header", "page-footer"), ("entry-header", "content-footer"), ("post-header", "article-footer"), ("articleHeader", "post-share"))
+      for head, tail in (("title of it", "shared by us"), ("a rather long title of some more words", "posted in news"))),
+    *(f"<div class='{a}'><p>+{LONG}</p><p>+{LONG} {LONG}</p></div>" for a in ("promo-content", "contentBanner", "story-promo", "form-body")),
+    *(f"<div><a>-home</a></div><div class='{a}'><p>-{few}</p></div><div><a>-more</a></div><p>+{LONG}</p>" for a in ("promo-content", "content-banner", "body-header") for few in ("buy it now", "only today")),
+    f"<div class='site-header'><h1>-site name</h1></div><div><a>-home</a></div><p>+{LONG}</p>",
+    # An article or main text inside what has the name or the element of furniture.
+    f"<form id='aspnetForm'><div><a>-home</a></div><article><h1>+t</h1><p>+{LONG}</p><p>+short</p></article><div><p>-find it here</p></div></form>",
+    f"<div class='with-sidebar'><article><p>+{LONG}</p><p>+so it is</p></article><div class='sidebar'><p>-{LONG}</p></div></div>",
+    f"<main class='search-page'><h1>+t</h1><p>+{LONG}</p></main><article class='discussion'><p>+{LONG}</p></article><div class='comments'><article><p>-{LONG}</p></article></div>",
+    # Legal lines, short and long, wherever they stand.
+    *(f"{a}<p>+{LONG}</p><p>+{LONG}</p>{b}<{tag}>-{line}</{tag}>" for a, b in (("<article>", "</article>"), ("<div>", "</div>")) for tag in ("p", "div")
+      for line in ("copyright 2024 the house of words worldwide", "© 2024 house of words", f"all rights reserved {LONG}")),
     f"<article class='entry share-box'><h1>+t of it</h1><p>+{LONG}</p><p>+{LONG}</p></article><div class='side-widget'><p>-{LONG}</p><p>-a b</p></div>",
 )
 
