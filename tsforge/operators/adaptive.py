@@ -100,6 +100,10 @@ class Along:
         self.levels = {g: np.array(v) for g, v in held.get("levels", {}).items()}
         self.counts: dict[str, dict[str, int]] = held.get("counts", {})
         self.waiting: list[dict] = held.get("waiting", [])
+        #: Pools and levels that all series share, as of now, and what this series has for them.
+        self.shared: dict[str, tuple[list[float], np.ndarray]] = {}
+        self.given: list[tuple[str, float, float]] = []
+        self.missed: list[tuple[str, int]] = []
         self.frozen: dict[str, int] = held.get("frozen", {"ingested": 0, "run": 0, "frozen_run": 0, "excluded": 0, "budget_exhausted": 0})
 
     def saved(self) -> str:
@@ -131,29 +135,38 @@ class Along:
             if self._kept_out(w["flagged"]):
                 continue
             group = w["judged_by"]
-            if group is not None and self.gamma:
+            if group in w.get("shared", ()):
+                self.missed.append((group, w["first_flag"]))
+            elif group is not None and self.gamma:
                 # The error is the one made by the levels as they stood when the row was judged.
                 missed = np.arange(len(self.grid)) >= w["first_flag"]
                 moved = self.levels[group] + self.gamma * (self.grid - missed)
                 self.levels[group] = np.clip(moved, LOWEST, HIGHEST)
                 self.counts[group]["clipped"] += int((self.levels[group] != moved).sum())
+            self.given += [(g, w["at"], w["r"]) for g in w.get("shared", ())]
             for g in w["groups"]:
                 self.arrived.setdefault(g, []).append(w["r"])
                 insort(self.ordered.setdefault(g, []), w["r"])
                 if self.most and len(self.arrived[g]) > self.most:
                     del self.ordered[g][bisect_left(self.ordered[g], self.arrived[g].pop(0))]
 
-    def judge(self, r: float, groups: list[str], at: float) -> tuple:
-        """(score, scorable, severity, calib_n) by the narrowest group that is large enough."""
-        group = next((g for g in groups if len(self.ordered.get(g, ())) >= self.least), None)
+    def _pool(self, group: str) -> list[float]:
+        return self.shared[group][0] if group in self.shared else self.ordered.get(group, [])
+
+    def judge(self, r: float, groups: list[str], at: float, shared: tuple[str, ...] = ()) -> tuple:
+        """(score, scorable, severity, calib_n) by the narrowest group that is large enough; the
+        ``shared`` ones are wider than all of ``groups``."""
+        group = next((g for g in (*groups, *shared) if len(self._pool(g)) >= self.least), None)
         wait = {"at": at, "r": r, "groups": groups, "judged_by": group, "first_flag": 0, "flagged": False}
+        if shared:
+            wait["shared"] = list(shared)
         self.waiting.append(wait)
         if group is None:
             return None, False, None, 0
-        pool = self.ordered[group]
+        pool = self._pool(group)
         n = len(pool)
         p = (1 + n - bisect_left(pool, r)) / (n + 1)
-        level = np.maximum.accumulate(self.levels.setdefault(group, self.grid.copy()))
+        level = np.maximum.accumulate(self.shared[group][1] if group in self.shared else self.levels.setdefault(group, self.grid.copy()))
         wait["first_flag"] = int(np.searchsorted(level, p))
         wait["flagged"] = bool(p <= level[self.reference])
         count = self.counts.setdefault(group, {"scored": 0, "flagged": 0, "clipped": 0})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tsforge.functions import trend
 from tsforge.functions.eda import autocorrelation, partial_autocorrelation
-from tsforge.operators import adaptive, automodels, backtest, conformal, detectors, models, recursive, trees, trends
+from tsforge.operators import adaptive, automodels, backtest, conformal, detectors, models, recursive, shared_pools, trees, trends
 from tsforge.operators.runs import run_forecasters
 from tsforge.plans.base import SHIP, query, rounded
 from tsforge.plans.forecast_queries import PLAN, WINDOWS
@@ -27,6 +27,14 @@ def online_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.online_conformal(_residuals(spark, sf_dir), step=86400)
 
 
+@query()
+def shared_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive scores whose widest pools hold the residuals of all series."""
+    run = backtest.backtest(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=12))
+    residuals = conformal.residuals(run.forecasts.where("model_id = 'seasonal_naive'"))
+    return shared_pools.shared_adaptive_scores(residuals, new_folder(spark, "pools"), step=86400, min_calibration=30)[0]
+
+
 @query()
 def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive.coverage_report(adaptive.advance(_residuals(spark, sf_dir), step=86400))
@@ -173,8 +181,12 @@ def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hours.withColumn("ds", F.col("ds").cast("timestamp_ntz")), 4)
 
 
-@query("SELECT event_type AS unique_id, ts::TIMESTAMP AS ds, value AS y FROM events")
+@query("""WITH o AS (SELECT event_type AS unique_id, ts::TIMESTAMP AS ds, value AS y, pow(2, (row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1) / 48.0) AS w FROM events WHERE value IS NOT NULL),
+s AS (SELECT *, sum(w) OVER b AS sw, sum(w * y) OVER b / sum(w) OVER b AS m, sum(w * y * y) OVER b AS sq, w * pow(0.5, 1 / 48.0) AS last FROM o
+  WINDOW b AS (PARTITION BY unique_id ORDER BY ds, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT unique_id, ds, y, round(CASE WHEN sw / last > 2 AND sq - sw * m * m > 0 THEN (y - m) / sqrt((sq - sw * m * m) / sw) END, 3) AS z FROM s
+UNION ALL SELECT event_type, ts::TIMESTAMP, value, NULL FROM events WHERE value IS NULL""")
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event passes the stateful scorer once; its score follows from the order of arrival."""
+    """Every event passes the stateful scorer once, in the order of time."""
     scored = online.drained(online.running_z(_event_stream(spark, sf_dir)), new_folder(spark, "streams"), "scores")
-    return scored.select("unique_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y")
+    return scored.select("unique_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y", F.round("z", 3).alias("z"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,22 +21,27 @@ def hourly(stream: DataFrame, *, late: str = "2 hours", ds: str = "ds", value: s
 
 def running_z(stream: DataFrame, *, half_life: float = 48.0) -> DataFrame:
     """Each row (unique_id, ds, y) with its deviation from the series' running mean in running
-    standard deviations, before the row is counted itself. A series' state is three numbers."""
+    standard deviations, before the row is counted itself. A series' state is three numbers. Within
+    a micro-batch rows count in the order of time, so a series' rows of one micro-batch are held at
+    once (the source's options say how large those are); a row that comes in a later micro-batch
+    counts after all earlier ones. Rows without a finite value have no score and don't count."""
     keep = 0.5 ** (1 / half_life)
 
     def score(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         weight, mean, square = state.get if state.exists else (0.0, 0.0, 0.0)
-        for rows in batches:
-            rows, z = rows.sort_values("ds"), []
-            for y in rows["y"]:
-                spread = (square / weight) ** 0.5 if weight > 2 else 0.0
-                z.append((y - mean) / spread if spread > 0 else None)
-                weight = weight * keep + 1
-                step = y - mean
-                mean += step / weight
-                square = square * keep + step * (y - mean)
-            yield pd.DataFrame({"unique_id": key[0], "ds": rows["ds"], "y": rows["y"], "z": z})
-        state.update((weight, mean, square))
+        rows, z = pd.concat(batches).sort_values(["ds", "y"]), []
+        for y in rows["y"].to_numpy(float):
+            if not math.isfinite(y):
+                z.append(None)
+                continue
+            spread = (square / weight) ** 0.5 if weight > 2 else 0.0
+            z.append((y - mean) / spread if spread > 0 else None)
+            weight = weight * keep + 1
+            step = y - mean
+            mean += step / weight
+            square = square * keep + step * (y - mean)
+        state.update((float(weight), float(mean), float(square)))
+        yield pd.DataFrame({"unique_id": key[0], "ds": rows["ds"], "y": rows["y"], "z": pd.array(z, "Float64")})
 
     return stream.groupBy("unique_id").applyInPandasWithState(score, SCORED, "weight double, mean double, square double", "append", GroupStateTimeout.NoTimeout)
 
