@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tsforge.functions import trend
 from tsforge.functions.eda import autocorrelation, partial_autocorrelation
-from tsforge.operators import adaptive, automodels, backtest, conformal, detectors, models, recursive, shared_pools, trees, trends
+from tsforge.operators import adaptive, automodels, backtest, conformal, detectors, models, neural, recursive, shared_pools, trees, trends
 from tsforge.operators.runs import run_forecasters
 from tsforge.plans.base import SHIP, query, rounded
 from tsforge.plans.forecast_queries import PLAN, WINDOWS
@@ -107,6 +107,23 @@ def boosted_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.mean_abs_shap(values).join(trees.importance(model, names), "feature")
 
 
+@query()
+def lstm_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recurrent network of all series forecasts the quantiles of the last week."""
+    panel, plan = daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=1)
+    made = neural.lstm_forecaster(new_folder(spark, "samples"), context=28, horizon=plan.h, quantiles=plan.quantiles, how=neural.Training(epochs=4))
+    return run_forecasters(panel, plan, {"lstm": made}, new_folder(spark, "runs")).forecasts
+
+
+@query()
+def autoencoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last year of shipments by the errors of a network trained on what came before."""
+    rows = daily_shipments(spark, sf_dir).df
+    year = F.lit("2001-01-01").cast("timestamp_ntz")
+    fitted = neural.fit_autoencoder(rows.where(F.col("ds") < year), new_folder(spark, "samples"), length=14, how=neural.Training(epochs=4))
+    return fitted.score(rows.where(F.col("ds") >= year))
+
+
 @query()
 def boosted_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.boosted_direct(daily_shipments(spark, sf_dir), BacktestPlan(h=7, n_windows=1))
