@@ -57,15 +57,16 @@ def conditional_scores(calibration: DataFrame, rows: DataFrame, *, min_calibrati
     """-log10 p of each row against the narrowest group's calibration residuals that are many
     enough. Both sides have residual and the columns of ``with_groups``; ``level`` says which."""
     key = ["unique_id", "ds"]
-    pool = calibration.where("residual IS NOT NULL")
-    asked = rows.where("residual IS NOT NULL")
-    found = rows.select(*key, "residual", "side")
-    for i, keys in enumerate(LEVELS):
-        columns = dict.fromkeys((*keys, "residual"))
-        one = _at_least(pool.select(*columns), asked.select(*dict.fromkeys((*key, *columns))), keys)
-        found = found.join(one.select(*key, F.struct("n", "ge").alias(f"l{i}")), key, "left")
-    chosen = F.coalesce(*(F.when(F.col(f"l{i}.n") >= min_calibration, F.struct(F.lit(i).alias("level"), F.col(f"l{i}.n").alias("n"), F.col(f"l{i}.ge").alias("ge"))) for i in range(len(LEVELS))))
-    out = found.withColumn("x", chosen)
+    none = {"unique_id": F.lit(""), "hour": F.lit(-1), "hour_bin": F.lit(-1), "lead_bin": F.lit(-1)}
+    # All levels at once: a row stands in one group of each.
+    groups = F.array(*(F.struct(F.lit(i).alias("level"), *((F.col(c) if c in keys else v).cast("string").alias(c) for c, v in none.items())) for i, keys in enumerate(LEVELS)))
+    known = F.col("residual").isNotNull()
+    pool = calibration.where(known).select("residual", F.explode(groups).alias("group"))
+    asked = rows.where(known).select(*key, "residual", F.explode(groups).alias("group"))
+    level = F.struct(F.col("group.level").alias("level"), "n", "ge")
+    enough = _at_least(pool, asked, ("group",)).where(F.col("n") >= min_calibration)
+    narrowest = enough.groupBy(*key).agg(F.min_by(level, F.col("group.level")).alias("x"))
+    out = rows.select(*key, "side").join(narrowest, key, "left")
     p = (1 + F.col("x.ge")) / (F.col("x.n") + 1)
     return out.select(
         *key, F.when(F.col("x").isNotNull(), -F.log10(p)).alias("score"), F.col("x").isNotNull().alias("scorable"), F.col("x.level").alias("level"),

@@ -10,6 +10,7 @@ from tsforge.operators import adaptive, anomaly_metrics, backtest, conformal, ev
 from tsforge.operators.inject import AnomalySpec
 from tsforge.panel import Panel
 from tsforge.plans.base import EVT, SHIP, query, rounded
+from tsforge.sources.shared import stored
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan, normal_quantile, quantile_column
 
@@ -228,7 +229,7 @@ FROM ga {" ".join(f"LEFT JOIN l{i} USING (unique_id, ds)" for i in range(len(_GR
 def conditional_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir)[1]
     frames = (conformal.residuals(conformal.scoring_frame(run.forecasts, run.windows, model_id="seasonal_naive", stage=s, step=86400)) for s in ("dev", "holdout"))
-    dev, held = (adaptive.with_groups(f, step=86400) for f in frames)
+    dev, held = (stored(adaptive.with_groups(f, step=86400), "residuals") for f in frames)
     return rounded(adaptive.conditional_scores(dev, held).na.fill(-1, ["level"]), 4)
 
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -22,3 +22,11 @@ def new_folder(spark: SparkSession, kind: str) -> str:
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/tsforge/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The same rows, written to a new shared folder and read again: what is built on them makes them
+    no second time."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
