@@ -217,7 +217,26 @@ def support_rows(scores: DataFrame, truth: DataFrame, *, alpha: float) -> DataFr
     return rows.select("unique_id", "ds", (F.row_number().over(Window.partitionBy("unique_id").orderBy("ds")) - 1).alias("pos"), flag.alias("flag"), "label", "score")
 
 
-def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2, max_buffer: int = 24) -> DataFrame:
+#: What can be said of one kind of anomaly alone: a false alarm has no kind.
+OF_KINDS = ("range_recall", "affiliation_recall", "detection_rate", "detection_delay_mean", "detection_delay_median", "auc_pr", "auc_pr_baseline")
+
+
+def evaluate_by_type(rows: DataFrame, types: Iterable[str], *, detector_id: str, merge_gap: int = 2, max_buffer: int = 24) -> DataFrame:
+    """``evaluate_detector`` with anomaly_type: 'all', and each of ``types`` (a few names) by itself,
+    for which instants of the other kinds are taken out of the support, since finding them is no
+    fault. ``rows`` has anomaly_type beside the label."""
+    rest = [c for c in rows.columns if c not in ("pos", "anomaly_type")]
+    out = evaluate_detector(rows.drop("anomaly_type"), detector_id=detector_id, merge_gap=merge_gap, max_buffer=max_buffer).withColumn("anomaly_type", F.lit("all"))
+    order = Window.partitionBy("unique_id").orderBy("ds")
+    for kind in types:
+        own = F.coalesce(F.col("anomaly_type") == kind, F.lit(False))
+        here = rows.where(~F.col("label") | own).withColumn("label", F.col("label") & own).select(*rest, (F.row_number().over(order) - 1).alias("pos"))
+        part = evaluate_detector(here, detector_id=detector_id, merge_gap=merge_gap, recall_only=True)
+        out = out.union(part.withColumn("anomaly_type", F.lit(kind)).select(*out.columns))
+    return out
+
+
+def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2, max_buffer: int = 24, recall_only: bool = False) -> DataFrame:
     """A long table (detector_id, unique_id, metric, value, n_obs, n_events) of each series and,
     with a null unique_id, of all series together: there ranges, zones, events and rows are pooled
     before their means are taken, and only the areas under curves are means of the series' areas."""
@@ -226,7 +245,8 @@ def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2,
     value = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
     of_zones = zones.select("unique_id", F.explode(F.array(value("affiliation_precision", "p"), value("affiliation_recall", "r"))).alias("x")).select("unique_id", "x.*")
     areas = auc_pr(rows).select("unique_id", F.lit("auc_pr").alias("metric"), F.col("area").alias("value"))
-    areas = areas.union(vus_pr(rows, max_buffer=max_buffer).select("unique_id", F.lit("vus_pr"), "vus_pr"))
+    if not recall_only:
+        areas = areas.union(vus_pr(rows, max_buffer=max_buffer).select("unique_id", F.lit("vus_pr"), "vus_pr"))
     parts = range_parts(rows, merge_gap=merge_gap).union(of_zones).union(areas)
     late = delays.select("unique_id", F.lit("delay").alias("metric"), F.col("delay").cast("double").alias("value"))
     sets = [["unique_id", "metric"], ["metric"]]
@@ -253,6 +273,6 @@ def evaluate_detector(rows: DataFrame, *, detector_id: str, merge_gap: int = 2,
     base = base.withColumn("false_alarms_per_1000", 1000 * F.col("n_false_alarm_events") / F.col("n_obs"))
     for kind in ("range", "affiliation", "point"):
         base = base.withColumn(f"{kind}_f1", f1(f"{kind}_precision", f"{kind}_recall"))
-    metrics = [c for c in base.columns if c not in ("k", "n_obs", "n_events")]
+    metrics = [c for c in base.columns if c not in ("k", "n_obs", "n_events") and (c in OF_KINDS or not recall_only)]
     long = base.select("k", "n_obs", "n_events", *(F.col(c).cast("double").alias(c) for c in metrics)).unpivot(["k", "n_obs", "n_events"], metrics, "metric", "value")
     return long.where("value is not null").select(F.lit(detector_id).alias("detector_id"), F.col("k").alias("unique_id"), "metric", "value", "n_obs", "n_events")

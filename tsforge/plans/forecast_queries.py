@@ -9,7 +9,7 @@ from tsforge.functions import metrics, stats
 from tsforge.operators import adaptive, anomaly_metrics, backtest, conformal, events, inject, split
 from tsforge.operators.inject import AnomalySpec
 from tsforge.panel import Panel
-from tsforge.plans.base import EVT, SHIP, query, rounded
+from tsforge.plans.base import ORACLES, EVT, SHIP, query, rounded
 from tsforge.sources.shared import stored
 from tsforge.sources.tables import daily_shipments, hourly_events
 from tsforge.spec import BacktestPlan, normal_quantile, quantile_column
@@ -419,6 +419,21 @@ def evaluate_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(anomaly_metrics.evaluate_detector(_flagged(spark, sf_dir), detector_id="level", max_buffer=4), 4)
 
 
+# The same SQL, in which a series of each kind stands for itself, without what belongs to the other.
+_KINDS = "fl AS (SELECT k || '|' || unique_id AS unique_id, ds, row_number() OVER (PARTITION BY k, unique_id ORDER BY ds) - 1 AS pos, flag, label, score, y FROM fl0 JOIN (VALUES ('even'), ('odd')) t(k) ON NOT label OR k = CASE WHEN month(ds) % 4 = 2 THEN 'odd' ELSE 'even' END)"
+_BY_KIND = ORACLES["evaluate_detector"].replace("fl AS (SELECT s.unique_id", "fl0 AS (SELECT s.unique_id", 1).replace(", ti AS (", f", {_KINDS}, ti AS (", 1)
+
+
+@query(f"""SELECT detector_id, split_part(unique_id, '|', 2) AS unique_id, split_part(unique_id, '|', 1) AS anomaly_type, metric, value, n_obs, n_events FROM ({_BY_KIND}) x
+WHERE unique_id IS NOT NULL AND metric IN {anomaly_metrics.OF_KINDS}""")
+def evaluate_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, delays and areas of each kind of anomaly by itself, series by series."""
+    rows = _flagged(spark, sf_dir)
+    kind = F.when(F.col("label"), F.when(F.month("ds") % 4 == 2, "odd").otherwise("even"))
+    found = anomaly_metrics.evaluate_by_type(stored(rows.withColumn("anomaly_type", kind), "flags"), ("even", "odd"), detector_id="level", max_buffer=4)
+    return rounded(found.where("anomaly_type <> 'all' AND unique_id IS NOT NULL"), 4)
+
+
 @query(f"""WITH {EVT}, kn AS (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS x, count(*) OVER (PARTITION BY unique_id) AS n FROM evt WHERE y IS NOT NULL),
 li AS (SELECT unique_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM kn GROUP BY unique_id), dt AS (SELECT unique_id, x, n, y - a - b * x AS e FROM kn JOIN li USING (unique_id) WHERE n >= 4),
 fq AS (SELECT unique_id, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT unique_id, n FROM dt))
