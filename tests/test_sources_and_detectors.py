@@ -214,3 +214,13 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("scores").count() == 6 and spark.table("scores").orderBy(F.desc_nulls_last("z")).first()["y"] == 40.0
     assert spark.table("hours").where("n = 1").count() >= 2
+
+
+@pytest.mark.parametrize("window", [6, 7])
+def test_spectral_energy_of_windows(spark, window):
+    values = np.random.default_rng(3).normal(size=40) * 3 + 5
+    rows = spark.createDataFrame([("a", pd.Timestamp("2024-01-01").to_pydatetime() + timedelta(hours=k), float(v)) for k, v in enumerate(values)], "unique_id string, ds timestamp_ntz, y double")
+    got = detectors.window_features(rows, window=window).orderBy("ds").toPandas()["energy"].to_numpy()
+    for k in range(window - 1, 40):
+        w = values[k - window + 1 : k + 1]
+        assert got[k] == pytest.approx((np.abs(np.fft.rfft(w - w.mean())) ** 2).sum() / window)

@@ -106,10 +106,13 @@ def window_features(df: DataFrame, *, window: int = 24, value: str = "y") -> Dat
     v = missing(value)
     base = df.select("unique_id", "ds", v.alias("value")).withColumn("m", F.avg("value").over(frame)).withColumn("s", F.stddev_pop("value").over(frame)).withColumn("n", F.count("value").over(frame))
     d1, d2 = (F.col("value") - F.lag("value", k).over(by_series()) for k in (1, 2))
-    # The one-sided spectrum of a centred window holds half of its energy.
+    # The one-sided spectrum of a centred window holds half of its energy, but the fastest wave of an
+    # even window, whose signs alternate, whole.
+    sign = F.when(F.row_number().over(by_series()) % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+    base = base.withColumn("sign", sign).withColumn("fast", F.sum("sign").over(frame) if window % 2 == 0 else F.lit(0.0))
     rows = base.select(
         "unique_id", "ds", "value", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0).alias("zscore"), d1.alias("diff1"), d2.alias("diff2"),
-        (F.col("s") * F.col("s") * window / 2).alias("energy"), F.hour("ds").cast("double").alias("hour"), (F.col("n") == window).alias("full"),
+        (F.col("s") * F.col("s") * window / 2 + F.col("fast") * F.col("fast") / (2 * window)).alias("energy"), F.hour("ds").cast("double").alias("hour"), (F.col("n") == window).alias("full"),
     )
     known = F.col("full")
     for c in FEATURES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -390,12 +392,30 @@ def detection_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SHIP}, bf AS (SELECT y FROM ship WHERE unique_id = 'A' AND ds < '1998-03-02' AND ds >= '1998-02-16'), sg AS (SELECT greatest(1.4826::DOUBLE * median(abs(y - (SELECT median(y) FROM bf))), 1e-8) AS s FROM bf)
 SELECT unique_id, ds, round(CASE WHEN unique_id = 'A' AND ds BETWEEN '1998-03-02' AND '1998-03-11' THEN y + 3 * (SELECT s FROM sg) ELSE y END, 4) AS y FROM ship""")
 def inject_level_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from datetime import datetime
-
     spec = AnomalySpec("level_shift", "A", datetime(1998, 3, 2), 10, 3.0)
     return rounded(inject.inject(daily_shipments(spark, sf_dir), [spec], reference=14)[0], 4)
 
 
+_SPECS = (
+    ("spike", "A", datetime(1996, 5, 6), 2, 4.0, -1), ("level_shift", "N", datetime(1997, 2, 3), 10, 3.0, 1), ("variance_shift", "R", datetime(1998, 6, 1), 8, 2.5, 1),
+    ("seasonal_phase", "A", datetime(1999, 3, 1), 7, 3.0, 1), ("sensor_freeze", "N", datetime(2000, 4, 3), 5, 1.0, 1), ("data_gap", "R", datetime(2001, 5, 7), 6, 1.0, 1),
+)
+_VALUES = ", ".join(f"('{k}', '{u}', TIMESTAMP '{t}', {n}, {m}, {d})" for k, u, t, n, m, d in _SPECS)
+
+
+@query(f"""WITH {SHIP}, sp(kind, unique_id, t, n, m, d) AS (VALUES {_VALUES}),
+mu AS (SELECT kind, median(y) AS mu FROM sp JOIN ship USING (unique_id) WHERE ds < t AND ds >= t - INTERVAL 14 DAY GROUP BY kind),
+sg AS (SELECT kind, mu, greatest(1.4826 * median(abs(y - mu)), 1e-8) AS sigma FROM sp JOIN mu USING (kind) JOIN ship USING (unique_id) WHERE ds < t AND ds >= t - INTERVAL 14 DAY GROUP BY kind, mu),
+hd AS (SELECT kind, y AS held FROM sp JOIN ship s ON s.unique_id = sp.unique_id AND s.ds = t),
+nw AS (SELECT s.unique_id, s.ds, CASE WHEN kind IN ('spike', 'level_shift') THEN y + d * m * sigma WHEN kind = 'variance_shift' THEN mu + (y - mu) * m
+    WHEN kind = 'seasonal_phase' THEN coalesce((SELECT any_value(e.y) FROM ship e WHERE e.unique_id = s.unique_id AND e.ds = s.ds - INTERVAL 3 DAY), y) WHEN kind = 'sensor_freeze' THEN held END AS z
+  FROM sp JOIN ship s ON s.unique_id = sp.unique_id AND s.ds >= t AND s.ds < t + n * INTERVAL 1 DAY JOIN sg USING (kind) JOIN hd USING (kind))
+SELECT s.unique_id, s.ds, round(CASE WHEN nw.ds IS NULL THEN y ELSE z END, 4) AS y FROM ship s LEFT JOIN nw ON nw.unique_id = s.unique_id AND nw.ds = s.ds""")
+def inject_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of anomaly once, in one pass over the panel."""
+    return rounded(inject.inject(daily_shipments(spark, sf_dir), [AnomalySpec(*s) for s in _SPECS], reference=14)[0], 4)
+
+
 _SETS = "GROUP BY GROUPING SETS ((unique_id), ())"
 
 

@@ -150,10 +150,10 @@ def tune_window_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SHIP}, f AS (SELECT unique_id, ds, y, avg(y) OVER w AS m, stddev_pop(y) OVER w AS s, count(y) OVER w AS n, y - lag(y, 1) OVER o AS diff1, y - lag(y, 2) OVER o AS diff2 FROM ship
   WINDOW o AS (PARTITION BY unique_id ORDER BY ds), w AS (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT unique_id, ds, round(CASE WHEN s > 0 THEN (y - m) / s ELSE 0 END, 4) AS zscore, round(diff1, 4) AS diff1, round(diff2, 4) AS diff2, n = 7 AND y IS NOT NULL AND diff1 IS NOT NULL AND diff2 IS NOT NULL AS usable FROM f""")
+SELECT unique_id, ds, round(y, 4) AS value, round(CASE WHEN s > 0 THEN (y - m) / s ELSE 0 END, 4) AS zscore, round(diff1, 4) AS diff1, round(diff2, 4) AS diff2, round(s * s * 7 / 2, 4) AS energy, hour(ds)::DOUBLE AS hour, n = 7 AND y IS NOT NULL AND diff1 IS NOT NULL AND diff2 IS NOT NULL AS usable FROM f""")
 def detector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detectors.window_features(daily_shipments(spark, sf_dir).df, window=7)
-    return rounded(rows.select("unique_id", "ds", "zscore", "diff1", "diff2", F.col("usable")), 4)
+    return rounded(rows.select("unique_id", "ds", *detectors.FEATURES, "usable"), 4)
 
 
 @query("""WITH r AS (SELECT user_id, ts + INTERVAL 1 HOUR AS ts, max(value) AS value FROM events GROUP BY ALL)
