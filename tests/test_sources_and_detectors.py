@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tsforge.operators import detectors, models, quality
 from tsforge.panel import Panel
 from tsforge.sources import readers
-from tsforge.spec import BacktestPlan, PanelSpec, VintageError
+from tsforge.spec import BacktestPlan, LeakError, PanelSpec, VintageError
 from tsforge.streaming import online
 
 T0 = datetime(2024, 1, 1)
@@ -224,3 +224,31 @@ def test_spectral_energy_of_windows(spark, window):
     for k in range(window - 1, 40):
         w = values[k - window + 1 : k + 1]
         assert got[k] == pytest.approx((np.abs(np.fft.rfft(w - w.mean())) ** 2).sum() / window)
+
+
+def test_later_stretches_against_known_ones(spark):
+    rng = np.random.default_rng(6)
+    series = {"a": rng.normal(size=130), "b": np.sin(np.arange(130) / 3) + 0.1 * rng.normal(size=130)}
+    series["a"][[20, 101]] = np.nan
+    at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k)
+    rows = spark.createDataFrame([(n, at(k), float(v)) for n, y in series.items() for k, v in enumerate(y)] + [("new", at(k), float(k % 5)) for k in range(90, 130)], "unique_id string, ds timestamp_ntz, y double")
+    cut, m = at(90), 8
+    known, later = rows.where(F.col("ds") < F.lit(cut)), rows.where(F.col("ds") >= F.lit(cut))
+    got = {(r["unique_id"], r["ds"]): r for r in detectors.discords_behind(known, later, m=m, block=32).collect()}
+    assert len(got) == 120 and not any(r["scorable"] for (n, _), r in got.items() if n == "new")
+
+    def shape(w):
+        return None if not np.isfinite(w).all() else (w - w.mean()) / max(w.std(), 1e-12) if w.std() > 1e-12 else np.zeros(m)
+
+    for name, y in series.items():
+        shapes = [shape(y[k : k + m]) for k in range(130 - m + 1)]
+        dist = lambda i, j: np.linalg.norm(shapes[i] - shapes[j])  # noqa: E731,B023
+        near = lambda i: min((dist(i, j) for j in range(90 - m + 1) if shapes[j] is not None and abs(i - j) >= m // 2 + 1), default=None)  # noqa: E731,B023
+        pool = [near(i) for i in range(90 - m + 1) if shapes[i] is not None]
+        for k in range(90, 130):
+            r, i = got[name, at(k)], k - m + 1
+            assert r["scorable"] == (shapes[i] is not None)
+            if shapes[i] is not None:
+                assert r["calib_n"] == len(pool) and r["score"] == pytest.approx(-np.log10((1 + sum(p >= near(i) - 1e-9 for p in pool)) / (len(pool) + 1)), abs=1e-9)
+    with pytest.raises(LeakError):
+        detectors.discords_behind(rows, later, m=m)

@@ -15,8 +15,9 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsforge.operators.adaptive import adaptive_scores
+from tsforge.operators.adaptive import _at_least, adaptive_scores
 from tsforge.panel import by_series, missing
+from tsforge.spec import LeakError
 
 def online_conformal(rows: DataFrame, **how) -> DataFrame:
     """Adaptive scores from an empty state; see ``adaptive.adaptive_scores``."""
@@ -51,21 +52,18 @@ def pool_severity(rows: DataFrame, pool: DataFrame, *, value: str = "value", alp
     return rows.withColumn("severity", (missing(value) - edge) / max(1.4826 * spread, 1e-8))
 
 
-def discords(df: DataFrame, *, m: int = 24, value: str = "y", block: int = 512) -> DataFrame:
-    """The distance of each z-normalised stretch of ``m`` rows to its nearest other one (stretches
-    within m / 2 rows don't count), at the stretch's last row, scored against all of its series.
-    A series is cut into blocks of ``block`` stretches, and a task compares two blocks, so that
-    the squares of a long series are dealt out."""
-    block = max(block, m)
-    row = (F.row_number().over(by_series()) - 1).alias("pos")
-    placed = df.select("unique_id", "ds", missing(value).alias("v"), row)
+def _nearest(placed: DataFrame, *, m: int, block: int, split: DataFrame | None = None) -> DataFrame:
+    """unique_id, pos (of its last row) and d, the distance to the nearest other stretch, of every
+    stretch of ``m`` known rows. With ``split`` (unique_id, split) of those that end behind that
+    position alone, among those that end up to it."""
     home = F.floor(F.col("pos") / block).cast("int")
     before = F.floor((F.col("pos") - m + 1) / block).cast("int")
     homes = F.array_distinct(F.array(home, F.greatest(before, F.lit(0))))
     dealt = placed.select("unique_id", F.explode(homes).alias("b"), F.struct("pos", F.coalesce("v", F.lit(float("nan"))).alias("v")).alias("x"))
     blocks = dealt.groupBy("unique_id", "b").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("w")).where(F.size("w") >= m)
     count = blocks.groupBy("unique_id").agg(F.max("b").alias("last"))
-    left = blocks.join(count, "unique_id").select("unique_id", "b", "w", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("c"))
+    ends = split if split is not None else count.select("unique_id", F.lit(None).cast("long").alias("split"))
+    left = blocks.join(count, "unique_id").join(ends, "unique_id").select("unique_id", "b", "w", "split", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("c"))
     pairs = left.join(blocks.select("unique_id", F.col("b").alias("c"), F.col("w").alias("other")), ["unique_id", "c"])
 
     def stretches(values) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +78,29 @@ def discords(df: DataFrame, *, m: int = 24, value: str = "y", block: int = 512)
             for x in df.itertuples():
                 (one, known), (two, held) = stretches(x.w), stretches(x.other)
                 at, to = x.b * block + np.arange(len(one)), x.c * block + np.arange(len(two))
+                if not pd.isna(x.split):
+                    known, held = known & (at + m - 1 > x.split), held & (to + m - 1 <= x.split)
                 d = np.maximum(2 * m - 2 * one @ two.T, 0)
                 d[(np.abs(at[:, None] - to) < m // 2 + 1) | ~held] = np.inf
                 least = np.where(known, d.min(axis=1), np.inf)
                 fit = np.isfinite(least)
                 yield pd.DataFrame({"unique_id": x.unique_id, "pos": at[fit] + m - 1, "d": np.sqrt(least[fit])})
 
-    nearest = pairs.select("unique_id", "b", "w", "c", "other").mapInPandas(run, "unique_id string, pos int, d double")
+    found = pairs.select("unique_id", "b", "w", "c", "other", "split").mapInPandas(run, "unique_id string, pos int, d double")
+    return found.groupBy("unique_id", "pos").agg(F.min("d").alias("d"))
+
+
+def discords(df: DataFrame, *, m: int = 24, value: str = "y", block: int = 512) -> DataFrame:
+    """The distance of each z-normalised stretch of ``m`` rows to its nearest other one (stretches
+    within m / 2 rows don't count), at the stretch's last row, scored against all of its series.
+    A series is cut into blocks of ``block`` stretches, and a task compares two blocks, so that
+    the squares of a long series are dealt out."""
+    block = max(block, m)
+    row = (F.row_number().over(by_series()) - 1).alias("pos")
+    placed = df.select("unique_id", "ds", missing(value).alias("v"), row)
     # Series shorter than two stretches have none that stands apart.
     long_enough = placed.groupBy("unique_id").count().where(F.col("count") >= 2 * m + 1)
-    best = nearest.groupBy("unique_id", "pos").agg(F.min("d").alias("d")).join(long_enough.select("unique_id"), "unique_id", "left_semi")
+    best = _nearest(placed, m=m, block=block).join(long_enough.select("unique_id"), "unique_id", "left_semi")
     down = Window.partitionBy("unique_id").orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, 0)
     n = F.count("*").over(Window.partitionBy("unique_id"))
     ranked = best.select("unique_id", "pos", (-F.log10((1 + F.count("*").over(down)) / (n + 1))).alias("score"), n.cast("int").alias("calib_n"))
@@ -98,6 +109,28 @@ def discords(df: DataFrame, *, m: int = 24, value: str = "y", block: int = 512)
     return scored.select("unique_id", "ds", "score", F.col("score").isNotNull().alias("scorable"), pool.alias("calib_n"))
 
 
+def discords_behind(known: DataFrame, later: DataFrame, *, m: int = 24, value: str = "y", block: int = 512) -> DataFrame:
+    """unique_id, ds, score, scorable, calib_n of a later frame: how far each stretch that ends in it
+    lies from the nearest one of the frame that is known, against how far those lie from each other.
+    Stretches may reach back into the known frame. Raises LeakError if ``later`` begins before the
+    end of ``known``."""
+    ends = known.agg(F.max("ds").alias("last")).crossJoin(later.agg(F.min("ds").alias("first"))).first()
+    if ends["last"] is not None and ends["first"] is not None and ends["first"] <= ends["last"]:
+        raise LeakError("the frame begins before the end of what is known")
+    block = max(block, m)
+    both = known.select("unique_id", "ds", missing(value).alias("v"), F.lit(False).alias("later"))
+    both = both.union(later.select("unique_id", "ds", missing(value).alias("v"), F.lit(True).alias("later")))
+    placed = both.withColumn("pos", F.row_number().over(by_series()) - 1)
+    split = placed.groupBy("unique_id").agg(F.coalesce(F.max(F.when(~F.col("later"), F.col("pos"))), F.lit(-1)).cast("long").alias("split"))
+    asked = _nearest(placed, m=m, block=block, split=split).select("unique_id", "pos", F.col("d").alias("residual"))
+    pool = _nearest(placed.where("not later"), m=m, block=block).select("unique_id", F.col("d").alias("residual"))
+    ranked = _at_least(pool, asked, ("unique_id",)).where("n > 0")
+    p = (1 + F.col("ge")) / (F.col("n") + 1)
+    told = ranked.select("unique_id", "pos", (-F.log10(p)).alias("score"), F.col("n").cast("int").alias("calib_n"))
+    out = placed.where("later").join(told, ["unique_id", "pos"], "left")
+    return out.select("unique_id", "ds", "score", F.col("score").isNotNull().alias("scorable"), F.coalesce("calib_n", F.lit(0)).alias("calib_n"))
+
+
 FEATURES = ("value", "zscore", "diff1", "diff2", "energy", "hour")
 
 

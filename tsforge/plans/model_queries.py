@@ -50,6 +50,14 @@ def discord_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.discords(hourly_events(spark, sf_dir).df)
 
 
+@query()
+def discords_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten days of events against the stretches of the days before."""
+    rows = hourly_events(spark, sf_dir).df
+    cut = F.lit("2024-01-21").cast("timestamp_ntz")
+    return detectors.discords_behind(rows.where(F.col("ds") < cut), rows.where(F.col("ds") >= cut))
+
+
 @query()
 def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.isolation_forest(detectors.window_features(hourly_events(spark, sf_dir).df))
