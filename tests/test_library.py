@@ -284,3 +284,40 @@ def test_matching_is_one_to_one(spark):
     truth = spark.createDataFrame([("a", "t1", T0 + 1 * h, T0 + 6 * h), ("a", "t2", T0 + 40 * h, T0 + 41 * h)], cols)
     got = {(r["event_id"], r["matched_truth_event_id"]): r["match_kind"] for r in events.match_events(found, truth).collect()}
     assert got == {("d1", "t1"): "hit", ("d2", None): "false_alarm", ("d3", None): "false_alarm", (None, "t2"): "missed"}
+
+
+def test_series_models_equal_plain_loops(spark):
+    from tsforge.operators import models
+
+    values = [10 + (k % 3) * 2 + k * 0.1 + (k * 7 % 5) * 0.3 for k in range(60)]
+    panel = Panel(frame(spark, values), PanelSpec("t", seasonalities=(3,)))
+    plan = BacktestPlan(h=4, n_windows=2)
+    got = {(r["model_id"], r["window_id"], r["h_step"]): r["y_hat"] for r in models.backtest_series(panel, plan).collect()}
+    assert len(got) == 3 * 2 * 4
+
+    def smoothed(y):
+        def loss(a):
+            level, total = y[0], 0.0
+            for v in y[1:]:
+                total += (v - level) ** 2
+                level += a * (v - level)
+            return total, level
+
+        return min(loss(a) for a in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9))[1]
+
+    for window in (0, 1):
+        y = np.array(values[: 60 - 4 * (2 - window)])
+        n, m = len(y), 3
+        shape = [np.mean([v - y.mean() for v in y[k::m]]) for k in range(m)]
+        flat = np.array([v - shape[k % m] for k, v in enumerate(y)])
+        slope = np.cov(np.arange(n), flat, bias=True)[0, 1] / np.var(np.arange(n))
+        for h in range(1, 5):
+            season = shape[(n + h - 1) % m]
+            assert got["ets", window, h] == pytest.approx(smoothed(flat) + season)
+            assert got["theta", window, h] == pytest.approx(smoothed(flat) + slope / 2 * h + season)
+        columns = lambda t: [1.0, t / n, np.sin(2 * np.pi * t / m), np.cos(2 * np.pi * t / m)]
+        x = np.array([columns(t) for t in range(n)])
+        stacked = np.vstack([x, np.diag([0.0, 1.0, 1.0, 1.0])])
+        w = np.linalg.lstsq(stacked, np.r_[y, np.zeros(4)], rcond=None)[0]
+        for h in range(1, 5):
+            assert got["ridge_fourier", window, h] == pytest.approx(np.array(columns(n + h - 1)) @ w)
