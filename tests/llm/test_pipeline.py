@@ -58,7 +58,7 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
