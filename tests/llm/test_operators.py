@@ -203,6 +203,31 @@ def test_blocks_find_what_pivots_leave(spark):
     assert got == near_by_hand(texts, ids, 3, 85)
 
 
+def test_a_hot_group_takes_few_tables(spark, monkeypatch):
+    """Blocks take what the first pivots leave of a group of near copies, and settled components
+    aren't formed anew: each table written costs shuffles, whatever it holds."""
+    rng, written = random.Random(8), []
+    texts = []
+    for k in range(90):
+        words = [f"w{j}" for j in range(100)]
+        for _ in range(4):
+            words[rng.randrange(100)] = f"z{rng.randrange(3)}"
+        texts.append(" ".join(words))
+
+    def counted(df, name, write=common.materialize):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    monkeypatch.setattr(minhash, "STRIPE", 7, raising=False)
+    found = minhash.near_duplicates(docs(spark, texts), width=3, percent=85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == near_by_hand(texts, list(range(90)), 3, 85)
+    assert "open" in written
+    assert written.count("pairs") == 1
+    assert len(written) <= 20
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)]

@@ -13,8 +13,8 @@ each set is compared with one pivot (the member with most company), never with a
 components of what is confirmed are formed; and only buckets that still hold several components
 go on. For these, sets drop out that provably link with nothing left: a shingle that no other
 open set holds can't be shared, and a set with too many such shingles can't reach the threshold.
-Fresh pivots follow, and when the pairs left are few against the sets, or pivots bring no more, the
-sets left are compared block by block inside tasks that give out links alone. So no bucket is
+Fresh pivots follow, and when the pairs left are no more than blocks bear, or pivots bring no more,
+the sets left are compared block by block inside tasks that give out links alone. So no bucket is
 capped and nothing is left out. Links are confirmed on whole sets of 64-bit shingle hashes.
 
 Defined results: null, empty and blank texts have an empty set, which links with nothing; a text
@@ -42,6 +42,12 @@ from tsforge.llm.components import components
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Sets in a block, when those left open are compared with each other.
+BLOCK = 256
+
+#: Columns of such a comparison that are held at once.
+STRIPE = 4096
+
 #: How often a link at exactly the threshold may share no table.
 MISS = 1 / 15000
 
@@ -157,7 +163,7 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
     company = members.groupBy("id").agg(F.sum("count").alias("company"))
     ranked = members.join(company, "id")
     pivots = ranked.groupBy("key").agg(F.max_by("id", F.struct("company", "id")).alias("pivot"))
-    links, done, before = None, None, float("inf")
+    roots, done, before = None, None, float("inf")
     open_members = members.select("key", "id")
     for turn in range(rounds + 1):
         pairs = (
@@ -169,26 +175,32 @@ def near_links(reps: DataFrame, docs: DataFrame, *, width: int, percent: int, co
         pairs = materialize(pairs, "pairs")
         done = pairs if done is None else done.union(pairs)
         fresh = materialize(confirmed(pairs, sets, percent), "links")
-        links = fresh if links is None else links.union(fresh)
-        roots = components(links)
+        # A known component goes on as a star around its root.
+        roots = components(fresh if roots is None else _stars(roots).union(fresh))
         state = _still_open(open_members, roots, sets, percent)
         if state is None:
             return roots
         open_members, left, held = state
-        # Pairs count once for each table they share.
-        if turn == rounds or left <= collections**2 * held or left > before / 2:
+        # Pairs count once for each table they share. Blocks bear a few dozen of them a set.
+        if turn == rounds or left <= collections**2 * held * BLOCK // 4 or left > before / 2:
             break
         before = left
         of = F.xxhash64("id", F.lit(turn))
         by_root = open_members.groupBy("key", "root").agg(F.min_by("id", of).alias("pivot"), F.count("*").alias("size"))
         pivots = by_root.groupBy("key").agg(F.max_by("pivot", F.struct("size", "pivot")).alias("pivot"))
-    return components(links.union(_block_links(open_members, reps, sets, percent, collections)))
+    across = materialize(_block_links(open_members, reps, sets, percent, collections), "links")
+    return roots if across.isEmpty() else components(_stars(roots).union(across))
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def _block_links(open_members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, collections: int, block: int = 256) -> DataFrame:
+def _block_links(open_members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, collections: int, block: int = BLOCK) -> DataFrame:
     """All links between components among the open sets: whoever shares a table shares an entry
     of A, so the sets with one such entry are compared with each other, in pairs of blocks of
-    about ``block`` sets. Only links leave a task, never the pairs. A set is copied once for each
+    about ``block`` sets: the items that several of them hold are the columns of a table of ones and
+    zeros, and its products count what each pair shares. Only links leave a task, never the pairs. A set is copied once for each
     block of its entry: m sets of one entry that pivots and drop-outs have left open cost
     m * m / block copies, in as many tasks."""
     ids = open_members.select("id", "root").distinct()
@@ -202,19 +214,22 @@ def _block_links(open_members: DataFrame, reps: DataFrame, sets: DataFrame, perc
     def compare(rows: pa.Table) -> pa.Table:
         ids, roots, part = (rows.column(c).to_numpy() for c in ("id", "root", "part"))
         items = rows.column("items").combine_chunks()
-        sizes = np.diff(items.offsets.to_numpy())
-        _, places = np.unique(items.flatten().to_numpy(), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        mark = np.zeros(places.max(initial=-1) + 1, bool)
-        low, high, apart = rows.column("low")[0].as_py(), rows.column("high")[0].as_py(), []
-        for i in np.flatnonzero(part == low):
-            own = places[starts[i] : starts[i] + sizes[i]]
-            mark[own] = True
-            both = np.add.reduceat(mark[places].astype(np.int64), starts)
-            mark[own] = False
-            near = (100 * both >= percent * (sizes + sizes[i] - both)) & (roots != roots[i]) & (part == high)
-            apart += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in np.flatnonzero(near)]
-        found = np.unique(np.array(apart, np.int64).reshape(-1, 2), axis=0)
+        sizes = np.diff(items.offsets.to_numpy()).astype(np.int64)
+        _, places, holders = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(ids)), sizes)[several := holders[places] > 1]
+        columns = (np.cumsum(holders > 1) - 1)[places[several]]
+        order = np.argsort(columns, kind="stable")
+        owner, columns = owner[order], columns[order]
+        one, two = (np.flatnonzero(part == rows.column(c)[0].as_py()) for c in ("low", "high"))
+        both = np.zeros((len(one), len(two)))
+        for start in range(0, columns.max(initial=-1) + 1, STRIPE):
+            inside = slice(*np.searchsorted(columns, [start, start + STRIPE]))
+            held = np.zeros((len(ids), min(STRIPE, columns[-1] + 1 - start)), np.float32)
+            held[owner[inside], columns[inside] - start] = 1
+            both += held[one] @ held[two].T
+        near = (100 * both >= percent * (sizes[one][:, None] + sizes[two] - both)) & (roots[one][:, None] != roots[two])
+        left, right = (ids[place[k]] for place, k in zip((one, two), np.nonzero(near), strict=True))
+        found = np.unique(np.column_stack([np.minimum(left, right), np.maximum(left, right)]), axis=0)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return paired.join(sets, "id").groupBy("code", "low", "high").applyInArrow(compare, "a long, b long").distinct()
@@ -238,7 +253,7 @@ def _still_open(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         fit = size.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("v")).where(100 * F.col("v") >= percent * F.col("n"))
         kept = materialize(fit, "fit")
         now = now.join(kept, "id").select("key", "id", "root", "n", "v")
-        if kept.count() > 0.9 * held:
+        if 2 * kept.count() > held:
             break
     now = materialize(now, "open")
     by_root = now.groupBy("key", "root").count()
