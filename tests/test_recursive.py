@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tests.test_automodels import panel_of
 from tsforge.operators import automodels, recursive, trees
 from tsforge.operators.runs import run_forecasters
-from tsforge.spec import BacktestPlan
+from tsforge.panel import Panel
+from tsforge.spec import BacktestPlan, PanelSpec
 
 CONFIG = recursive.TargetFeatures(lags=(1, 2, 7), windows=(3, 7), stats=("mean", "std", "min", "max", "median"), diffs=(1, 7), rates=(1,), shift=2)
 
@@ -122,3 +123,21 @@ def test_shapley_values_equal_all_subsets(spark, tmp_path):
     assert [r["feature"] for r in table] == got.abs().mean().sort_values(ascending=False).index.tolist()
     gain = trees.importance(model, names).collect()
     assert sum(r["importance"] for r in gain) == pytest.approx(1) and gain[0]["feature"] in ("a", "b") and len(gain) == 5
+
+
+def test_a_backtest_reads_the_panel_once(spark, tmp_path):
+    """Fits, forecasts and checks read what was written of the panel, not what it is made of."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for df in frames:
+            made.add(len(df))
+            yield df
+
+    days = spark.range(200).selectExpr("'a' AS unique_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(int(id)) AS ds", "CAST(id % 7 AS double) AS y")
+    panel = Panel(days.mapInPandas(counted, days.schema), PanelSpec("days", "D", (7,)))
+    config = recursive.TargetFeatures(lags=(1, 7), windows=(7,), stats=("mean",), diffs=(1,))
+    forecaster = recursive.forecaster(config, str(tmp_path / "trees"), rounds=2, depth=2)
+    rows = run_forecasters(panel, BacktestPlan(h=7, n_windows=1), {"m": forecaster}, str(tmp_path / "runs")).forecasts
+    assert rows.count() == 7
+    assert made.value == 200

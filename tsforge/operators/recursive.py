@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tsforge.functions.calendar import local
 from tsforge.operators import features, trees
 from tsforge.panel import Panel, at_seconds, by_series, missing, seconds
+from tsforge.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,10 @@ def design(panel: Panel, config: TargetFeatures) -> tuple[DataFrame, list[str]]:
 
 
 def fit(panel: Panel, config: TargetFeatures, *, rounds: int = 20, depth: int = 4, seed: int = 1) -> tuple[GBTRegressionModel, DataFrame, list[str]]:
-    """(model, the design it was fitted on, names of its inputs)."""
+    """(model, the design it was fitted on, names of its inputs). The design is written once, as
+    fitting reads it many times."""
     rows, names = design(panel, config)
+    rows = stored(rows, "design")
     shaped = VectorAssembler(inputCols=names, outputCol="inputs").transform(rows)
     return GBTRegressor(featuresCol="inputs", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed).fit(shaped), rows, names
 

@@ -14,6 +14,7 @@ from tsforge.operators.backtest import Backtest, prediction_faults, repair_quant
 from tsforge.operators.split import require_windows
 from tsforge.operators.split import windows as make_windows
 from tsforge.panel import Panel, missing
+from tsforge.sources.shared import stored
 from tsforge.spec import BacktestPlan, LeakError, PanelError, PanelSpec, quantile_column
 
 #: Given the panel up to the cutoff, the window's row and what is known ahead over the window:
@@ -78,8 +79,9 @@ def run_forecasters(panel: Panel, plan: BacktestPlan, forecasters: dict[str, For
     """Every forecaster on every window. Stateful ones fit on every ``refit_every``-th window (and on
     the one behind a failed fit) and predict the others from the latest state. A forecast that looks behind the cutoff stops the run;
     any other fault fails its (model, window) alone, which the runs table says. Crossing quantiles
-    are put in order and counted. Windows and models are a handful, each one Spark's work."""
-    spark = panel.df.sparkSession
+    are put in order and counted. Windows and models are a handful, each one Spark's work. The panel
+    is written once, so that what it is made of isn't read again by each of them."""
+    spark, panel = panel.df.sparkSession, Panel(stored(panel.df, "panel"), panel.spec, panel.static)
     table = require_windows(make_windows(panel, plan))
     quantiles = [quantile_column(q) for q in plan.quantiles]
     paths, runs, states = [], [], {}
